@@ -14,7 +14,7 @@ in the order of the ranges, stand beside the block's sorted keys.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,9 @@ SENT_SCHEMA = "part int, block long, entries binary"
 ANSWER_SCHEMA = "part int, block long, answers binary"
 
 
-def _row(schema_names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=schema_names)
-
-
 def _pack(batches, limit: int):
     task, seq = TaskContext.get().partitionId(), 0
     held: list[tb.Chunk] = []
-    pack = zstandard.ZstdCompressor(level=1).compress
 
     def flush():
         nonlocal seq
@@ -47,7 +42,7 @@ def _pack(batches, limit: int):
         null = np.concatenate([c.id_null for c in held])
         lens = np.concatenate([np.where(c.null, -1, c.ends - c.starts) for c in held])
         data = b"".join(c.text(k) for c in held for k in range(len(c)))
-        row = _row(["block", "n_docs", "doc_ids", "offsets", "data"], [pa.array([(task << 32) | seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<i8").tobytes() + null.tobytes()], pa.binary()), pa.array([lens.astype("<i8").tobytes()], pa.binary()), pa.array([pack(data)], pa.binary())])
+        row = pa.RecordBatch.from_pydict({"block": [(task << 32) | seq], "n_docs": [len(ids)], "doc_ids": [ids.astype("<i8").tobytes() + null.tobytes()], "offsets": [lens.astype("<i8").tobytes()], "data": [_zip(data)]})
         held.clear()
         seq += 1
         return row
@@ -72,7 +67,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
 def unpack(doc_ids: bytes, lens: bytes, data: bytes) -> tb.Chunk:
     lens = np.frombuffer(lens, "<i8")
     n = len(lens)
-    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=int(np.maximum(lens, 0).sum()) or 1), np.uint8)
+    text = np.frombuffer(_unzip(data, int(np.maximum(lens, 0).sum())), np.uint8)
     null = np.frombuffer(doc_ids[8 * n :], bool)
     return tb.make_chunk(np.frombuffer(doc_ids[: 8 * n], "<i8"), null, lens < 0, text, tb.offsets(np.maximum(lens, 0)))
 
@@ -90,27 +85,53 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def send(block: int, keys: np.ndarray, entries: np.ndarray, parts: int) -> pa.RecordBatch:
-    """``keys``: sorted; ``entries``: a structured array beside them."""
-    own = part_of(keys, parts)
-    bounds = np.searchsorted(own, np.arange(parts + 1))
-    full = np.flatnonzero(np.diff(bounds))
-    packed = [entries[bounds[p] : bounds[p + 1]].tobytes() for p in full.tolist()]
-    return _row(["part", "block", "entries"], [pa.array(full, pa.int32()), pa.array(np.full(len(full), block), pa.int64()), pa.array(packed, pa.binary())])
+def squeeze(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, as differences, and 64-bit numbers beside them, byte planes together, compressed."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(np.asarray(c).astype("<i8") if c is not steps else c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (steps, *columns)]
+    return len(keys).to_bytes(8, "little") + _zip(b"".join(planes))
+
+
+def expand(packed: bytes, columns: int) -> list[np.ndarray]:
+    """What :func:`squeeze` took: keys and ``columns`` columns."""
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(_unzip(packed[8:], 8 * n * (columns + 1)), np.uint8).reshape(columns + 1, 8, n)
+    found = [np.ascontiguousarray(p.T).view("<u8").reshape(-1) for p in planes]
+    return [np.cumsum(found[0]), *(f.view("<i8") for f in found[1:])]
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
 
+def _unzip(data: bytes, size: int) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, size))
 
-def _reduce(table: pa.Table, dtype: np.dtype, combine: Callable) -> pa.Table:
-    packed = table.column("entries").to_pylist()
-    sizes = np.array([len(p) // dtype.itemsize for p in packed], np.int64)
-    answers = combine(np.frombuffer(b"".join(packed), dtype))
-    at = tb.offsets(sizes)
-    out = [answers[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"part": table.column("part"), "block": table.column("block"), "answers": pa.array(out, pa.binary())})
 
+def sent(block: int, parts: np.ndarray, entries: list[bytes]) -> pa.RecordBatch:
+    """Rows of SENT_SCHEMA: what a block sends to each of these parts."""
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), block), pa.int64()), pa.array(entries, pa.binary())], names=["part", "block", "entries"])
 
-def answer(sent: DataFrame, dtype: np.dtype, combine: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``combine`` gets the entries of one part from all blocks and gives a number array of the same length."""
-    return sent.groupBy("part").applyInArrow(functools.partial(_reduce, dtype=dtype, combine=combine), ANSWER_SCHEMA)
+
+def cut(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted ``keys`` fall in, and parts + 1 bounds."""
+    bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+    return np.flatnonzero(np.diff(bounds)), bounds
+
+
+def answers(part: int, blocks: list, packed: list[bytes]) -> pa.Table:
+    """Rows of ANSWER_SCHEMA."""
+    return pa.table({"part": pa.array([part] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "answers": pa.array(packed, pa.binary())})
+
+
+def totals(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts the keys, starts of equal ones in it, and for each key its place among the distinct ones."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
 
 
 def beside(blocks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -119,11 +140,6 @@ def beside(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.join(own, "block", "left").select(*blocks.columns, "answers")
 
 
-def joined(answers: pa.Scalar, dtype) -> np.ndarray:
-    found = answers.as_py()
-    return np.frombuffer(b"".join(found), dtype) if found else np.zeros(0, dtype)
-
-
 def parts_for(blocks: DataFrame) -> int:
     """Ranges of the keys: one for four blocks, so a range gets as much however many blocks there are."""
     return max(12, blocks.count() // 4)

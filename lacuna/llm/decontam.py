@@ -194,7 +194,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         return found[0]
     parts = len(found)
     keyed = functools.reduce(DataFrame.unionByName, found)
-    return keyed.groupBy("doc_id", "n_words").applyInArrow(functools.partial(_merge, parts=parts), SCHEMA)
+    return keyed.groupBy("doc_id", "n_words").applyInArrow(lambda table: _merge(table, parts), SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

@@ -30,16 +30,13 @@ from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
 from lacuna.llm.scratch import materialise, release
 
-DEPTH = 4
-LEAST_SHARE = 2e-5
-DIVERGENCE = 40.0  # nats
+DEPTH = 5
+LEAST_SHARE = 1e-5
+DIVERGENCE = 30.0  # nats
 STRENGTH = 4.0  # weight of the suffix's distribution, in counts
 END = 0xFF
 BLOCK = 1024
 
-WORD_ENTRY = np.dtype([("key", "<u8"), ("count", "<i8")])
-
-
 def held_out(ids: Column) -> Column:
     return F.coalesce(F.crc32(ids.cast("string")) % 7 == 2, F.lit(False))
 
@@ -103,61 +100,45 @@ def _token_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _send(batches, parts: int):
-    """Words of a block with their training counts, as entries for parts 0 and up; its training n-grams, for parts below 0."""
+    """Words of a block with their training counts, for parts 0 and up; its training n-grams, for parts below 0."""
     for block, chunk, _ in bl.read(batches):
         low, starts, ends, bounds, hashes = _words(chunk)
         train = ~_held_out(chunk)
         keys, own = _token_keys(hashes, bounds)
         distinct, _ = _counted(keys)
-        entries = np.zeros(len(distinct), WORD_ENTRY)
-        entries["key"] = distinct
+        counts = np.zeros(len(distinct), np.int64)
         seen, count = _counted(keys[np.repeat(train, np.diff(own))])
-        entries["count"][np.searchsorted(distinct, seen)] = count
-        yield bl.send(block, distinct, entries, parts)
+        counts[np.searchsorted(distinct, seen)] = count
+        full, at = bl.cut(distinct, parts)
+        yield bl.sent(block, full, [bl.squeeze(distinct[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
         grams, count = _counted(_grams(*_symbols(low, starts, ends, bounds), train))
-        entries = np.zeros(len(grams), WORD_ENTRY)
-        entries["key"], entries["count"] = grams, count
         dealt = bl.part_of(tb.mix(grams), parts)
         order = np.argsort(dealt, kind="stable")
         at = np.searchsorted(dealt[order], np.arange(parts + 1))
         full = np.flatnonzero(np.diff(at))
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - full, pa.int32()), pa.array(np.full(len(full), block), pa.int64()), pa.array([entries[order[at[p] : at[p + 1]]].tobytes() for p in full.tolist()], pa.binary())], names=["part", "block", "entries"])
-
-
-def _totals(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their summed counts, and each entry's place among them."""
-    order = np.argsort(entries["key"], kind="stable")
-    keys = entries["key"][order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(entries["count"][order], first) if len(first) else np.zeros(0, np.int64)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return keys[first], total, place
+        yield bl.sent(block, -1 - full, [bl.squeeze(grams[own], count[own]) for own in (order[at[p] : at[p + 1]] for p in full.tolist())])
 
 
 def _combine(table: pa.Table) -> pa.Table:
     """Words: each block's answer, and a row (block -1) with the part's tokens and distinct words. N-grams: a row (block -2) of sums."""
     part = table.column("part")[0].as_py()
-    packed = table.column("entries").to_pylist()
-    keys, total, place = _totals(np.frombuffer(b"".join(packed), WORD_ENTRY))
+    found = [bl.expand(p.as_py(), 1) for p in table.column("entries")]
+    keys, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order, first, place = bl.totals(keys)
+    total = np.add.reduceat(counts[order], first)
     if part < 0:
-        out = np.zeros(len(keys), WORD_ENTRY)
-        out["key"], out["count"] = keys, total
-        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([-2], pa.int64()), "answers": pa.array([out.tobytes()], pa.binary())})
-    answers = total[place].astype("<i8")
-    at = tb.offsets(np.array([len(p) // WORD_ENTRY.itemsize for p in packed], np.int64))
-    rows = [answers[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    sums = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
-    blocks = table.column("block").to_pylist()
-    return pa.table({"part": pa.array([part] * (len(rows) + 1), pa.int32()), "block": pa.array([*blocks, -1], pa.int64()), "answers": pa.array([*rows, sums], pa.binary())})
+        return bl.answers(part, [-2], [bl.squeeze(keys[order][first], total)])
+    at = tb.offsets(np.array([len(f[0]) for f in found], np.int64))
+    reply = total[place]
+    rows = [bl.squeeze(f[0], reply[a:b]) for f, a, b in zip(found, at[:-1], at[1:], strict=True)]
+    return bl.answers(part, [*table.column("block").to_pylist(), -1], [*rows, bl.squeeze(np.zeros(1, np.uint64), total.sum(keepdims=True), (total > 0).sum(keepdims=True))])
 
 
 def _gram_rows(batches):
     for batch in batches:
         for packed in batch.column(0):
-            entries = np.frombuffer(packed.as_py(), WORD_ENTRY)
-            yield pa.RecordBatch.from_arrays([pa.array(entries["key"].astype(np.int64)), pa.array(entries["count"].astype(np.int64))], names=["gram", "c"])
+            keys, counts = bl.expand(packed.as_py(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
 
 
 class SuffixTree:
@@ -266,7 +247,7 @@ def _score(batches, tree, tokens: int, distinct: int):
         low, starts, ends, bounds, hashes = _words(chunk)
         keys, own = _token_keys(hashes, bounds)
         known, _ = _counted(keys)
-        counts = bl.joined(answers, "<i8")
+        counts = np.concatenate([bl.expand(a.as_py(), 1)[1] for a in answers.values])
         of = np.searchsorted(known, keys)
         logs = np.log10(counts + 1.0)[of]
         n = np.diff(own)
@@ -291,8 +272,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = bl.parts_for(blocks)
     sent = blocks.mapInArrow(functools.partial(_send, parts=parts), bl.SENT_SCHEMA)
     got = materialise(sent.groupBy("part").applyInArrow(_combine, bl.ANSWER_SCHEMA), "counts")
-    sums = [np.frombuffer(r["answers"], "<i8") for r in got.filter("block = -1").select("answers").toLocalIterator()]
-    tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
+    sums = [bl.expand(bytes(r["answers"]), 2)[1:] for r in got.filter("block = -1").select("answers").toLocalIterator()]
+    tokens, distinct = (int(sum(s[k][0] for s in sums)) for k in (0, 1))
     grams = materialise(got.filter("block = -2").select("answers").mapInArrow(_gram_rows, "gram long, c long"), "grams")
     tree = docs.sparkSession.sparkContext.broadcast(suffix_tree(grams))  # at most DEPTH / LEAST_SHARE contexts
     release(grams)
