@@ -1,14 +1,59 @@
-"""A training-corpus pipeline: each stage reads what the one before it kept."""
+"""A training-corpus pipeline: each stage reads what the one before it kept.
+
+STAGES holds (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame. All but the last return the columns of ``documents``; the last returns
+what :func:`lacuna.llm.piece_codec.encode_decode` does. The result has no SQL form, as
+SQL can't encode pieces; the tests hold it against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import exact_dedup, langid
+from lacuna.llm import decontam, exact_dedup, langid, near_dedup, piece_codec
+from lacuna.llm.scratch import materialise
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in which no language can be told (no text, or no letter)."""
+    return langid.drop_unidentified(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect, the one with the least id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that benchmark passages make up a twentieth of."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again."""
+    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", identified),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("pieces", pieces),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, name)
+    return docs
