@@ -172,50 +172,44 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class SpanCache:
-    """Integer sequences of byte spans by the spans' hashes: a direct-mapped table before a dict, both of bounded size."""
+    """Integer sequences of byte spans by the spans' hashes, in a direct-mapped table of fixed size."""
 
-    def __init__(self, encode, slots_log2: int = 20, most: int = 1_000_000):
+    def __init__(self, encode, slots_log2: int = 21, most: int = 1_000_000):
         self.encode, self.shift, self.most = encode, np.uint64(64 - slots_log2), most
         self.keys = np.zeros(1 << slots_log2, np.uint64)
         self.vals = np.full(1 << slots_log2, -1, np.int32)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.vals[:] = -1
-
-    def _add(self, key: int, ids) -> int:
-        if self.n == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * self.n), np.resize(self.size, 2 * self.n)
-        while self.used + len(ids) > len(self.flat):
+        self.start, self.size = np.zeros(most + 1, np.int32), np.zeros(most + 1, np.int32)
+        self.flat, self.used, self.n = np.zeros(1 << 16, np.int32), 0, 0
+
+    def _add(self, sequences: list) -> np.ndarray:
+        sizes = np.array([len(s) for s in sequences], np.int64)
+        if self.n + len(sizes) > len(self.start):
+            grown = self.n + len(sizes)
+            self.start, self.size = np.resize(self.start, grown), np.resize(self.size, grown)
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[self.n], self.size[self.n] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[key] = self.n
-        self.n += 1
-        return self.n - 1
+        self.flat[self.used : self.used + total] = [x for s in sequences for x in s]
+        at = np.arange(self.n, self.n + len(sizes))
+        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
+        self.n += len(sizes)
+        return at
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of all spans, concatenated, and each span's length in it."""
         hashes = hash_spans(data, starts, lens)
-        if self.n > self.most:
-            self.clear()
+        if self.n > self.most or self.used > 8 * self.most:
+            self.vals[:] = -1
+            self.used = self.n = 0
         slot = (hashes >> self.shift).astype(np.int64)
         at = self.vals[slot]
         miss = np.flatnonzero((at < 0) | (self.keys[slot] != hashes))
         if len(miss):
-            new, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            found = np.array([self.known.get(k, -1) for k in new.tolist()], np.int64)
-            lost = np.flatnonzero(found < 0)
-            if len(lost):
-                where = miss[first[lost]]
-                spans = [data[s : s + n].tobytes() for s, n in zip(starts[where].tolist(), lens[where].tolist(), strict=True)]
-                for k, key, ids in zip(lost.tolist(), new[lost].tolist(), self.encode(spans), strict=True):
-                    found[k] = self._add(key, ids)
-            at[miss] = found[back]
+            _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            where = miss[first]
+            spans = [data[s : s + n].tobytes() for s, n in zip(starts[where].tolist(), lens[where].tolist(), strict=True)]
+            at[miss] = self._add(self.encode(spans))[back]
             self.keys[slot[miss]], self.vals[slot[miss]] = hashes[miss], at[miss]
         size = self.size[at]
         return ragged(self.flat, self.start[at], size), size
