@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.geometry import ball_mesh, lens_volume, sphere_volume, spiral_sphere
+from lacuna.functions.geometry import ball_mesh, cap_volume, lens_volume, sphere_volume, spiral_sphere
 from lacuna.operators.grid import XYZ
 from lacuna.operators.mask import Footprint
 from lacuna.operators.neighbors import overlapping_spheres
@@ -55,6 +55,17 @@ def check_bounds(holes: DataFrame, footprint: Footprint, max_overlap: float = 0.
     return flagged.join(gone, "hole", "left_anti")
 
 
+def cut_by_axis_caps(holes: DataFrame, footprint: Footprint, max_overlap: float = 0.1) -> DataFrame:
+    """The plainer cut: along each axis, either way, the first whole step from the centre that is outside bounds a cap; holes with a cap of more than ``max_overlap`` of their volume go."""
+    ways = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(way, XYZ, strict=True))) for way in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))))
+    steps = holes.select("hole", *XYZ, "radius").withColumn("way", F.explode(ways)).withColumn("step", F.explode(F.sequence(F.lit(1), F.ceil("radius").cast("int"))))
+    reached = steps.filter(F.col("step") <= F.col("radius")).select("hole", "radius", "way", "step", *((F.col(c) + F.col("step") * F.col(f"way.{c}")).alias(c) for c in XYZ))
+    first = footprint.flag(reached, "inside").filter("not inside").groupBy("hole", "radius", "way").agg(F.min("step").alias("step"))
+    cap = cap_volume(F.col("radius"), F.col("radius") - F.col("step"))
+    gone = first.filter(cap > max_overlap * sphere_volume(F.col("radius"))).select("hole").distinct()
+    return holes.join(gone, "hole", "left_anti")
+
+
 def _keep_distinct(batches, tolerance: float):
     last = None
     for batch in batches:

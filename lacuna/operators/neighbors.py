@@ -135,3 +135,10 @@ def periodic_images(points: DataFrame, sides: tuple[float, float, float], depth:
     for c, n in zip(XYZ, sides, strict=True):
         out = out.filter((F.col(c) >= -depth) & (F.col(c) <= n + depth))
     return out
+
+
+def periodic_shell(points: DataFrame, sides: tuple[float, float, float], width: float, n: int) -> DataFrame:
+    """Images of points of the box [0, side) whose farthest coordinate lies between ``width`` n and ``width`` (n + 1) outside it, both excluded."""
+    images = periodic_images(points, sides, width * (n + 1)).filter("image").drop("image")
+    out = F.greatest(*(F.abs(F.col(c) - side / 2.0) - side / 2.0 for c, side in zip(XYZ, sides, strict=True)))
+    return images.filter((out > width * n) & (out < width * (n + 1)))

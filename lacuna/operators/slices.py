@@ -79,6 +79,42 @@ def plane_segments(triangles: DataFrame, axis: int, height: float) -> DataFrame:
     return triangles.withColumn("__e", ends).filter(F.size("__e") == 2).withColumns({"a": F.col("__e")[0], "b": F.col("__e")[1]}).drop("__e")
 
 
+def cone_segments(triangles: DataFrame, dec0: float) -> DataFrame:
+    """Segments (a, b), and r and ra of their ends, in which triangles (p1, p2, p3) cross the cone of declination ``dec0``.
+
+    Along an edge, x^2 + y^2 - (z / tan dec0)^2 is a quadratic; the root that lies on the edge, on the cone's side, is the crossing.
+    """
+    if dec0 == 0:
+        return _polar(plane_segments(triangles, 2, 0.0))
+    k2 = 1.0 / np.tan(np.radians(dec0)) ** 2
+    side = float(np.sign(dec0))
+    above = [F.degrees(F.atan2(F.col(f"p{k}")[2], F.sqrt(F.col(f"p{k}")[0] ** 2 + F.col(f"p{k}")[1] ** 2))) > dec0 for k in (1, 2, 3)]
+
+    def form(u, v) -> Column:
+        return u[0] * v[0] + u[1] * v[1] - k2 * u[2] * v[2]
+
+    def cross(i: int, j: int) -> Column:
+        p, q = F.col(f"p{i + 1}"), F.col(f"p{j + 1}")
+        d = [q[c] - p[c] for c in range(3)]
+        a, b, c = form(d, d), 2.0 * form(p, d), form(p, p)
+        root = F.sqrt(F.greatest(b * b - 4.0 * a * c, F.lit(0.0)))
+        tries = F.array(F.try_divide(-b - root, 2.0 * a), F.try_divide(-b + root, 2.0 * a), F.try_divide(-c, b))
+        t = F.filter(tries, lambda x: x.isNotNull() & (x >= -1e-12) & (x <= 1 + 1e-12) & ((p[2] + x * d[2]) * side >= 0))
+        t = F.try_element_at(t, F.lit(1))
+        return F.when(above[i] != above[j], F.array(*(p[n] + t * d[n] for n in range(3))))
+
+    ends = F.filter(F.array(cross(0, 1), cross(1, 2), cross(2, 0)), lambda e: e.isNotNull() & e[0].isNotNull())
+    cut = triangles.withColumn("__e", ends).filter(F.size("__e") == 2).withColumns({"a": F.col("__e")[0], "b": F.col("__e")[1]}).drop("__e")
+    return _polar(cut)
+
+
+def _polar(segments: DataFrame) -> DataFrame:
+    for end in "ab":
+        r, ra, _ = sky.to_radec_unsigned(*(F.col(end)[k] for k in range(3)))
+        segments = segments.withColumns({f"r_{end}": r, f"ra_{end}": ra})
+    return segments
+
+
 def chain_segments(segments: DataFrame, by: str = "void", tolerance: float = 1e-9) -> DataFrame:
     """by, loop, nth, x, y, z: segments (a, b) of each group joined end to end into loops."""
 

@@ -272,6 +272,22 @@ def periodic_images(spark, sf_dir):
     return neighbors.periodic_images(own, (200.0,) * 3, 20.0).select("gal", *(_r(c).alias(c) for c in XYZ), "image")
 
 
+_SHELL = "greatest(abs(x - 100) - 100, abs(y - 100) - 100, abs(z - 100) - 100)"
+
+
+@query("periodic_shell", f"""WITH {POINTS}, s AS (SELECT a.v::double * 200 AS i, b.v::double * 200 AS j, c.v::double * 200 AS k FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v), (VALUES (-1), (0), (1)) c(v)),
+ m AS (SELECT gal, x + 100 + i AS x, y + 100 + j AS y, z + 100 + k AS z FROM points, s WHERE abs(i) + abs(j) + abs(k) > 0) SELECT gal, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM m WHERE {_SHELL} > 15.25 AND {_SHELL} < 30.5""")
+def periodic_shell(spark, sf_dir):
+    own = points(spark, sf_dir).select("gal", *((F.col(c) + 100.0).alias(c) for c in XYZ))
+    return neighbors.periodic_shell(own, (200.0,) * 3, 15.25, 1).select("gal", *(_r(c).alias(c) for c in XYZ))
+
+
+@query("cone_circles", f"""WITH {HOLES}, p AS (SELECT hole, radius, sqrt(x*x + y*y + z*z) AS r, degrees(asin(z / nullif(sqrt(x*x + y*y + z*z), 0))) AS dec FROM holes), d AS (SELECT *, abs(r * sin(radians(dec - 15.0))) AS d FROM p)
+ SELECT hole, round(d, 6) AS distance, round(CASE WHEN d > radius THEN 0.0 ELSE sqrt(greatest(radius * radius - d * d, 0.0)) END, 6) AS circle FROM d""")
+def cone_circles(spark, sf_dir):
+    return slices.cone_circles(hole_table(spark, sf_dir), 15.0).select("hole", _r("distance").alias("distance"), _r("circle").alias("circle"))
+
+
 # --- grids, holes ------------------------------------------------------------------------------------------------------------
 
 _GRID = "g AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, ceil((max(x) - min(x)) / 20.0)::int AS nx, ceil((max(y) - min(y)) / 20.0)::int AS ny, ceil((max(z) - min(z)) / 20.0)::int AS nz FROM points)"

@@ -113,7 +113,9 @@ class Watershed:
         spark = self.cells.sparkSession
         number = prune.method_number(method)
         mean = self.mean_volume()
-        zones_of = prune.void_zones(self.voids, self.zones.count(), number, mean, zone_linking_cut, minsig)
+        cores = [r["zvol"] for r in self.zones.orderBy("zone").select("zvol").collect()]  # a row a zone
+        links = {r["z1"]: r["link"] for r in self.links.groupBy("z1").agg(F.max("link").alias("link")).collect()} if number == 3 else {}
+        zones_of = prune.void_zones(self.voids, len(cores), number, mean, zone_linking_cut, minsig, cores, links)
         cells = prune.void_members(spark, zones_of, self.members).join(self.kept, "gal").checkpoint()
         found = prune.void_attributes(cells).checkpoint()
         least = found.agg(F.median("radius")).first()[0] or 0.0 if number == 5 else self.config.min_radius
