@@ -109,7 +109,7 @@ class Phrases:
         return hit, starts, ends, bounds, np.unique(pairs, axis=0)
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, word_starts array<long>, word_ends array<long>, span_starts array<long>, span_ends array<long>"
+SCHEMA = "doc_id long, text_key long, n_words long, n_hit long, items array<long>, word_starts array<long>, word_ends array<long>, span_starts array<long>, span_ends array<long>"
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -131,6 +131,7 @@ def _report(chunk: tb.Chunk, phrases: Phrases) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             chunk.id_array(),
+            pa.array(tb.hash_spans(chunk.data, chunk.starts, chunk.ends - chunk.starts).view(np.int64)),
             pa.array(np.diff(bounds), pa.int64()),
             pa.array(tb.sums(hit, bounds), pa.int64()),
             _lists(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(n + 1))),
@@ -162,7 +163,7 @@ def _union(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
 def _merge(table: pa.Table, parts: int) -> pa.Table:
     """One text's reports on the parts of the benchmark, as one; as often as the row was there."""
     rows = table.to_pylist()
-    out = {k: rows[0][k] for k in ("doc_id", "n_words")}
+    out = {k: rows[0][k] for k in ("doc_id", "text_key", "n_words")}
     out["items"] = sorted({x for r in rows for x in r["items"]})
     for kind in ("word", "span"):
         out[f"{kind}_starts"], out[f"{kind}_ends"] = _union([x for r in rows for x in r[f"{kind}_starts"]], [x for r in rows for x in r[f"{kind}_ends"]])
@@ -181,7 +182,7 @@ def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, limit: i
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_words, n_hit, items, and merged spans in words and in bytes.
+    """For each row of ``docs``: doc_id, text_key (a hash of the text), n_words, n_hit, items, and merged spans in words and in bytes.
 
     A word of a document is hit if it lies in an occurrence of a window. Null texts
     have no words, null items are left out; an item's repeated rows count once; null ids and repeated
@@ -194,7 +195,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         return found[0]
     parts = len(found)
     keyed = functools.reduce(DataFrame.unionByName, found)
-    return keyed.groupBy("doc_id", "n_words").applyInArrow(lambda table: _merge(table, parts), SCHEMA)
+    return keyed.groupBy("doc_id", "text_key").applyInArrow(lambda table: _merge(table, parts), SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
