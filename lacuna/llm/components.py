@@ -8,34 +8,32 @@ from pyspark.sql import functions as F
 from lacuna.llm.scratch import materialise, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b), a > b. Links each node's larger (or smaller) neighbours to its least neighbour."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        linked = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        linked = down.unionByName(least.select("a", F.col("m").alias("b")))
-    return linked.filter("a > b").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b. Links each node's larger neighbours to the least of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of the edges (a, b): the least node that it can reach."""
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
-        for large in (True, False):
-            done = materialise(_star(edges, large), "stars")
-            release(edges)
-            edges = done
-        if (after := _mark(edges)) == mark:
-            break
-        mark = after
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links each node and its smaller neighbours to the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return down.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """cid, comp for each node of the edges (a, b): the least node that it can reach."""
+    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    mark, before = _mark(edges), None
+    while mark[0] and mark != before:
+        done = materialise(_small_star(_large_star(edges)), "stars")
+        release(edges)
+        edges, before = done, mark
+        mark = _mark(edges)
+    nodes = edges.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
+    return nodes.unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())

@@ -1,18 +1,21 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document's distinct word shingles are hashed to 64 bits; the leading bits choose one of
-``BUCKETS`` buckets, and a bucket's least hash is kept as a 16-bit register: the number of
-leading zeros and ``MANTISSA`` bits behind the leading one. Empty buckets borrow from
-the next filled one. Documents with equal shingle sets are one class with one
-representative. Registers in bands of ``ROWS`` are keys, and classes that share a key are
-candidates; a collision-corrected Jaccard estimate from the registers drops those far
-below the threshold, and the rest are verified on full shingle sets.
-
-Within a key no all-pairs list is made. Rounds compare each class with one leader of its
-key, merge what is linked, and leave out keys whose classes are one component; a last round
-compares what is left across components, so that no link between different components is
-missed. With 32 bands of 4, a pair at the threshold 0.8 shares no key with a chance of 5e-8; the
-estimate's margin is ``SIGMAS`` standard deviations.
+A document's distinct word shingles are hashed to 64 bits and sketched by 128 compressed registers of 16
+bits: the leading zeros of a least hash and ``MANTISSA`` bits behind the leading one. In sets of more than
+``LARGE`` shingles the leading bits of a hash choose one of 128 buckets, a register holds its
+bucket's least hash, and empty buckets borrow from the next filled one. Sets of up to ``SMALL`` would fill
+too few buckets and have a register for each of 128 hash functions instead; sizes between have both,
+and sets so unlike in size that they share neither kind can't be linked. Documents with equal shingle sets are one class
+with one representative.
+
+Keys are bands of ``ROWS`` registers, and classes that share a key are candidates. A collision-corrected Jaccard
+estimate drops pairs far below the threshold (by ``SIGMAS`` standard deviations), and the rest
+are verified on full shingle sets. With 24 bands of 4 a pair at similarity 0.8 shares no key with a chance of 3e-6.
+
+Within a key no all-pairs list is made. Each class is first compared with two leaders of its key, and keys whose
+classes are then one component are done. In the others only pairs across components are left: a key of up to
+``FEW`` classes lists them; a larger one is cut into blocks, and a task compares two blocks by products
+of their incidence matrices, so that every pair is decided exactly and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -31,14 +34,20 @@ from lacuna.llm.scratch import materialise, release
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
-BUCKETS_LOG2 = 7
-BUCKETS = 1 << BUCKETS_LOG2
-ROWS = 4
+REGISTERS = 128
+BUCKET_BITS = 7
+SMALL, LARGE = 128, 102  # sets of up to SMALL and of more than LARGE; 102 / 128 < 0.8
+ROWS, BANDS = 4, 24
 MANTISSA = 10
 SIGMAS = 6.0
-STARS = 3
+FEW = 32
+TOP_BLOCK, REST_BLOCK = 256, 128
+COLUMNS = 4096  # of an incidence matrix at a time
 
-_EDGES = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS_LOG2)).astype(np.uint64)
+_EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
+_SEEDS = tb.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_SALTS = tb.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BAND_REGISTERS = np.arange(ROWS * BANDS) * 37 % REGISTERS  # neighbours borrow from one another: bands take registers far apart
 
 
 def shingle_hashes(chunk: tb.Chunk, size: int):
@@ -63,26 +72,35 @@ def shingle_hashes(chunk: tb.Chunk, size: int):
             yield np.zeros(0, np.uint64)
 
 
-def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compressed registers of a non-empty sorted set, and which buckets it fills itself."""
-    at = np.searchsorted(hashes, _EDGES)
-    least = hashes[np.minimum(at, len(hashes) - 1)]
-    filled = (at < len(hashes)) & (least >> np.uint64(64 - BUCKETS_LOG2) == np.arange(BUCKETS, dtype=np.uint64))
-    rest = (least << np.uint64(BUCKETS_LOG2)) >> np.uint64(12)  # 52 bits, exact in a double
+def compress(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each 64-bit hash: leading zeros (to 52), then the MANTISSA bits behind the leading one."""
+    rest = hashes >> np.uint64(12)  # 52 bits, exact in a double
     length = np.frexp(rest.astype(np.float64))[1]
     zeros = 52 - length
-    mantissa = np.where(length > 0, ((rest << np.minimum(zeros + 12, 63).astype(np.uint64) << np.uint64(1)) >> np.uint64(64 - MANTISSA)), 0)
-    own = (np.minimum(zeros, 52).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
+    mantissa = (rest << (zeros + 12).clip(0, 63).astype(np.uint64) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | np.where(length > 0, mantissa, 0).astype(np.uint16)
+
+
+def small_registers(hashes: np.ndarray) -> np.ndarray:
+    """One register a hash function, of a non-empty set."""
+    return compress(tb.mix(hashes[:, None] ^ _SEEDS).min(axis=0))
+
+
+def large_registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One register a bucket, of a non-empty sorted set, and which buckets it fills itself."""
+    at = np.searchsorted(hashes, _EDGES)
+    least = hashes[np.minimum(at, len(hashes) - 1)]
+    filled = (at < len(hashes)) & (least >> np.uint64(64 - BUCKET_BITS) == np.arange(REGISTERS, dtype=np.uint64))
+    own = compress(least << np.uint64(BUCKET_BITS))
     places = np.flatnonzero(filled)
-    nth = np.searchsorted(places, np.arange(BUCKETS))
-    source = places[nth % len(places)]
-    apart = (source - np.arange(BUCKETS)) % BUCKETS
+    source = places[np.searchsorted(places, np.arange(REGISTERS)) % len(places)]
+    apart = (source - np.arange(REGISTERS)) % REGISTERS
     borrowed = own[source] ^ (apart * 40503 & 0xFFFF).astype(np.uint16)
     return np.where(apart == 0, own[source], borrowed), filled
 
 
 def estimate(ra: np.ndarray, fa: np.ndarray, rb: np.ndarray, fb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates (by rows) over the buckets that either set fills, less chance collisions, and the number of buckets.
+    """Jaccard estimates (by rows) over the registers that either set fills, less chance collisions, and the number of registers.
 
     Two different least hashes have equal leading zeros with a chance of 1/3, and equal mantissas with 2**-MANTISSA.
     """
@@ -92,52 +110,69 @@ def estimate(ra: np.ndarray, fa: np.ndarray, rb: np.ndarray, fb: np.ndarray) ->
     return (share - chance) / (1 - chance), used
 
 
+def _class_id(hashes: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "little", signed=True)
+
+
 def _sketch(batches, size: int):
     for chunk in tb.chunks(batches):
-        counts, keys, regs = [], [], []
+        counts, keys, cids, small, large = [], [], [], [], []
         for own in shingle_hashes(chunk, size):
-            counts.append(len(own))
-            if not len(own):
-                keys.append(None)
-                regs.append(None)
-                continue
-            reg, filled = registers(own)
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-            regs.append(reg.astype("<u2").tobytes() + np.packbits(filled).tobytes())
-        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "regs"])
+            n = len(own)
+            counts.append(n)
+            keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
+            cids.append(_class_id(own) if n else None)
+            small.append(small_registers(own).astype("<u2").tobytes() if 0 < n <= SMALL else None)
+            if n > LARGE:
+                regs, filled = large_registers(own)
+                large.append(regs.astype("<u2").tobytes() + np.packbits(filled).tobytes())
+            else:
+                large.append(None)
+        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(counts, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(v, pa.binary()) for v in (keys, small, large))], names=["doc_id", "n_shingles", "cid", "set_key", "small", "large"])
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * BUCKETS + BUCKETS // 8)
-    return np.ascontiguousarray(data[:, : 2 * BUCKETS]).view("<u2"), np.unpackbits(data[:, 2 * BUCKETS :], axis=1).astype(bool)
+    """Registers and filled flags, by rows; small ones are all filled."""
+    rows = column.to_pylist()
+    width = 2 * REGISTERS
+    regs = np.frombuffer(b"".join(r[:width] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+    flags = np.frombuffer(b"".join(r[width:].ljust(REGISTERS // 8, b"\xff") for r in rows), np.uint8).reshape(len(rows), -1)
+    return regs, np.unpackbits(flags, axis=1).astype(bool)
 
 
 def _bands(batches):
-    bands = BUCKETS // ROWS
-    salt = tb.mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for batch in batches:
-        if batch.num_rows:
-            regs, _ = _unpack(batch.column(1))
-            keys = tb.mix(np.ascontiguousarray(regs).view("<u8") ^ salt).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(np.asarray(batch.column(0)), bands), pa.int64())], names=["key", "cid"])
+        cids = np.asarray(batch.column(0))
+        for kind in (0, 1):
+            column = batch.column(1 + kind)
+            some = np.flatnonzero(np.asarray(column.is_valid()))
+            if len(some):
+                regs, _ = _unpack(column.take(pa.array(some)))
+                packed = np.ascontiguousarray(regs[:, _BAND_REGISTERS]).view("<u8")
+                keys = tb.mix(packed ^ _SALTS ^ np.uint64(kind)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(cids[some], BANDS), pa.int64())], names=["key", "cid"])
 
 
 def _promising(batches, threshold: int):
-    """Pairs whose estimate isn't far below the threshold."""
+    """Pairs (a, b, and the small and large registers of each) whose estimate isn't far below the threshold."""
     goal = threshold / 100
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        (ra, fa), (rb, fb) = _unpack(batch.column(2)), _unpack(batch.column(3))
-        guess, used = estimate(ra, fa, rb, fb)
-        keep = (used < 32) | (guess >= goal - SIGMAS * np.sqrt(goal * (1 - goal) / used))
+        keep = np.zeros(batch.num_rows, bool)
+        for k in (2, 4):
+            x, y = batch.column(k), batch.column(k + 1)
+            both = np.flatnonzero(np.asarray(x.is_valid()) & np.asarray(y.is_valid()))
+            if len(both):
+                rows = pa.array(both)
+                guess, used = estimate(*_unpack(x.take(rows)), *_unpack(y.take(rows)))
+                keep[both] |= guess >= goal - SIGMAS * np.sqrt(goal * (1 - goal) / used)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
 def _sets(batches, size: int):
     for chunk in tb.chunks(batches):
-        sets = [own.astype("<u8").tobytes() for own in shingle_hashes(chunk, size)]
-        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(sets, pa.binary())], names=["cid", "items"])
+        sets = [own.astype("<u8") for own in shingle_hashes(chunk, size) if len(own)]
+        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "items"])
 
 
 def _verify(batches, threshold: int):
@@ -151,37 +186,91 @@ def _verify(batches, threshold: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class _Links:
-    """Verified links between classes, and what is left to compare."""
-
-    def __init__(self, classes: DataFrame, sets: DataFrame, threshold: int):
-        self.classes, self.sets, self.threshold = classes, sets, threshold
-        self.edges = self.tested = None
-
-    def test(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b), a < b, that weren't tested before."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        regs = self.classes.select("cid", "regs")
-        sized = pairs.join(regs.select(F.col("cid").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("cid").alias("b"), F.col("regs").alias("rb")), "b")
-        near = sized.select("a", "b", "ra", "rb").mapInArrow(functools.partial(_promising, threshold=self.threshold), "a long, b long")
-        whole = near.join(self.sets.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").join(self.sets.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
-        found = materialise(whole.select("a", "b", "sa", "sb").mapInArrow(functools.partial(_verify, threshold=self.threshold), "a long, b long"), "links")
-        self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-
-    def labels(self) -> DataFrame:
-        return materialise(components(self.edges).select(F.col("node").alias("cid"), F.col("component").alias("comp")), "labels")
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that are linked."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), F.col("small").alias(f"small_{side}"), F.col("large").alias(f"large_{side}"), F.col("n").alias(f"n_{side}")), side)
+    sized = pairs.filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    near = sized.select("a", "b", "small_a", "small_b", "large_a", "large_b").mapInArrow(functools.partial(_promising, threshold=threshold), "a long, b long")
+    for side in ("a", "b"):
+        near = near.join(sets.select(F.col("cid").alias(side), F.col("items").alias(f"items_{side}")), side)
+    return near.select("a", "b", "items_a", "items_b").mapInArrow(functools.partial(_verify, threshold=threshold), "a long, b long")
+
+
+def _incidence(items: list[np.ndarray], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (places among the shared hashes), in order, and rows of a 0-1 matrix's ones."""
+    hashes = np.concatenate(items)
+    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+    own = shared[at] == hashes
+    order = np.argsort(at[own], kind="stable")
+    return at[own][order], row[own][order]
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(shared):
+        return out
+    sides = [_incidence(x, shared) for x in (a, b)]
+    for low in range(0, len(shared), COLUMNS):
+        blocks = []
+        for (column, row), n in zip(sides, (len(a), len(b)), strict=True):
+            first, last = np.searchsorted(column, (low, low + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            m[row[first:last], column[first:last] - low] = 1
+            blocks.append(m)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def _across(table: pa.Table, threshold: int) -> pa.Table:
+    """Links between two blocks of a key's classes (side 0 and 1; 2 for both) that join components not joined before."""
+    side, cid, comp = (np.asarray(table.column(c)) for c in ("side", "cid", "comp"))
+    items = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    links = []
+    if len(left) and len(right):
+        both = common([items[k] for k in left], [items[k] for k in right])
+        size = np.array([len(x) for x in items])
+        linked = 100 * both >= threshold * (size[left][:, None] + size[right] - both)
+        for x, y in zip(*np.nonzero(linked & (comp[left][:, None] != comp[right])), strict=True):
+            p, q = left[x], right[y]
+            if (r := root(int(comp[p]))) != (t := root(int(comp[q]))):
+                up[r] = t
+                links.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _crowded(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links across components in the keys of many classes (key, cid, comp).
+
+    A key's largest component is cut into blocks, and the rest into others; each block of the rest meets
+    all blocks, and those of the largest don't meet each other.
+    """
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"))
+    tops, rests = F.ceil(F.col("n_top") / TOP_BLOCK), F.ceil((F.col("n") - F.col("n_top")) / REST_BLOCK)
+    dealt = rows.join(materialise(counts, "crowded-keys"), "key").withColumns({"tops": tops, "rests": rests})
+    dealt = dealt.withColumn("i", F.when(F.col("comp") == F.col("top"), F.pmod(F.xxhash64("cid", F.lit(5)), "tops")).otherwise(F.pmod(F.xxhash64("cid", F.lit(6)), "rests")))
+    is_top = F.col("comp") == F.col("top")
+    one = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.alias("side"))
+    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda j: F.when(is_top, one(0, j, F.col("i"), F.lit(1))).otherwise(one(1, F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1))))
+    with_top = F.when(~is_top, F.transform(F.sequence(F.lit(0).cast("long"), F.col("tops") - 1), lambda j: one(0, F.col("i"), j, F.lit(0)))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint,side:int>>"))
+    met = dealt.select("key", "cid", "comp", F.explode(F.concat(with_rest, with_top)).alias("m")).select("key", "cid", "comp", "m.*")
+    full = met.join(sets, "cid").select("key", "kind", "i", "j", "side", "cid", "comp", "items")
+    return full.groupBy("key", "kind", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long")
 
 
-def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with their components, of the keys that classes of several components share."""
-    rows = bands.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    rows = materialise(rows, "band-components")
-    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    return materialise(rows.join(materialise(keys, "mixed-keys"), "key", "left_semi"), "mixed")
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -191,41 +280,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles are of ``size`` words, a shorter text is one shingle, and a text without words has
     none and is linked with nothing. Documents are linked when 100 * intersection >=
     ``threshold`` * union of their distinct shingles. component_id is the least id that can be
-    reached. Rows of one id are one document per text: each is answered, and they are linked if their texts
-    are. A null id is linked with nothing: its component_id is null and the row is kept. An
+    reached. Rows of one id are answered one by one; with the same text they are one document, with different
+    texts they are linked only as other documents are. A null id is linked with nothing: its component_id is null and the row is kept. An
     empty table gives an empty result. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = materialise(texts.mapInArrow(functools.partial(_sketch, size=size), "doc_id long, n_shingles long, set_key binary, regs binary"), "sketches")
+    sketches = materialise(texts.mapInArrow(functools.partial(_sketch, size=size), "doc_id long, n_shingles long, cid long, set_key binary, small binary, large binary"), "sketches")
     filled = sketches.filter("set_key is not null and doc_id is not null")
-    classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n")), "classes")
-    bands = classes.select("cid", "regs").mapInArrow(_bands, "key long, cid long")
-    bands = materialise(bands, "bands")
-    shared = materialise(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("lead")).filter("c > 1").select("key", "lead"), "shared-keys")
-    left = materialise(bands.join(shared, "key"), "shared-bands")
+    classes = materialise(filled.groupBy("set_key").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("rep"), F.min("small").alias("small"), F.min("large").alias("large"), F.min("n_shingles").alias("n")), "classes")
+    labels = _components(texts, classes, size, threshold)
+    linked = classes.select("set_key", "cid", "rep").join(labels, "cid")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    found = linked.join(least, "comp").select("set_key", "component_id")
+    found = found.unionByName(classes.join(labels, "cid", "left_anti").select("set_key", F.col("rep").alias("component_id")))
+    out = sketches.select("doc_id", "n_shingles", "set_key").join(materialise(found, "class-components"), "set_key", "left")
+    own = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def _components(texts: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """cid, comp of the classes that have links."""
+    bands = materialise(classes.select("cid", "small", "large").mapInArrow(_bands, "key long, cid long"), "bands")
+    leads = F.array_distinct(F.array(F.min("cid"), F.max_by("cid", F.xxhash64("cid", "key"))))
+    shared = bands.groupBy("key").agg(F.count("*").alias("c"), leads.alias("leads")).filter("c > 1")
+    left = materialise(bands.join(materialise(shared, "shared-keys"), "key"), "shared-bands")
     release(bands)
-    wanted = materialise(left.select("cid").distinct(), "candidates")
-    chosen = texts.join(wanted, F.col("doc_id") == F.col("cid"), "left_semi")
+    wanted = classes.select("cid", "rep").join(left.select("cid").distinct(), "cid", "left_semi").select("rep")
+    chosen = texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
     sets = materialise(chosen.mapInArrow(functools.partial(_sets, size=size), "cid long, items binary"), "sets")
-    links = _Links(classes, sets, threshold)
-    links.test(left.filter("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")))
-    labels = links.labels()
-    for turn in range(1, STARS + 1):
-        rows = _mixed(left, labels)
-        if rows.isEmpty():
-            break
-        if turn < STARS:
-            lead = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("cid", "key", F.lit(turn)).alias("h"), "cid", "comp")).alias("l"))
-            lead = materialise(lead.select("key", F.col("l.cid").alias("lead"), F.col("l.comp").alias("lead_comp")), "leaders")
-            pairs = rows.join(lead, "key").filter("comp <> lead_comp").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-        else:
-            other = rows.select("key", F.col("cid").alias("cid2"), F.col("comp").alias("comp2"))
-            pairs = rows.join(other, "key").filter("comp < comp2").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-        links.test(pairs)
-        labels = links.labels()
-    found = classes.select("set_key", "cid").join(labels, "cid", "left").select("set_key", F.coalesce("comp", "cid").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(materialise(found, "class-components"), "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    pairs = materialise(left.select("cid", F.explode("leads").alias("lead")).filter("cid <> lead").select(*_pair("cid", "lead")).distinct(), "pairs")
+    links = materialise(_verified(pairs, classes, sets, threshold), "links")
+    labels = materialise(components(links), "labels")
+    rows = materialise(left.select("key", "cid", "c").join(labels, "cid", "left").select("key", "cid", "c", F.coalesce("comp", "cid").alias("comp")), "band-components")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    rows = materialise(rows.join(materialise(mixed, "mixed-keys"), "key", "left_semi"), "mixed")
+    if rows.isEmpty():
+        return labels
+    few = rows.filter(F.col("c") <= FEW)
+    other = few.select("key", F.col("cid").alias("other"), F.col("comp").alias("comp2"))
+    across = few.join(other, "key").filter("comp < comp2").select(*_pair("cid", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _verified(across, classes, sets, threshold).unionByName(_crowded(rows.filter(F.col("c") > FEW), sets, threshold))
+    return materialise(components(links.unionByName(materialise(more, "more-links"))), "labels")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
