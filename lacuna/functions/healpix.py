@@ -61,3 +61,17 @@ def pix2ang(pixel: Column, nside: int) -> tuple[Column, Column]:
     z = F.when(north, north_z).when(south, south_z).otherwise(belt_z)
     ra = F.when(north, north_ra).when(south, south_ra).otherwise(belt_ra)
     return ra, F.degrees(F.asin(z))
+
+
+def pixel_of(ra: float, dec: float, nside: int) -> int:
+    """:func:`ang2pix` of one direction, for kernels."""
+    z, tt = math.sin(math.radians(dec)), (ra / 90.0) % 4.0
+    if abs(z) <= 2.0 / 3.0:
+        up, down = math.floor(nside * (0.5 + tt - z * 0.75)), math.floor(nside * (0.5 + tt + z * 0.75))
+        ring = nside + 1 + up - down
+        shift = 1 - ring % 2
+        return 2 * nside * (nside - 1) + (ring - 1) * 4 * nside + ((up + down - nside + shift + 1) // 2) % (4 * nside)
+    tp, tmp = tt % 1.0, nside * math.sqrt(3.0 * (1.0 - abs(z)))
+    k = math.floor(tp * tmp) + math.floor((1.0 - tp) * tmp) + 1
+    ip = math.floor(tt * k) % (4 * k)
+    return 2 * k * (k - 1) + ip if z > 0 else pixel_count(nside) - 2 * k * (k + 1) + ip

@@ -14,15 +14,13 @@ from __future__ import annotations
 
 import functools
 import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.grid import CELL_KEY, XYZ, bounds, with_cell
-from lacuna.operators.mask import Footprint
+from lacuna.operators.mask import Footprint, Inside
 
 BROADCAST_POINTS = 5_000_000
 SCHEMA = "cell long, x double, y double, z double, radius double, unfinished boolean"
@@ -62,38 +60,6 @@ class PointIndex:
         return np.concatenate([np.arange(s, e) for s, e in zip(first[some].tolist(), last[some].tolist(), strict=True)])
 
 
-@dataclass
-class Inside:
-    """A footprint as arrays."""
-
-    mode: str
-    bitmap: np.ndarray | None
-    resolution: int
-    rmin: float
-    rmax: float
-    low: tuple
-    high: tuple
-
-    @classmethod
-    def of(cls, f: Footprint) -> Inside:
-        return cls(f.mode, f.bitmap() if f.mode == "sky" else None, f.resolution, f.rmin, f.rmax, f.low, f.high)
-
-    def __call__(self, p: np.ndarray) -> bool:
-        if self.mode == "periodic":
-            return True
-        x, y, z = map(float, p)
-        if self.mode == "box":
-            return all(a <= c <= b for c, a, b in zip((x, y, z), self.low, self.high, strict=True))
-        r = math.sqrt(x * x + y * y + z * z)
-        if r == 0 or not self.rmin <= r <= self.rmax:
-            return False
-        ra = math.degrees(math.atan(y / x)) if x else 90.0 * (y > 0) - 90.0 * (y < 0)
-        ra += 180.0 * (x < 0 and y != 0)
-        ra += 360.0 * (ra < 0)
-        i, j = int(ra * self.resolution), int(math.degrees(math.asin(z / r)) * self.resolution) + 90 * self.resolution
-        return 0 <= i < self.bitmap.shape[0] and 0 <= j < self.bitmap.shape[1] and bool(self.bitmap[i, j])
-
-
 def _nearest(index: PointIndex, p: np.ndarray, reach: float) -> int:
     radius = index.edge
     while True:
@@ -209,7 +175,7 @@ def grow_spheres(cells: DataFrame, points: DataFrame, footprint: Footprint, edge
     spark = points.sparkSession
     low, high = bounds(points)
     reach = 4.0 * math.dist(low, high) + edge
-    inside = spark.sparkContext.broadcast(Inside.of(footprint))
+    inside = spark.sparkContext.broadcast(footprint.kernel())
     start = footprint.inside(cells.select("cell", *XYZ))
     parts = max(spark.sparkContext.defaultParallelism * 4, 1)
     if points.count() <= broadcast_points:

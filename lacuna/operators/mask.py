@@ -19,6 +19,51 @@ from lacuna.operators.grid import XYZ
 BROADCAST_CELLS = 4_000_000
 
 
+@dataclass
+class InsidePixels:
+    """HEALPix pixels between two distances, both excluded."""
+
+    pixels: frozenset
+    nside: int
+    rmin: float
+    rmax: float
+
+    def __call__(self, p: np.ndarray) -> bool:
+        x, y, z = map(float, p)
+        r = math.sqrt(x * x + y * y + z * z)
+        if not self.rmin < r < self.rmax:
+            return False
+        return healpix.pixel_of(math.degrees(math.atan2(y, x)) % 360.0, math.degrees(math.asin(z / r)), self.nside) in self.pixels
+
+
+@dataclass
+class Inside:
+    """A footprint as arrays."""
+
+    mode: str
+    bitmap: np.ndarray | None
+    resolution: int
+    rmin: float
+    rmax: float
+    low: tuple
+    high: tuple
+
+    def __call__(self, p: np.ndarray) -> bool:
+        if self.mode == "periodic":
+            return True
+        x, y, z = map(float, p)
+        if self.mode == "box":
+            return all(a <= c <= b for c, a, b in zip((x, y, z), self.low, self.high, strict=True))
+        r = math.sqrt(x * x + y * y + z * z)
+        if r == 0 or not self.rmin <= r <= self.rmax:
+            return False
+        ra = math.degrees(math.atan(y / x)) if x else 90.0 * (y > 0) - 90.0 * (y < 0)
+        ra += 180.0 * (x < 0 and y != 0)
+        ra += 360.0 * (ra < 0)
+        i, j = int(ra * self.resolution), int(math.degrees(math.asin(z / r)) * self.resolution) + 90 * self.resolution
+        return 0 <= i < self.bitmap.shape[0] and 0 <= j < self.bitmap.shape[1] and bool(self.bitmap[i, j])
+
+
 @dataclass
 class Footprint:
     """``mode``: sky (cells within distances), box (inclusive), or periodic (everywhere)."""
@@ -62,6 +107,10 @@ class Footprint:
         outside = self.flag(moved, "__inside").filter("not __inside").select(F.col(id_col).alias("__out")).distinct()
         return points.join(outside, points[id_col] == F.col("__out"), "left").withColumn(name, F.col("__out").isNotNull()).select(*points.columns, name)
 
+    def kernel(self) -> Inside:
+        """The footprint for kernels; at most 360 n by 180 n bytes."""
+        return Inside(self.mode, self.bitmap() if self.mode == "sky" else None, self.resolution, self.rmin, self.rmax, self.low, self.high)
+
     def bitmap(self) -> np.ndarray:
         """The cells as an array, for kernels."""
         n = self.resolution

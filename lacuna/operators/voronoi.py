@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.geometry import polygon_area
 from lacuna.operators.grid import XYZ, typical
-from lacuna.operators.growth import Inside, PointIndex
+from lacuna.operators.growth import PointIndex
 from lacuna.operators.mask import Footprint
 
 BROADCAST_POINTS = 5_000_000
@@ -169,7 +169,7 @@ def voronoi(points: DataFrame, low, high, footprint: Footprint | None = None, wh
     xyz = np.stack([np.asarray(table.column(c)) for c in XYZ], axis=1) if n else np.zeros((0, 3))
     edge = typical(low, high, max(n, 1), 2.0)
     shared = spark.sparkContext.broadcast((xyz, np.asarray(table.column("gal")).astype(np.int64), edge))  # 32 bytes a point, at most max_points
-    inside = spark.sparkContext.broadcast(Inside.of(footprint)) if footprint else None
+    inside = spark.sparkContext.broadcast(footprint.kernel()) if footprint else None
     cut = functools.partial(_cells, shared=shared, low=tuple(low), high=tuple(high), whole_box=whole_box, inside=inside)
     return points.repartition(4 * spark.sparkContext.defaultParallelism, "gal").mapInArrow(cut, SCHEMA)
 

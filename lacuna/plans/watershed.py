@@ -12,7 +12,7 @@ from lacuna.functions import cosmology, healpix, sky
 from lacuna.operators import prune
 from lacuna.operators import watershed as ws
 from lacuna.operators.grid import XYZ, bounds
-from lacuna.operators.mask import Footprint
+from lacuna.operators.mask import Footprint, InsidePixels
 from lacuna.operators.neighbors import periodic_images
 from lacuna.operators.select import redshift_cut
 from lacuna.operators.voronoi import adjacency, horizon, voronoi
@@ -140,6 +140,10 @@ class PixelFootprint(Footprint):
     def __init__(self, pixels: DataFrame, nside: int, rmin: float, rmax: float):
         super().__init__("sky", pixels, nside, rmin, rmax, strict=True)
 
+    def kernel(self) -> InsidePixels:
+        """At most 12 nside^2 pixels."""
+        return InsidePixels(frozenset(r["pix"] for r in self.cells.toLocalIterator()), self.resolution, self.rmin, self.rmax)
+
     def flag(self, points: DataFrame, name: str = "inside", coords: tuple[str, str, str] = XYZ) -> DataFrame:
         x, y, z = (F.col(c) for c in coords)
         r, ra, dec = sky.to_radec_unsigned(x, y, z)
