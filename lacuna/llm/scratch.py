@@ -6,6 +6,7 @@ back, so an intermediate result survives the loss of any executor.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,15 +32,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result carries its folder as ``scratch_path``."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _forget(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _forget(spark)
     return out
 
 
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files of plans that are done go once the driver has collected the plans; a plan that ended just now may wait for the next call."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialise` that no later plan reads."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _forget(spark)

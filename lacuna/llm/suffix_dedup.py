@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
 from lacuna.llm.fm_index import suffix_ranks
-from lacuna.llm.scratch import materialise
+from lacuna.llm.scratch import materialise, release
 
 LENGTH = 50
 GRAM = 21
@@ -273,6 +273,7 @@ def _answered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
     parts = max(12, blocks.count())
     sent = blocks.mapInArrow(functools.partial(_send_minimizers, length=length, parts=parts), bl.SENT_SCHEMA)
     repeated = materialise(bl.beside(blocks, sent.groupBy("part").applyInArrow(_answer_minimizers, bl.ANSWER_SCHEMA)), "repeated")
+    release(blocks)
     sent = repeated.mapInArrow(functools.partial(_send_contexts, length=length, parts=parts), bl.SENT_SCHEMA)
     classes = sent.groupBy("part").applyInArrow(lambda table: _answer_contexts(table, length), bl.ANSWER_SCHEMA)
     return bl.beside(repeated.withColumnRenamed("answers", "repeats"), classes)
