@@ -82,6 +82,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, all columns as they are."""
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` without the rows that :func:`exact_dedup` drops, all columns as they are. A row goes by its id and text, so an id that has another text as well keeps that."""
+    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__sha"))
+    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (text_sha256(F.col(text_col)) == F.col("__sha")), "left_anti")

@@ -57,6 +57,11 @@ def test_drop_copies_keeps_columns(odd):
     assert 0 not in [r["doc_id"] for r in out.collect()]
 
 
+def test_drop_copies_goes_by_id_and_text(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "A")], "doc_id long, text string")
+    assert sorted(rows(exact_dedup.drop_copies(df), "doc_id", "text")) == [(1, "b"), (2, "A")]
+
+
 def test_suffix_dedup(case):
     df, plain = case
     got = rows(suffix_dedup.substring_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
