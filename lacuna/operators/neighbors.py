@@ -52,7 +52,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "ga
     points = points.select(F.col(point_id).alias("neighbour"), *XYZ)
     total = points.count()
     k = min(k, total)
-    edge = typical_edge(points, per_cell or max(2.0, k / 4.0))
+    edge = typical_edge(points, per_cell or max(2.0, float(k)))  # a ball of one edge then holds about 4 k points
     left, parts = queries, []
     order = Window.partitionBy("q").orderBy("d2", "neighbour")
     right = _side(points, "_b").withColumnRenamed("neighbour_b", "neighbour")
