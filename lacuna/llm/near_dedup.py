@@ -15,12 +15,14 @@ are verified on full shingle sets. With 24 bands of 4 a pair at similarity 0.8 s
 Within a key no all-pairs list is made. Each class is first compared with two leaders of its key, and keys whose
 classes are then one component are done. In the others only pairs across components are left: a key of up to
 ``FEW`` classes lists them; a larger one is cut into blocks, and a task compares two blocks by products
-of their incidence matrices, so that every pair is decided exactly and only links that join components come out.
+of their incidence matrices over 32 bits of each shingle hash. That can only overstate a similarity; up to
+``LINKS`` pairs of each two components come out and are verified on full sets as well.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ MANTISSA = 10
 SIGMAS = 6.0
 FEW = 32
 TOP_BLOCK, REST_BLOCK = 256, 128
+LINKS = 4
 COLUMNS = 4096  # of an incidence matrix at a time
 
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -172,7 +175,7 @@ def _promising(batches, threshold: int):
 def _sets(batches, size: int):
     for chunk in tb.chunks(batches):
         sets = [own.astype("<u8") for own in shingle_hashes(chunk, size) if len(own)]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], names=["cid", "items", "short"])
 
 
 def _verify(batches, threshold: int):
@@ -226,32 +229,26 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(table: pa.Table, threshold: int) -> pa.Table:
-    """Links between two blocks of a key's classes (side 0 and 1; 2 for both) that join components not joined before."""
-    side, cid, comp = (np.asarray(table.column(c)) for c in ("side", "cid", "comp"))
-    items = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")]
+    """Pairs across components, between two blocks of a key's classes (side 0 and 1; 2 for both), that may be linked."""
+    side, cid, comp, n = (np.asarray(table.column(c)) for c in ("side", "cid", "comp", "n"))
+    items = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("short")]
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    up: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while c in up:
-            c = up[c]
-        return c
-
+    seen: Counter = Counter()
     links = []
     if len(left) and len(right):
         both = common([items[k] for k in left], [items[k] for k in right])
-        size = np.array([len(x) for x in items])
-        linked = 100 * both >= threshold * (size[left][:, None] + size[right] - both)
+        linked = 100 * both >= threshold * (n[left][:, None] + n[right] - both)
         for x, y in zip(*np.nonzero(linked & (comp[left][:, None] != comp[right])), strict=True):
             p, q = left[x], right[y]
-            if (r := root(int(comp[p]))) != (t := root(int(comp[q]))):
-                up[r] = t
+            two = (min(comp[p], comp[q]), max(comp[p], comp[q]))
+            seen[two] += 1
+            if seen[two] <= LINKS:
                 links.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _crowded(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links across components in the keys of many classes (key, cid, comp).
+def _crowded(rows: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that may be linked, across components, in the keys of many classes (key, cid, comp).
 
     A key's largest component is cut into blocks, and the rest into others; each block of the rest meets
     all blocks, and those of the largest don't meet each other.
@@ -265,7 +262,8 @@ def _crowded(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda j: F.when(is_top, one(0, j, F.col("i"), F.lit(1))).otherwise(one(1, F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1))))
     with_top = F.when(~is_top, F.transform(F.sequence(F.lit(0).cast("long"), F.col("tops") - 1), lambda j: one(0, F.col("i"), j, F.lit(0)))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint,side:int>>"))
     met = dealt.select("key", "cid", "comp", F.explode(F.concat(with_rest, with_top)).alias("m")).select("key", "cid", "comp", "m.*")
-    full = met.join(sets, "cid").select("key", "kind", "i", "j", "side", "cid", "comp", "items")
+    small = sets.join(classes.select("cid", "n"), "cid").select("cid", "n", "short")
+    full = met.join(small, "cid").select("key", "kind", "i", "j", "side", "cid", "comp", "n", "short")
     return full.groupBy("key", "kind", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long")
 
 
@@ -307,7 +305,7 @@ def _components(texts: DataFrame, classes: DataFrame, size: int, threshold: int)
     release(bands)
     wanted = classes.select("cid", "rep").join(left.select("cid").distinct(), "cid", "left_semi").select("rep")
     chosen = texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = materialise(chosen.mapInArrow(functools.partial(_sets, size=size), "cid long, items binary"), "sets")
+    sets = materialise(chosen.mapInArrow(functools.partial(_sets, size=size), "cid long, items binary, short binary"), "sets")
     pairs = materialise(left.select("cid", F.explode("leads").alias("lead")).filter("cid <> lead").select(*_pair("cid", "lead")).distinct(), "pairs")
     links = materialise(_verified(pairs, classes, sets, threshold), "links")
     labels = materialise(components(links), "labels")
@@ -319,11 +317,13 @@ def _components(texts: DataFrame, classes: DataFrame, size: int, threshold: int)
     few = rows.filter(F.col("c") <= FEW)
     other = few.select("key", F.col("cid").alias("other"), F.col("comp").alias("comp2"))
     across = few.join(other, "key").filter("comp < comp2").select(*_pair("cid", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(across, classes, sets, threshold).unionByName(_crowded(rows.filter(F.col("c") > FEW), sets, threshold))
-    return materialise(components(links.unionByName(materialise(more, "more-links"))), "labels")
+    links = links.unionByName(materialise(_verified(across, classes, sets, threshold), "few-links"))
+    crowded = materialise(_crowded(rows.filter(F.col("c") > FEW), classes, sets, threshold).distinct(), "crowded-pairs")
+    links = links.unionByName(materialise(_verified(crowded, classes, sets, threshold), "crowded-links"))
+    return materialise(components(links), "labels")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id; all columns as they are."""
+    """``docs`` with one document of each component, the one with the least id; all columns as they are. Rows go by their ids, so these are to be unique."""
     gone = near_dedup(docs, id_col, text_col, size, threshold).filter("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
