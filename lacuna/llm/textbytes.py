@@ -7,6 +7,8 @@ characters. A chunk holds about ``CHUNK_BYTES``; a longer text is a chunk of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -75,6 +77,13 @@ def make_chunk(ids: np.ndarray, id_null: np.ndarray, null: np.ndarray, data: np.
     return Chunk(ids, id_null, null, out, starts.astype(np.int64), (starts + lens).astype(np.int64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers that wait for a task count against their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Columns 0 and 1 of the batches: id and text."""
     for batch in batches:
@@ -89,6 +98,8 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
             yield make_chunk(ids[low:high], id_null[low:high], null[low:high], data, at[low : high + 1])
             low = high
+        del batch, data, ids
+        give_back()
 
 
 def _filter(batches, at: int, decide):
