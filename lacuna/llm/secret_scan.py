@@ -111,7 +111,8 @@ def scan_text(text: bytes, hex_spans: list[tuple[int, int]] | None = None, min_c
             values[m.start(2)] = m.end(2)
     found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     for m in CONTEXT.finditer(low):
-        values.setdefault(*m.span(1))
+        a, b = m.span(1)
+        values[a] = max(values.get(a, 0), b)  # ASSIGN stops at the first byte outside its class
     for a, b in values.items():
         if guess_cost(text[a:b].decode("utf-8", "replace")) >= min_cost:
             found.append((a, "guess", b))

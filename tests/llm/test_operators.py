@@ -238,6 +238,13 @@ def test_guess_cost():
     assert cost("9f86d081884c7d659a2feaa0c55ad015") > 20
 
 
+def test_secret_values_with_punctuation():
+    """A value is whole where the pattern of assignments ends within it."""
+    for value in (b"sunshine!Xk9@vQ2z", b"x8Kq2Lw9ZpT4!Xk9@vQ2z"):
+        text = b"password: " + value
+        assert (10, "guess", len(text)) in secret_scan.scan_text(text)
+
+
 def test_sharding(case):
     df, plain = case
     got = sharding.shuffle_to_shards(df, 5).collect()
