@@ -30,8 +30,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 HEX = np.zeros(256, dtype=bool)
 HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
-#: Where a value is a credential: the words, and a value of at least eight characters that aren't white space or quotes.
-CONTEXT = re.compile(rb"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|auth|bearer|(?:access|secret|private|api|client)[_-]?(?:key|secret|token)|secret|token|apikey)["']?\x20*(?:=>|[:=])\x20*["']?([!#-&(-~]{8,200})""")
+#: Where a value is a credential: the words, and a value of eight or more characters that aren't white space or quotes, however long.
+CONTEXT = re.compile(rb"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|auth|bearer|(?:access|secret|private|api|client)[_-]?(?:key|secret|token)|secret|token|apikey)["']?\x20*(?:=>|[:=])\x20*["']?([!#-&(-~]{8,})""")
 
 #: Common words of passwords, most common first; the position is the number of guesses.
 WORDS = """password qwerty dragon monkey letmein football iloveyou admin welcome login master sunshine princess shadow
@@ -42,7 +42,7 @@ server system data pass word demo temp temporary none null true false name value
 #: Rows that keyboard walks follow, either way.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm")
 DATES = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-LONGEST = 64  # of a span that isn't brute force
+LONGEST = 64  # of a keyboard walk; a longer one is several
 
 
 def _classes() -> np.ndarray:
@@ -54,6 +54,7 @@ def _classes() -> np.ndarray:
 
 BRUTE = _classes()
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
+LONGEST_WORD = max(map(len, WORDS))
 STEPS = {a + b for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
 
 
@@ -61,21 +62,9 @@ def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
     low, n = value.lower(), len(value)
     spans: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        for size in range(3, min(LONGEST, n - i) + 1):
-            word = low[i : i + size]
-            if size <= 12 and word in RANK:
-                spans.setdefault(i + size, []).append((i, math.log10(RANK[word]) + (0 if value[i : i + size] == word else math.log10(2 * size))))
     for m in re.finditer(f"(?={DATES.pattern})", low):
         end = DATES.match(low, m.start()).end()
         spans.setdefault(end, []).append((m.start(), math.log10(130) if end - m.start() == 4 else math.log10(130 * 372)))
-    start = 0
-    for i in range(1, n + 1):
-        if i == n or low[i - 1] + low[i] not in STEPS:
-            for a in range(start, i - 2):
-                for b in range(a + 3, min(i, a + LONGEST) + 1):
-                    spans.setdefault(b, []).append((a, math.log10(60 * (b - a))))
-            start = i
     for unit in range(1, min(8, n // 2) + 1):
         i = 0
         while i + 2 * unit <= n:
@@ -87,10 +76,18 @@ def guess_cost(value: str) -> float:
                 i += (times - 1) * unit
             i += 1
     best = [0.0] * (n + 1)
+    walk = 0  # where the keyboard walk that ends here starts
     for j in range(1, n + 1):
         best[j] = best[j - 1] + _char(value[j - 1])
-        for i, cost in spans.get(j, ()):
+        for i, cost in spans.pop(j, ()):
             best[j] = min(best[j], best[i] + cost)
+        for i in range(max(0, j - LONGEST_WORD), j - 2):
+            if rank := RANK.get(low[i:j]):
+                best[j] = min(best[j], best[i] + math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(2 * (j - i))))
+        if j > 1 and low[j - 2 : j] not in STEPS:
+            walk = j - 1
+        for i in range(max(walk, j - LONGEST), j - 2):
+            best[j] = min(best[j], best[i] + math.log10(60 * (j - i)))
     return best[n]
 
 

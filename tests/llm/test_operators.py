@@ -245,6 +245,13 @@ def test_secret_values_with_punctuation():
         assert (10, "guess", len(text)) in secret_scan.scan_text(text)
 
 
+def test_secret_values_are_whole():
+    """However long a value is, its span ends where it ends."""
+    key = "".join(hashlib.sha512(bytes([k])).hexdigest() for k in range(4))[:420].encode()
+    text = b'private_key="' + key + b'"'
+    assert (13, "guess", 433) in secret_scan.scan_text(text)
+
+
 def test_sharding(case):
     df, plain = case
     got = sharding.shuffle_to_shards(df, 5).collect()
