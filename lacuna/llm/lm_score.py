@@ -2,40 +2,51 @@
 
 Base: word counts of all training texts, gathered by blocks. Model: the symbols are the
 bytes of the words in lower case, 0x20 after each word and 0xFF after the last, so a
-text's symbols and its tokens determine each other. Counts of all training n-grams of
-``DEPTH`` + 1 symbols are added up over the corpus. A context of up to ``DEPTH``
-symbols is retained if it makes up a share of at least ``LEAST_SHARE`` of all symbols
-and its next-symbol distribution diverges from that of its longest proper suffix (count times
+text's symbols and its tokens determine each other; before a text stand as many 0xFF as are asked for.
+A context is retained if at least ``LEAST_COUNT`` symbols follow it in the training texts and its
+next-symbol distribution diverges from that of its longest proper suffix (count times
 Kullback-Leibler divergence of at least ``DIVERGENCE``), or if it is a suffix of one
 that is. Next-symbol distributions are smoothed towards that of the suffix. At each symbol the
 longest retained suffix of what was read is the state that scores it.
 
-The share bounds the tree by DEPTH / LEAST_SHARE contexts whatever the corpus, so it can
-be broadcast; texts are scored by an automaton whose states are the beginnings of
-retained contexts. A state depends on the last DEPTH symbols only, so texts are cut into blocks
-that are read in step, each after the DEPTH symbols before it.
+Contexts are tested in rounds of ``DEPTH`` symbols, to any depth. The first tests all contexts of up to
+``DEPTH``; each further one adds up to ``DEPTH`` symbols before those contexts of which a longer one can still pass,
+until there are none. A context that n symbols follow, of entropy H, has longer ones that pass only if both
+(n + STRENGTH) / e and n H + STRENGTH are at least DIVERGENCE: with counts c' <= s of a context of n' symbols and its suffix
+of m <= n, the divergence sum c' ln(c' / n' * (m + STRENGTH) / (s + ..)) is at most n' ln((m + STRENGTH) / n') and
+at most m H + STRENGTH. So no context that would pass is left out, and copied passages end the search where one symbol only follows. Nothing new stands before the beginning of a text, so the search ends there too.
+
+The tree is nowhere in one place. In a round a block sends its distinct n-grams with their training counts to
+parts of their hashes. The sums over the corpus are a table; contexts are tested by joins of
+its n-grams with those one symbol shorter, and each part answers its blocks, for each n-gram, with the log
+probability in the state that scores it and whether the next round goes on from it. Log probabilities travel in
+steps of 2**-16.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
 from lacuna.llm.scratch import materialise, release
 
-DEPTH = 5
-LEAST_SHARE = 1e-5
+DEPTH = 5  # symbols that a round adds to contexts
+LEAST_COUNT = 2
 DIVERGENCE = 30.0  # nats
 STRENGTH = 4.0  # weight of the suffix's distribution, in counts
 END = 0xFF
 BLOCK = 1024
+STEPS = 1 << 16  # of log probabilities, to one
+SLICE = 1 << 19  # places at a time
 
 def held_out(ids: Column) -> Column:
     return F.coalesce(F.crc32(ids.cast("string")) % 7 == 2, F.lit(False))
@@ -66,8 +77,8 @@ def _symbols(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.n
     return out, own
 
 
-def _grams(symbols: np.ndarray, own: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """The n-grams, the scored symbol in the lowest byte, of the texts to use."""
+def _grams(symbols: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of scored symbols, and the n-grams that end there, the scored symbol in the lowest byte."""
     n = len(symbols) - DEPTH
     packed = np.zeros(max(n, 0), np.uint64)
     for k in range(DEPTH + 1):
@@ -75,9 +86,7 @@ def _grams(symbols: np.ndarray, own: np.ndarray, use: np.ndarray) -> np.ndarray:
     inside = np.ones(max(n, 0), bool)
     cross = (own[1:-1, None] - DEPTH + np.arange(DEPTH)).reshape(-1)  # these would span two texts
     inside[cross[(cross >= 0) & (cross < n)]] = False
-    lens = np.diff(own)
-    keep = np.repeat(use, lens)[:n]
-    return packed[inside & keep]
+    return (np.flatnonzero(inside) + DEPTH).astype(np.int32 if n < 1 << 31 else np.int64), packed[inside]
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +108,97 @@ def _token_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out, own
 
 
-def _send(batches, parts: int):
-    """Words of a block with their training counts, for parts 0 and up; its training n-grams, for parts below 0."""
+def _dealt(base: np.ndarray, grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts n-grams into parts, the parts that get some, and bounds of each."""
+    part = bl.part_of(_key(base, grams), parts)
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.flatnonzero(np.diff(at)), at
+
+
+def _key(base: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return tb.mix(base * np.uint64(0x9E3779B97F4A7C15) ^ grams)
+
+
+def _settled(base: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The key of a context of DEPTH symbols more."""
+    return tb.mix(base * np.uint64(0xD6E8FEB86659FD93) + context + np.uint64(1))
+
+
+class Reading:
+    """The scored symbols of a block, round by round.
+
+    In round r an n-gram is a 64-bit key of the DEPTH * r symbols of context that all rounds before have settled
+    (0 in the first), and the DEPTH symbols before them, with the scored symbol in the lowest byte.
+    """
+
+    def __init__(self, symbols: np.ndarray, own: np.ndarray):
+        self.symbols, self.own, self.round = symbols, own, 0
+        self.places, grams = _grams(symbols, own)
+        self.text = np.repeat(np.arange(len(own) - 1, dtype=np.int32), np.diff(own) - DEPTH)
+        self.code = np.zeros(len(self.places), np.int32)  # of the state found so far
+        self.active = np.arange(len(self.places), dtype=np.int32)
+        self._distinct(None, grams, self.code)
+
+    def _distinct(self, base: np.ndarray | None, grams: np.ndarray, codes: np.ndarray) -> None:
+        """Keep the distinct n-grams, by base and symbols, and the place of each among them."""
+        key = grams if base is None else _key(base, grams)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.ones(len(order), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        del key
+        self.of = np.empty(len(order), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = order[new]
+        del order, new
+        self.base, self.grams, self.codes = np.zeros(len(first), np.uint64) if base is None else base[first], grams[first], codes[first]
+        if base is not None:
+            order = np.lexsort((self.grams, self.base))
+            self.base, self.grams, self.codes = self.base[order], self.grams[order], self.codes[order]
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            self.of = rank[self.of]
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Training counts of the distinct n-grams."""
+        return np.bincount(self.of, train[self.text[self.active]], minlength=len(self.grams)).astype(np.int64)
+
+    def answered(self, answers: Iterator[bytes], states: Iterator[bytes] | None, parts: int) -> None:
+        """Take the answers of all parts that were sent something, and the states if they are known, and go on to the next round."""
+        order, full, at = _dealt(self.base, self.grams, parts)
+        reply, state = np.zeros((2, len(order)), np.int64)
+        for p in full.tolist():
+            reply[order[at[p] : at[p + 1]]] = bl.expand(next(answers), 0)[0].view(np.int64)
+            if states:
+                state[order[at[p] : at[p + 1]]] = bl.expand(next(states), 0)[0].view(np.int64)
+        found = (state & 1).astype(bool)[self.of]
+        self.code[self.active[found]] = (state >> 1)[self.of[found]]
+        on = (reply & 1).astype(bool)[self.of]
+        codes = (reply >> 1).astype(np.int32)[self.of[on]]
+        base = _settled(self.base, self.grams >> np.uint64(8))[self.of[on]]
+        del reply, state, order
+        self.active, self.round = self.active[on], self.round + 1
+        grams = np.empty(len(self.active), np.uint64)
+        for low in range(0, len(grams), SLICE):
+            some = self.active[low : low + SLICE]
+            place, start = self.places[some], self.own[self.text[some]]
+            packed = self.symbols[place].astype(np.uint64)
+            for k in range(1, DEPTH + 1):
+                at = place - DEPTH * self.round - k
+                packed |= np.where(at >= start, self.symbols[np.maximum(at, 0)], END).astype(np.uint64) << np.uint64(8 * k)
+            grams[low : low + SLICE] = packed
+        self._distinct(base, grams, codes)
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each text."""
+        return -np.bincount(self.text, self.code, minlength=len(self.own) - 1) / STEPS
+
+
+def _send_words(batches, parts: int):
+    """Words of a block with their training counts."""
     for block, chunk, _ in bl.read(batches):
-        low, starts, ends, bounds, hashes = _words(chunk)
+        _, _, _, bounds, hashes = _words(chunk)
         train = ~_held_out(chunk)
         keys, own = _token_keys(hashes, bounds)
         distinct, _ = _counted(keys)
@@ -111,38 +207,169 @@ def _send(batches, parts: int):
         counts[np.searchsorted(distinct, seen)] = count
         full, at = bl.cut(distinct, parts)
         yield bl.sent(block, full, [bl.squeeze(distinct[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
-        grams, count = _counted(_grams(*_symbols(low, starts, ends, bounds), train))
-        dealt = bl.part_of(tb.mix(grams), parts)
-        order = np.argsort(dealt, kind="stable")
-        at = np.searchsorted(dealt[order], np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(at))
-        yield bl.sent(block, -1 - full, [bl.squeeze(grams[own], count[own]) for own in (order[at[p] : at[p + 1]] for p in full.tolist())])
 
 
 def _combine(table: pa.Table) -> pa.Table:
-    """Words: each block's answer, and a row (block -1) with the part's tokens and distinct words. N-grams: a row (block -2) of sums."""
+    """Each block's answer, and a row (block -1) with the part's tokens and distinct words."""
     part = table.column("part")[0].as_py()
     found = [bl.expand(p.as_py(), 1) for p in table.column("entries")]
     keys, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     order, first, place = bl.totals(keys)
     total = np.add.reduceat(counts[order], first)
-    if part < 0:
-        return bl.answers(part, [-2], [bl.squeeze(keys[order][first], total)])
     at = tb.offsets(np.array([len(f[0]) for f in found], np.int64))
     reply = total[place]
     rows = [bl.squeeze(f[0], reply[a:b]) for f, a, b in zip(found, at[:-1], at[1:], strict=True)]
     return bl.answers(part, [*table.column("block").to_pylist(), -1], [*rows, bl.squeeze(np.zeros(1, np.uint64), total.sum(keepdims=True), (total > 0).sum(keepdims=True))])
 
 
-def _gram_rows(batches):
+def _reading(chunk: tb.Chunk, words: tuple, answers: list[bytes], rounds: int, parts: int, done: bool = False) -> Reading:
+    """``answers`` of each round; if all are ``done``, the states of each round behind them."""
+    low, starts, ends, bounds, _ = words
+    out = Reading(*_symbols(low, starts, ends, bounds))
+    half = len(answers) // 2
+    left, states = (iter(answers[:half]), iter(answers[half:])) if done else (iter(answers), None)
+    for _ in range(rounds):
+        out.answered(left, states, parts)
+    return out
+
+
+def _send_grams(batches, rounds: int, parts: int):
+    """Distinct n-grams of a block: the key of the settled context, the symbols, training count, and the code of the probability in the settled context."""
+    for block, chunk, more in bl.read(batches):
+        reading = _reading(chunk, _words(chunk), [a.as_py() for a in more[0].values] if rounds else [], rounds, parts)
+        counts = reading.counts(~_held_out(chunk))
+        order, full, at = _dealt(reading.base, reading.grams, parts)
+        columns = (reading.base, reading.grams, counts, reading.codes)
+        yield bl.sent(block, full, [bl.squeeze(*(c[own] for c in columns)) for own in (order[at[p] : at[p + 1]] for p in full.tolist())])
+        del reading, counts, order, columns
+        tb.give_back()
+
+
+def _sum_grams(table: pa.Table) -> pa.Table:
+    part = table.column("part")[0].as_py()
+    found = [bl.expand(p.as_py(), 3) for p in table.column("entries")]
+    base, grams, counts, codes = (np.concatenate([f[k] for f in found]) for k in range(4))
+    order = np.lexsort((grams, base))
+    base, grams = base[order], grams[order]
+    first = np.flatnonzero(np.concatenate(([True], (base[1:] != base[:-1]) | (grams[1:] != grams[:-1]))))
+    n = len(first)
+    return pa.table({"part": pa.array(np.full(n, part), pa.int32()), "base": base[first].view(np.int64), "g": grams[first], "c": np.add.reduceat(counts[order], first), "code": codes[order][first]})
+
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The value of each of the blocks' n-grams."""
+    keys = _key(np.asarray(known.column("base")).view(np.uint64), np.asarray(known.column("g")).view(np.uint64))
+    order = np.argsort(keys)
+    keys, reply = keys[order], np.asarray(known.column("v"))[order]
+    rows = []
+    for packed in asked.column("entries"):
+        base, grams = bl.expand(packed.as_py(), 3)[:2]
+        rows.append(bl.squeeze(reply[np.searchsorted(keys, _key(base, grams.view(np.uint64)))].view(np.uint64)))
+    return bl.answers(asked.column("part")[0].as_py(), asked.column("block").to_pylist(), rows)
+
+
+def _answers(sent: DataFrame, values: DataFrame, shift: int) -> DataFrame:
+    own = materialise(sent.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answer, bl.ANSWER_SCHEMA), "answers")
+    return own.withColumn("part", (F.col("part") + shift).cast("int"))
+
+
+def _code(p: str) -> Column:
+    return F.rint(-F.log10(p) * STEPS).cast("long") * 2
+
+
+def _next_keys(batches):
     for batch in batches:
-        for packed in batch.column(0):
-            keys, counts = bl.expand(packed.as_py(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "c"])
+        base, context = (np.asarray(batch.column(k)).view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_settled(base, context).view(np.int64))], names=["base", "context", "next"])
+
+
+def _low(column: str, size: int) -> Column:
+    """The scored symbol and ``size`` symbols before it."""
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * (size + 1))) - 1))
+
+
+def tested(grams: DataFrame, rounds: int, total: int) -> list[DataFrame]:
+    """Of the contexts of a round, by size: (base, g) of their n-grams with p, the smoothed probability, and whether the context passed.
+
+    The longest also have part and go: whether a longer context may pass. ``total`` is the number of training symbols.
+    Everything is done by joins on n-grams, of which at most 256 share one that is a symbol shorter.
+    """
+    if rounds:
+        above = grams.groupBy("base", _low("g", 0).alias("g")).agg(F.min("code").alias("code")).select("base", "g", F.pow(F.lit(10.0), -F.col("code") / STEPS).alias("p"))
+    else:
+        above = grams.groupBy("base", _low("g", 0).alias("g")).agg(((F.sum("c") + 1) / F.lit(total + 256.0)).alias("p"))
+    above = materialise(above, "level")
+    levels = [above]
+    for size in range(1, DEPTH + 1):
+        rows = grams.groupBy("base", _low("g", size).alias("g")).agg(F.sum("c").alias("c")) if size < DEPTH else grams.select("part", "base", "g", "c")
+        shorter = above.select("base", F.col("g").alias("shorter"), F.col("p").alias("q"))
+        context = Window.partitionBy("base", F.shiftright("g", 8))
+        rows = rows.withColumn("shorter", _low("g", size - 1)).join(shorter, ["base", "shorter"]).withColumn("n", F.sum("c").over(context))
+        gain = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / F.col("n") / F.col("q"))).otherwise(0.0)
+        rows = rows.withColumn("passed", (F.sum(gain).over(context) >= DIVERGENCE) & (F.col("n") >= LEAST_COUNT))
+        if size == DEPTH:
+            spread = F.col("n") * F.log("n") - F.sum(F.when(F.col("c") > 0, F.col("c") * F.log("c")).otherwise(0.0)).over(context)
+            rows = rows.withColumn("go", F.coalesce((F.col("n") + STRENGTH >= math.e * DIVERGENCE) & (spread + STRENGTH >= DIVERGENCE) & (F.shiftright("g", 8 * DEPTH) != END), F.lit(False)))
+        above = materialise(rows.withColumn("p", (F.col("c") + STRENGTH * F.col("q")) / (F.col("n") + STRENGTH)).drop("q", "n", "c"), "level")
+        levels.append(above)
+    return levels
+
+
+def _retained(levels: list[DataFrame], rounds: int, longer: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Values of the n-grams of a round, and the settled contexts that are suffixes of retained ones; ``longer`` are those of the next round.
+
+    A value is twice the code of the probability in the longest retained context and one more, or 0 where the round retains none.
+    """
+    kept: list[DataFrame] = []
+    for size in range(DEPTH, 0, -1):
+        own = levels[size].filter("passed").select("base", F.shiftright("g", 8).alias("context"))
+        if kept:
+            own = own.unionByName(kept[-1].select("base", F.col("context").bitwiseAND(F.lit((1 << (8 * size)) - 1)).alias("context")))
+        elif longer is not None:
+            ends = levels[size].filter("go").select("base", F.shiftright("g", 8).alias("context")).distinct().mapInArrow(_next_keys, "base long, context long, next long")
+            own = own.unionByName(ends.join(longer.withColumnRenamed("base", "next"), "next").select("base", "context"))
+        kept.append(materialise(own.distinct(), "kept"))
+    bases = materialise(kept[-1].select("base").distinct(), "bases")
+    found = levels[0].select("base", "g", F.col("p").alias("r"))
+    if rounds:
+        found = levels[0].join(bases.withColumn("kept", F.lit(True)), "base", "left").select("base", "g", F.when(F.col("kept"), F.col("p")).alias("r"))
+    for size, own in zip(range(1, DEPTH + 1), reversed(kept), strict=True):
+        rows = levels[size].withColumn("context", F.shiftright("g", 8)).join(own.withColumn("kept", F.lit(True)), ["base", "context"], "left")
+        rows = rows.join(found.select("base", F.col("g").alias("shorter"), F.col("r").alias("s")), ["base", "shorter"])
+        found = rows.select(*(["part"] if size == DEPTH else []), "base", "g", F.when(F.col("kept"), F.col("p")).otherwise(F.col("s")).alias("r"))
+    values = materialise(found.select("part", "base", "g", F.coalesce(_code("r") + 1, F.lit(0)).alias("v")), "states")
+    release(*kept)
+    return values, bases
+
+
+def _states(blocks: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """Answers to each block, those of a round behind those of the round before and then the states likewise, and the number of rounds."""
+    answers: list[DataFrame] = []
+    asked, levels, total = [], [], 0
+    more = True
+    while more:
+        rounds = len(answers)
+        whole = bl.beside(blocks, functools.reduce(DataFrame.unionByName, answers)) if rounds else blocks
+        sent = materialise(whole.mapInArrow(functools.partial(_send_grams, rounds=rounds, parts=parts), bl.SENT_SCHEMA), "sent")
+        grams = materialise(sent.groupBy("part").applyInArrow(_sum_grams, "part int, base long, g long, c long, code long"), "grams")
+        if not rounds:
+            total = grams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        own = tested(grams, rounds, total)
+        release(grams)
+        answers.append(_answers(sent, own[-1].select("part", "base", "g", (_code("p") + F.col("go").cast("long")).alias("v")), rounds * parts))
+        asked.append(sent)
+        levels.append(own)
+        more = not own[-1].filter("go").isEmpty()
+    rounds, longer = len(answers), None
+    for k in reversed(range(rounds)):
+        values, longer = _retained(levels[k], k, longer)
+        answers.append(_answers(asked[k], values, (rounds + k) * parts))
+        release(values, asked[k], *levels[k])
+    return functools.reduce(DataFrame.unionByName, answers), rounds
 
 
 class SuffixTree:
-    """Retained contexts with smoothed distributions, as an automaton over symbols."""
+    """Retained contexts of a small corpus with smoothed distributions, as an automaton over symbols."""
 
     def __init__(self, counts: dict[bytes, dict[int, int]]):
         """``counts``: next-symbol counts of candidate contexts, closed under suffixes; b"" among them if anything was read."""
@@ -226,33 +453,17 @@ class SuffixTree:
         return np.bincount(owner, total, minlength=len(lens))
 
 
-def suffix_tree(grams: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE) -> SuffixTree:
-    """From (gram, c): candidates are the contexts of a large enough share, at most 1 / ``share`` of each length."""
-    total = grams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    counts: dict[bytes, dict[int, int]] = {}
-    orders = []
-    for size in range(depth + 1):
-        mask = (1 << (8 * (size + 1))) - 1
-        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("c").alias("c"))
-        orders.append(own.select(F.lit(size).alias("size"), F.shiftright("g", 8).alias("context"), F.col("g").bitwiseAND(F.lit(0xFF)).alias("next"), "c"))
-    rows = functools.reduce(DataFrame.unionByName, orders)
-    most = rows.groupBy("size", "context").agg(F.sum("c").alias("n"), F.collect_list(F.struct("next", "c")).alias("nexts")).filter(F.col("n") >= share * total)
-    for r in most.toLocalIterator():
-        counts[r["context"].to_bytes(r["size"], "big")] = {x["next"]: x["c"] for x in r["nexts"]}
-    return SuffixTree(counts)
-
-
-def _score(batches, tree, tokens: int, distinct: int):
-    for _, chunk, (answers,) in bl.read(batches):
-        low, starts, ends, bounds, hashes = _words(chunk)
-        keys, own = _token_keys(hashes, bounds)
+def _score(batches, tokens: int, distinct: int, rounds: int, parts: int):
+    for _, chunk, (answers, states) in bl.read(batches):
+        words = _words(chunk)
+        keys, own = _token_keys(words[4], words[3])
         known, _ = _counted(keys)
         counts = np.concatenate([bl.expand(a.as_py(), 1)[1] for a in answers.values])
         of = np.searchsorted(known, keys)
         logs = np.log10(counts + 1.0)[of]
         n = np.diff(own)
         base = tb.sums(logs, own) - n * np.log10(tokens + distinct + 1.0)
-        score = tree.value.score(*_symbols(low, starts, ends, bounds))
+        score = _reading(chunk, words, [a.as_py() for a in states.values], rounds, parts, done=True).scores()
         yield pa.RecordBatch.from_arrays(
             [chunk.id_array(), pa.array(n, pa.int64()), pa.array(tb.sums(counts[of] > 0, own), pa.int64()), pa.array(base), pa.array(score)],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
@@ -265,18 +476,17 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Tokens are the words (runs of other characters than 0x20 and 0x09-0x0D, A-Z in lower case) and one
     end. Training texts are those whose crc32(id as text) mod 7 is not 2; rows without id
     train too. A null text counts as empty and is the end alone. Repeated rows count each time. An
-    empty table gives an empty result. Other columns are ignored. Words are
-    told apart by 64-bit hashes.
+    empty table gives an empty result. Other columns are ignored. Words and contexts of more than DEPTH
+    symbols are told apart by 64-bit hashes.
     """
     blocks = bl.pack_blocks(docs, id_col, text_col)
     parts = bl.parts_for(blocks)
-    sent = blocks.mapInArrow(functools.partial(_send, parts=parts), bl.SENT_SCHEMA)
+    sent = blocks.mapInArrow(functools.partial(_send_words, parts=parts), bl.SENT_SCHEMA)
     got = materialise(sent.groupBy("part").applyInArrow(_combine, bl.ANSWER_SCHEMA), "counts")
     sums = [bl.expand(bytes(r["answers"]), 2)[1:] for r in got.filter("block = -1").select("answers").toLocalIterator()]
     tokens, distinct = (int(sum(s[k][0] for s in sums)) for k in (0, 1))
-    grams = materialise(got.filter("block = -2").select("answers").mapInArrow(_gram_rows, "gram long, c long"), "grams")
-    tree = docs.sparkSession.sparkContext.broadcast(suffix_tree(grams))  # at most DEPTH / LEAST_SHARE contexts
-    release(grams)
-    whole = bl.beside(blocks, got.filter("block >= 0"))
-    out = whole.mapInArrow(functools.partial(_score, tree=tree, tokens=tokens, distinct=distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    states, rounds = _states(blocks, parts)
+    words = bl.beside(blocks, got.filter("block >= 0")).withColumnRenamed("answers", "words")
+    whole = bl.beside(words, states)
+    out = whole.mapInArrow(functools.partial(_score, tokens=tokens, distinct=distinct, rounds=rounds, parts=parts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -317,6 +317,77 @@ def test_lm_scores(docs):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-5) for r in scored)
 
 
+def _plain_scores(plain):
+    """Scores by a suffix tree in dictionaries, with rounds of five symbols."""
+    size = lm_score.DEPTH
+    texts = [b"".join(w.encode() + b" " for w in brute.SPACE.findall(brute.low(t))) + b"\xff" for _, t in plain]
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in plain]
+
+    def context(text, k, n):
+        return text[max(0, k - n) : k].rjust(n, b"\xff")
+
+    counts, prob, kept, passed = {b"": Counter()}, {}, {b""}, {b""}
+    for text, ok in zip(texts, train, strict=True):
+        if ok:
+            counts[b""].update(text)
+    total = sum(counts[b""].values())
+
+    def p(c, x):
+        if (c, x) not in prob:
+            own = counts[c]
+            prob[c, x] = (own[x] + lm_score.STRENGTH * p(c[1:], x)) / (sum(own.values()) + lm_score.STRENGTH) if c else (own[x] + 1) / (total + 256)
+        return prob[c, x]
+
+    depth = 0
+    while passed:
+        for text, ok in zip(texts, train, strict=True):
+            for k in range(len(text)) if ok else ():
+                if context(text, k, depth) in passed:
+                    for n in range(depth + 1, depth + size + 1):
+                        counts.setdefault(context(text, k, n), Counter())[text[k]] += 1
+        found = set()
+        for c, own in counts.items():
+            n = sum(own.values())
+            if len(c) > depth and n >= lm_score.LEAST_COUNT and sum(m * np.log(m / n / p(c[1:], x)) for x, m in own.items()) >= lm_score.DIVERGENCE:
+                found.add(c)
+                kept.update(c[j:] for j in range(len(c) + 1))
+        depth += size
+        passed = {c for c, own in counts.items() if len(c) == depth and c[0] != 0xFF and len(own) > 1 and sum(own.values()) >= 40}  # longer ones of others can't diverge as much
+    out = []
+    for text in texts:
+        score = 0.0
+        for k in range(len(text)):
+            n = 0
+            while n < depth and context(text, k, n + 1) in kept:
+                n += 1
+            score += np.log10(p(context(text, k, n), text[k]))
+        out.append(score)
+    return out, max(map(len, kept))
+
+
+def test_lm_scores_follow_the_tests(spark, docs, texts):
+    """Scores are those of a plain tree, also where contexts of more than one round are retained."""
+    rng = np.random.default_rng(4)
+    ends = ["red", "blue"]
+    made = [(10**6 + k, f"{rng.choice(list('abcdefgh'))} {'no yes'.split()[k % 2]} quantumleap {ends[k % 2]}") for k in range(400)]
+    plain = [*list(texts.items())[:60], *made]
+    want, deepest = _plain_scores(plain)
+    assert deepest > lm_score.DEPTH
+    df = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(df).collect()}
+    assert [got[i] for i, _ in plain] == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_contexts_of_a_small_share(spark):
+    """What is retained doesn't depend on how much else the corpus holds."""
+    rare = [(k, "zq xj vw kp") for k in range(60)]
+    scores = []
+    for filler in (1, 6_000_000):
+        df = spark.createDataFrame([*rare, (10**6, "a" * filler)], "doc_id long, text string").repartition(2)
+        scores.append(min(r["score"] for r in lm_score.lm_score(df).filter("n_tokens > 2").collect()))
+    assert abs(scores[1] - scores[0]) < 8  # the first symbols are rarer; the others follow from contexts
+
+
 def test_near_dedup(case):
     df, plain = case
     got = rows(near_dedup.near_dedup(df, size=4), "doc_id", "n_shingles", "component_id", "kept")
