@@ -209,11 +209,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _identified(chunk: tb.Chunk, model) -> np.ndarray:
+    if not model.value.langs:
+        letters = model.value.symbols(chunk.data)[2]
+        return letters[chunk.ends] > letters[chunk.starts]
     return np.array([lang != UNKNOWN for lang in model.value.predict(chunk)[0]], bool)
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
-    """``docs`` without the rows that :func:`identify` answers with ``und``; all columns as they are."""
+    """``docs`` without the rows that :func:`identify` answers with ``und``; all columns as they are.
+
+    Where no language could be learned, only those without a letter go.
+    """
     model = model or fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return tb.filter_rows(docs, text_col, functools.partial(_identified, model=shared))

@@ -131,6 +131,11 @@ def test_nothing_to_learn(odd):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_nothing_to_learn_drops_only_texts_without_letters(odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.drop_unidentified(unlabelled).count() == len(ODD) - 3
+
+
 def test_token_store(case):
     from tokenizers import Tokenizer
 
