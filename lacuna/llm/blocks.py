@@ -32,17 +32,24 @@ SENT_SCHEMA = "part int, block long, entries binary"
 ANSWER_SCHEMA = "part int, block long, answers binary"
 
 
+def packed(block: int, *chunks: tb.Chunk, only: np.ndarray | None = None) -> dict:
+    """A row of BLOCK_SCHEMA with these texts, or ``only`` some of them."""
+    only = np.ones(sum(map(len, chunks)), bool) if only is None else only
+    ids = np.concatenate([c.ids for c in chunks])[only]
+    null = np.concatenate([c.id_null for c in chunks])[only]
+    lens = np.concatenate([np.where(c.null, -1, c.ends - c.starts) for c in chunks])[only]
+    texts = ((c, k) for c in chunks for k in range(len(c)))
+    data = b"".join(c.text(k) for (c, k), own in zip(texts, only.tolist(), strict=True) if own)
+    return {"block": block, "n_docs": len(ids), "doc_ids": ids.astype("<i8").tobytes() + null.tobytes(), "offsets": lens.astype("<i8").tobytes(), "data": zip_bytes(data)}
+
+
 def _pack(batches, limit: int):
     task, seq = TaskContext.get().partitionId(), 0
     held: list[tb.Chunk] = []
 
     def flush():
         nonlocal seq
-        ids = np.concatenate([c.ids for c in held])
-        null = np.concatenate([c.id_null for c in held])
-        lens = np.concatenate([np.where(c.null, -1, c.ends - c.starts) for c in held])
-        data = b"".join(c.text(k) for c in held for k in range(len(c)))
-        row = pa.RecordBatch.from_pydict({"block": [(task << 32) | seq], "n_docs": [len(ids)], "doc_ids": [ids.astype("<i8").tobytes() + null.tobytes()], "offsets": [lens.astype("<i8").tobytes()], "data": [_zip(data)]})
+        row = pa.RecordBatch.from_pylist([packed((task << 32) | seq, *held)])
         held.clear()
         seq += 1
         return row
@@ -67,7 +74,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_
 def unpack(doc_ids: bytes, lens: bytes, data: bytes) -> tb.Chunk:
     lens = np.frombuffer(lens, "<i8")
     n = len(lens)
-    text = np.frombuffer(_unzip(data, int(np.maximum(lens, 0).sum())), np.uint8)
+    text = np.frombuffer(unzip_bytes(data, int(np.maximum(lens, 0).sum())), np.uint8)
     null = np.frombuffer(doc_ids[8 * n :], bool)
     return tb.make_chunk(np.frombuffer(doc_ids[: 8 * n], "<i8"), null, lens < 0, text, tb.offsets(np.maximum(lens, 0)))
 
@@ -89,25 +96,36 @@ def squeeze(keys: np.ndarray, *columns: np.ndarray) -> bytes:
     """Sorted 64-bit keys, as differences, and 64-bit numbers beside them, byte planes together, compressed."""
     steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
     planes = [np.ascontiguousarray(np.asarray(c).astype("<i8") if c is not steps else c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (steps, *columns)]
-    return len(keys).to_bytes(8, "little") + _zip(b"".join(planes))
+    return len(keys).to_bytes(8, "little") + zip_bytes(b"".join(planes))
 
 
 def expand(packed: bytes, columns: int) -> list[np.ndarray]:
     """What :func:`squeeze` took: keys and ``columns`` columns."""
     n = int.from_bytes(packed[:8], "little")
-    planes = np.frombuffer(_unzip(packed[8:], 8 * n * (columns + 1)), np.uint8).reshape(columns + 1, 8, n)
+    planes = np.frombuffer(unzip_bytes(packed[8:], 8 * n * (columns + 1)), np.uint8).reshape(columns + 1, 8, n)
     found = [np.ascontiguousarray(p.T).view("<u8").reshape(-1) for p in planes]
     return [np.cumsum(found[0]), *(f.view("<i8") for f in found[1:])]
 
 
-def _zip(data: bytes) -> bytes:
+def zip_bytes(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _unzip(data: bytes, size: int) -> bytes:
+def unzip_bytes(data: bytes, size: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, size))
 
 
+def numbers_out(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte planes together, compressed."""
+    return len(values).to_bytes(8, "little") + zip_bytes(np.ascontiguousarray(np.asarray(values).astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def numbers_in(packed: bytes) -> np.ndarray:
+    """What :func:`numbers_out` took."""
+    n = int.from_bytes(packed[:8], "little")
+    return np.ascontiguousarray(np.frombuffer(unzip_bytes(packed[8:], 8 * n), np.uint8).reshape(8, n).T).view("<i8").reshape(-1)
+
+
 def sent(block: int, parts: np.ndarray, entries: list[bytes]) -> pa.RecordBatch:
     """Rows of SENT_SCHEMA: what a block sends to each of these parts."""
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), block), pa.int64()), pa.array(entries, pa.binary())], names=["part", "block", "entries"])

@@ -1,52 +1,60 @@
-"""Scoring by a probabilistic suffix tree, beside an add-one unigram base.
-
-Base: word counts of all training texts, gathered by blocks. Model: the symbols are the
-bytes of the words in lower case, 0x20 after each word and 0xFF after the last, so a
-text's symbols and its tokens determine each other; before a text stand as many 0xFF as are asked for.
-A context is retained if at least ``LEAST_COUNT`` symbols follow it in the training texts and its
-next-symbol distribution diverges from that of its longest proper suffix (count times
-Kullback-Leibler divergence of at least ``DIVERGENCE``), or if it is a suffix of one
-that is. Next-symbol distributions are smoothed towards that of the suffix. At each symbol the
-longest retained suffix of what was read is the state that scores it.
-
-Contexts are tested in rounds of ``DEPTH`` symbols, to any depth. The first tests all contexts of up to
-``DEPTH``; each further one adds up to ``DEPTH`` symbols before those contexts of which a longer one can still pass,
-until there are none. A context that n symbols follow, of entropy H, has longer ones that pass only if both
-(n + STRENGTH) / e and n H + STRENGTH are at least DIVERGENCE: with counts c' <= s of a context of n' symbols and its suffix
-of m <= n, the divergence sum c' ln(c' / n' * (m + STRENGTH) / (s + ..)) is at most n' ln((m + STRENGTH) / n') and
-at most m H + STRENGTH. So no context that would pass is left out, and copied passages end the search where one symbol only follows. Nothing new stands before the beginning of a text, so the search ends there too.
-
-The tree is nowhere in one place. In a round a block sends its distinct n-grams with their training counts to
-parts of their hashes. The sums over the corpus are a table; contexts are tested by joins of
-its n-grams with those one symbol shorter, and each part answers its blocks, for each n-gram, with the log
-probability in the state that scores it and whether the next round goes on from it. Log probabilities travel in
-steps of 2**-16.
+"""Scoring by a probabilistic suffix tree over words, beside an add-one unigram base.
+
+The symbols are the tokens themselves: the words in lower case and an end after each text; a start stands before
+it, so contexts never leave their text. The root of the tree is the base's distribution. Contexts of
+``lengths()`` symbols (1, 2, 3, 4, 8, 16, ... without an end) are tested, shorter ones first. A context that n training symbols
+follow is retained if what follows it repeatedly diverges from the distribution of its longest retained proper
+suffix, q: the sum over symbols x that follow it c >= 2 times of c ln((c - 1 + STRENGTH q(x)) / ((n - 1 + STRENGTH) q(x))), and of
+ln(STRENGTH / (n - 1 + STRENGTH)) for each symbol that follows once, is at least ``DIVERGENCE``. This is n times the
+Kullback-Leibler divergence, each symbol being judged by the others (left out itself), so that chance repeats don't pass.
+A retained context has the smoothed distribution (c' + (n1 + STRENGTH) q) / (n + STRENGTH) with c' = c from 2 on, else 0, and
+n1 the number of symbols that follow once: their share is left to the suffix. The longest retained suffix of what was read is
+the state that scores the next symbol; log probabilities are kept in steps of 2**-16.
+
+No context that would pass is left out: as c ln((c - 1 + S q) / ((c - 1 + S) q)) grows with c, its sum over the repeated
+symbols bounds what any longer context can reach against q, and the search goes on behind a context while that bound is at least
+DIVERGENCE. (For a context that was retained just now, q is at least c / (n + S), and the sum of c ln((n + S) / c) is the bound.)
+Where one symbol only follows, as within copied passages, the bound is below it, so the search ends there.
+
+The tree is nowhere in one place. Each round (a length) is two exchanges between blocks of documents and ranges of 64-bit
+keys. A block sends its distinct n-grams that occurred twice when they were one round shorter, and learns their counts. One
+block for each n-gram then adds its term to the context's sums, and all learn from the context's range whether it is retained
+and whether to go on. Texts without anything to go on for are done and leave the rounds.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
-from lacuna.llm.scratch import materialise, release
+from lacuna.llm.scratch import materialise, parts_of, release
+
+DIVERGENCE = 6.0  # nats
+STRENGTH = 2.0  # weight of the suffix's distribution, in counts
+STEPS = 1 << 16  # of log10 probabilities, to one
+FINE = 1 << 10  # of the terms of sums, to a nat: whole numbers, so sums don't depend on their order
+START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x1F3D5B79A1C3E5F7)  # beside the words' hashes
+ODD = 0x9E3779B97F4A7C15
+
+LIVE = "kind string, block long, n_docs long, doc_ids binary, offsets binary, data binary, state binary, rows binary, part int, entries binary"
+
+
+def lengths() -> Iterator[int]:
+    """Of the contexts that are tested, in order."""
+    yield from (1, 2, 3)
+    size = 4
+    while True:
+        yield size
+        size *= 2
 
-DEPTH = 5  # symbols that a round adds to contexts
-LEAST_COUNT = 2
-DIVERGENCE = 30.0  # nats
-STRENGTH = 4.0  # weight of the suffix's distribution, in counts
-END = 0xFF
-BLOCK = 1024
-STEPS = 1 << 16  # of log probabilities, to one
-SLICE = 1 << 19  # places at a time
 
 def held_out(ids: Column) -> Column:
     return F.coalesce(F.crc32(ids.cast("string")) % 7 == 2, F.lit(False))
@@ -56,160 +64,107 @@ def _held_out(chunk: tb.Chunk) -> np.ndarray:
     return np.array([not null and zlib.crc32(str(i).encode()) % 7 == 2 for i, null in zip(chunk.ids.tolist(), chunk.id_null.tolist(), strict=True)], bool)
 
 
-def _words(chunk: tb.Chunk):
-    low = tb.LOWER[chunk.data]
-    starts, ends = tb.words(low, tb.NOT_SPACE)
-    bounds = tb.per_text(chunk, starts)
-    return low, starts, ends, bounds, tb.hash_spans(low, starts, ends - starts)
+class Tokens:
+    """The tokens of a block: each text's start, words and end, and keys of the stretches before any of them."""
 
+    def __init__(self, chunk: tb.Chunk):
+        low = tb.LOWER[chunk.data]
+        starts, ends = tb.words(low, tb.NOT_SPACE)
+        count = np.diff(tb.per_text(chunk, starts))
+        self.bounds = tb.offsets(count + 2)
+        self.keys = np.full(int(self.bounds[-1]), END, np.uint64)
+        body = np.ones(len(self.keys), bool)
+        body[self.bounds[:-1]] = body[self.bounds[1:] - 1] = False
+        self.keys[body] = tb.hash_spans(low, starts, ends - starts)
+        self.keys[self.bounds[:-1]] = START
+        self.scored = np.ones(len(self.keys), bool)
+        self.scored[self.bounds[:-1]] = False
+        self.text = np.repeat(np.arange(len(chunk), dtype=np.int32), count + 2)
+        self.train = ~_held_out(chunk)
 
-def _symbols(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's symbols behind DEPTH times END, which are not scored; len + 1 offsets."""
-    size = ends - starts + 1
-    own = tb.offsets(tb.sums(size, bounds) + 1 + DEPTH)
-    out = np.full(int(own[-1]), END, np.uint8)
-    body = np.ones(len(out), bool)
-    body[own[1:] - 1] = False
-    body[(own[:-1, None] + np.arange(DEPTH)).reshape(-1)] = False
-    flat = low.copy()
-    flat[ends] = 0x20  # the byte behind a word is white space
-    out[body] = tb.ragged(flat, starts, size)
-    return out, own
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the scored tokens, and for each scored token its place among them."""
+        return np.unique(self.keys[self.scored], return_inverse=True)
 
+    @functools.cached_property
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.keys)
+        power, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (ODD, pow(ODD, -1, 1 << 64)))
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(tb.mix(self.keys) * power[:n]))), back
 
-def _grams(symbols: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of scored symbols, and the n-grams that end there, the scored symbol in the lowest byte."""
-    n = len(symbols) - DEPTH
-    packed = np.zeros(max(n, 0), np.uint64)
-    for k in range(DEPTH + 1):
-        packed = (packed << np.uint64(8)) | symbols[k : k + n]
-    inside = np.ones(max(n, 0), bool)
-    cross = (own[1:-1, None] - DEPTH + np.arange(DEPTH)).reshape(-1)  # these would span two texts
-    inside[cross[(cross >= 0) & (cross < n)]] = False
-    return (np.flatnonzero(inside) + DEPTH).astype(np.int32 if n < 1 << 31 else np.int64), packed[inside]
+    def before(self, places: np.ndarray, size: int) -> np.ndarray:
+        """Keys of the ``size`` tokens before these places: polynomial hashes, as differences of prefix sums."""
+        sums, back = self._sums
+        return tb.mix((sums[places] - sums[places - size]) * back[places - size] + np.uint64(size))
 
+    def room(self, size: int) -> np.ndarray:
+        """Whether ``size`` tokens of the text, its start included, stand before each token."""
+        return np.arange(len(self.keys)) - self.bounds[self.text] >= size
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
 
+class State:
+    """What a block knows between rounds: of each text the totals; of each token whether its last n-gram is repeated, and the open ones, whose probability can still change, with their codes."""
 
-END_KEY = np.uint64(0x1F3D5B79A1C3E5F7)  # stands for the end token among the words' hashes
+    def __init__(self, totals: np.ndarray, known: np.ndarray, base: np.ndarray, repeated: np.ndarray, open_: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None):
+        self.totals, self.known, self.base = totals, known, base
+        self.repeated, self.open, self.codes, self.counts = repeated, open_, codes, counts
 
+    def dump(self) -> bytes:
+        own = [bl.numbers_out(x) for x in (self.totals, self.known, self.base.view(np.int64), self.codes, *([] if self.counts is None else [self.counts]))]
+        own += [bl.zip_bytes(np.packbits(x).tobytes()) for x in (self.repeated, self.open)]
+        return b"".join(len(x).to_bytes(8, "little") + x for x in own)
 
-def _token_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words' keys and an end after each text; len + 1 offsets."""
-    own = bounds + np.arange(len(bounds))
-    out = np.full(int(own[-1]), END_KEY, np.uint64)
-    body = np.ones(len(out), bool)
-    body[own[1:] - 1] = False
-    out[body] = hashes
-    return out, own
+    @classmethod
+    def load(cls, packed: bytes, tokens: Tokens) -> State:
+        own, at = [], 0
+        while at < len(packed):
+            size = int.from_bytes(packed[at : at + 8], "little")
+            own.append(packed[at + 8 : at + 8 + size])
+            at += 8 + size
+        n = len(tokens.keys)
+        flags = [np.unpackbits(np.frombuffer(bl.unzip_bytes(x, (n + 7) // 8), np.uint8))[:n].astype(bool) for x in own[-2:]]
+        totals, known, base, codes, *counts = (bl.numbers_in(x) for x in own[:-2])
+        return cls(totals, known, base.view(np.float64), *flags, codes, *counts)
 
+    def close(self, tokens: Tokens, still: np.ndarray) -> None:
+        """Only tokens of ``still`` stay open; the codes of the others go to their texts' totals."""
+        places = np.flatnonzero(self.open)
+        gone = ~still[places]
+        self.totals = self.totals + np.bincount(tokens.text[places[gone]], self.codes[gone], minlength=len(self.totals)).astype(np.int64)
+        self.open, self.codes, self.counts = self.open & still, self.codes[~gone], None
 
-def _dealt(base: np.ndarray, grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that puts n-grams into parts, the parts that get some, and bounds of each."""
-    part = bl.part_of(_key(base, grams), parts)
-    order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(parts + 1))
-    return order, np.flatnonzero(np.diff(at)), at
 
+def _code(p: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log10(p) * STEPS).astype(np.int64)
 
-def _key(base: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return tb.mix(base * np.uint64(0x9E3779B97F4A7C15) ^ grams)
 
+def _count(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first place and the sum of the weights of each, and for each key its place among them."""
+    distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    return distinct, first, np.bincount(of, weights, minlength=len(distinct)).astype(np.int64), of
 
-def _settled(base: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The key of a context of DEPTH symbols more."""
-    return tb.mix(base * np.uint64(0xD6E8FEB86659FD93) + context + np.uint64(1))
 
+def _asked(tokens: Tokens, state: State, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the open tokens, the keys of their contexts, and which have n-grams that may be repeated."""
+    places = np.flatnonzero(state.open)
+    return places, tokens.before(places, size), state.repeated[places]
 
-class Reading:
-    """The scored symbols of a block, round by round.
 
-    In round r an n-gram is a 64-bit key of the DEPTH * r symbols of context that all rounds before have settled
-    (0 in the first), and the DEPTH symbols before them, with the scored symbol in the lowest byte.
-    """
-
-    def __init__(self, symbols: np.ndarray, own: np.ndarray):
-        self.symbols, self.own, self.round = symbols, own, 0
-        self.places, grams = _grams(symbols, own)
-        self.text = np.repeat(np.arange(len(own) - 1, dtype=np.int32), np.diff(own) - DEPTH)
-        self.code = np.zeros(len(self.places), np.int32)  # of the state found so far
-        self.active = np.arange(len(self.places), dtype=np.int32)
-        self._distinct(None, grams, self.code)
-
-    def _distinct(self, base: np.ndarray | None, grams: np.ndarray, codes: np.ndarray) -> None:
-        """Keep the distinct n-grams, by base and symbols, and the place of each among them."""
-        key = grams if base is None else _key(base, grams)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(len(order), bool)
-        np.not_equal(key[1:], key[:-1], out=new[1:])
-        del key
-        self.of = np.empty(len(order), np.int32)
-        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
-        first = order[new]
-        del order, new
-        self.base, self.grams, self.codes = np.zeros(len(first), np.uint64) if base is None else base[first], grams[first], codes[first]
-        if base is not None:
-            order = np.lexsort((self.grams, self.base))
-            self.base, self.grams, self.codes = self.base[order], self.grams[order], self.codes[order]
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            self.of = rank[self.of]
-
-    def counts(self, train: np.ndarray) -> np.ndarray:
-        """Training counts of the distinct n-grams."""
-        return np.bincount(self.of, train[self.text[self.active]], minlength=len(self.grams)).astype(np.int64)
-
-    def answered(self, answers: Iterator[bytes], states: Iterator[bytes] | None, parts: int) -> None:
-        """Take the answers of all parts that were sent something, and the states if they are known, and go on to the next round."""
-        order, full, at = _dealt(self.base, self.grams, parts)
-        reply, state = np.zeros((2, len(order)), np.int64)
-        for p in full.tolist():
-            reply[order[at[p] : at[p + 1]]] = bl.expand(next(answers), 0)[0].view(np.int64)
-            if states:
-                state[order[at[p] : at[p + 1]]] = bl.expand(next(states), 0)[0].view(np.int64)
-        found = (state & 1).astype(bool)[self.of]
-        self.code[self.active[found]] = (state >> 1)[self.of[found]]
-        on = (reply & 1).astype(bool)[self.of]
-        codes = (reply >> 1).astype(np.int32)[self.of[on]]
-        base = _settled(self.base, self.grams >> np.uint64(8))[self.of[on]]
-        del reply, state, order
-        self.active, self.round = self.active[on], self.round + 1
-        grams = np.empty(len(self.active), np.uint64)
-        for low in range(0, len(grams), SLICE):
-            some = self.active[low : low + SLICE]
-            place, start = self.places[some], self.own[self.text[some]]
-            packed = self.symbols[place].astype(np.uint64)
-            for k in range(1, DEPTH + 1):
-                at = place - DEPTH * self.round - k
-                packed |= np.where(at >= start, self.symbols[np.maximum(at, 0)], END).astype(np.uint64) << np.uint64(8 * k)
-            grams[low : low + SLICE] = packed
-        self._distinct(base, grams, codes)
-
-    def scores(self) -> np.ndarray:
-        """log10 probability of each text."""
-        return -np.bincount(self.text, self.code, minlength=len(self.own) - 1) / STEPS
+def _gram_keys(tokens: Tokens, places: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return tb.mix(contexts ^ tb.mix(tokens.keys[places] + np.uint64(ODD)))
 
 
 def _send_words(batches, parts: int):
-    """Words of a block with their training counts."""
+    """Tokens of a block with their training counts."""
     for block, chunk, _ in bl.read(batches):
-        _, _, _, bounds, hashes = _words(chunk)
-        train = ~_held_out(chunk)
-        keys, own = _token_keys(hashes, bounds)
-        distinct, _ = _counted(keys)
-        counts = np.zeros(len(distinct), np.int64)
-        seen, count = _counted(keys[np.repeat(train, np.diff(own))])
-        counts[np.searchsorted(distinct, seen)] = count
-        full, at = bl.cut(distinct, parts)
-        yield bl.sent(block, full, [bl.squeeze(distinct[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
-
-
-def _combine(table: pa.Table) -> pa.Table:
+        tokens = Tokens(chunk)
+        keys, of = tokens.distinct()
+        counts = np.bincount(of, tokens.train[tokens.text[tokens.scored]], minlength=len(keys)).astype(np.int64)
+        full, at = bl.cut(keys, parts)
+        yield bl.sent(block, full, [bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
+
+
+def _combine_words(table: pa.Table) -> pa.Table:
     """Each block's answer, and a row (block -1) with the part's tokens and distinct words."""
     part = table.column("part")[0].as_py()
     found = [bl.expand(p.as_py(), 1) for p in table.column("entries")]
@@ -217,257 +172,161 @@ def _combine(table: pa.Table) -> pa.Table:
     order, first, place = bl.totals(keys)
     total = np.add.reduceat(counts[order], first)
     at = tb.offsets(np.array([len(f[0]) for f in found], np.int64))
-    reply = total[place]
-    rows = [bl.squeeze(f[0], reply[a:b]) for f, a, b in zip(found, at[:-1], at[1:], strict=True)]
-    return bl.answers(part, [*table.column("block").to_pylist(), -1], [*rows, bl.squeeze(np.zeros(1, np.uint64), total.sum(keepdims=True), (total > 0).sum(keepdims=True))])
-
-
-def _reading(chunk: tb.Chunk, words: tuple, answers: list[bytes], rounds: int, parts: int, done: bool = False) -> Reading:
-    """``answers`` of each round; if all are ``done``, the states of each round behind them."""
-    low, starts, ends, bounds, _ = words
-    out = Reading(*_symbols(low, starts, ends, bounds))
-    half = len(answers) // 2
-    left, states = (iter(answers[:half]), iter(answers[half:])) if done else (iter(answers), None)
-    for _ in range(rounds):
-        out.answered(left, states, parts)
-    return out
-
-
-def _send_grams(batches, rounds: int, parts: int):
-    """Distinct n-grams of a block: the key of the settled context, the symbols, training count, and the code of the probability in the settled context."""
-    for block, chunk, more in bl.read(batches):
-        reading = _reading(chunk, _words(chunk), [a.as_py() for a in more[0].values] if rounds else [], rounds, parts)
-        counts = reading.counts(~_held_out(chunk))
-        order, full, at = _dealt(reading.base, reading.grams, parts)
-        columns = (reading.base, reading.grams, counts, reading.codes)
-        yield bl.sent(block, full, [bl.squeeze(*(c[own] for c in columns)) for own in (order[at[p] : at[p + 1]] for p in full.tolist())])
-        del reading, counts, order, columns
-        tb.give_back()
+    rows = [bl.numbers_out(total[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return bl.answers(part, [*table.column("block").to_pylist(), -1], [*rows, bl.numbers_out(np.array([total.sum(), (total > 0).sum()]))])
 
 
-def _sum_grams(table: pa.Table) -> pa.Table:
-    part = table.column("part")[0].as_py()
-    found = [bl.expand(p.as_py(), 3) for p in table.column("entries")]
-    base, grams, counts, codes = (np.concatenate([f[k] for f in found]) for k in range(4))
-    order = np.lexsort((grams, base))
-    base, grams = base[order], grams[order]
-    first = np.flatnonzero(np.concatenate(([True], (base[1:] != base[:-1]) | (grams[1:] != grams[:-1]))))
-    n = len(first)
-    return pa.table({"part": pa.array(np.full(n, part), pa.int32()), "base": base[first].view(np.int64), "g": grams[first], "c": np.add.reduceat(counts[order], first), "code": codes[order][first]})
-
-
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """The value of each of the blocks' n-grams."""
-    keys = _key(np.asarray(known.column("base")).view(np.uint64), np.asarray(known.column("g")).view(np.uint64))
-    order = np.argsort(keys)
-    keys, reply = keys[order], np.asarray(known.column("v"))[order]
+def _numbers(answers: pa.Scalar) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(bl.numbers_in(a.as_py()) for a in (answers.values if answers.is_valid else ()))])
+
+
+def _kept(block: int, chunk: tb.Chunk, tokens: Tokens, state: State) -> pa.RecordBatch:
+    """The texts with open tokens as a row to go on with, and the answers of the others."""
+    live = np.zeros(len(chunk), bool)
+    live[tokens.text[state.open]] = True
     rows = []
-    for packed in asked.column("entries"):
-        base, grams = bl.expand(packed.as_py(), 3)[:2]
-        rows.append(bl.squeeze(reply[np.searchsorted(keys, _key(base, grams.view(np.uint64)))].view(np.uint64)))
-    return bl.answers(asked.column("part")[0].as_py(), asked.column("block").to_pylist(), rows)
+    if not live.all():
+        done = ~live
+        columns = (chunk.ids, chunk.id_null, np.diff(tokens.bounds) - 1, state.known, state.base.view(np.int64), state.totals)
+        rows.append({"kind": "done", "block": block, "rows": b"".join(len(x).to_bytes(8, "little") + x for x in (bl.numbers_out(c[done].astype(np.int64)) for c in columns))})
+    if live.any():
+        inside = live[tokens.text]
+        left = State(state.totals[live], state.known[live], state.base[live], state.repeated[inside], state.open[inside], state.codes)
+        rows.append({"kind": "live", **bl.packed(block, chunk, only=live), "state": left.dump()})
+    return pa.RecordBatch.from_pylist(rows, LIVE_ARROW)
+
+
+LIVE_ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in LIVE.split(", "))])
+
+
+def _begin(batches, tokens_in_all: int, distinct: int, size: int):
+    """Base figures of a block, and its state before contexts of ``size`` tokens."""
+    for block, chunk, (answers,) in bl.read(batches):
+        tokens = Tokens(chunk)
+        _, of = tokens.distinct()
+        counts = _numbers(answers)[of]
+        repeated = np.ones(len(tokens.keys), bool)
+        repeated[tokens.scored] = counts > 1
+        bounds = tokens.bounds - np.arange(len(tokens.bounds))
+        logs = np.log10(counts + 1.0)
+        share = np.log10(tokens_in_all + distinct + 1.0)
+        state = State(np.zeros(len(chunk), np.int64), tb.sums(counts > 0, bounds), tb.sums(logs, bounds) - np.diff(bounds) * share, repeated, tokens.scored, np.rint((share - logs) * STEPS).astype(np.int64))
+        state.close(tokens, _still(tokens, state, size))
+        yield _kept(block, chunk, tokens, state)
+        tb.give_back()
 
 
-def _answers(sent: DataFrame, values: DataFrame, shift: int) -> DataFrame:
-    own = materialise(sent.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(_answer, bl.ANSWER_SCHEMA), "answers")
-    return own.withColumn("part", (F.col("part") + shift).cast("int"))
+def _still(tokens: Tokens, state: State, size: int) -> np.ndarray:
+    """Tokens before which ``size`` tokens stand, that can occur twice as such."""
+    return np.concatenate(([False], state.repeated[:-1])) & tokens.room(size)
 
 
-def _code(p: str) -> Column:
-    return F.rint(-F.log10(p) * STEPS).cast("long") * 2
+def _send_grams(batches, size: int, parts: int):
+    """Distinct n-grams of a block that may be repeated, with their training counts."""
+    for block, chunk, (state,) in bl.read(batches):
+        tokens = Tokens(chunk)
+        places, contexts, asked = _asked(tokens, State.load(state.as_py(), tokens), size)
+        places = places[asked]
+        keys, _, counts, _ = _count(_gram_keys(tokens, places, contexts[asked]), tokens.train[tokens.text[places]])
+        full, at = bl.cut(keys, parts)
+        yield bl.sent(block, full, [bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
+        tb.give_back()
 
 
-def _next_keys(batches):
-    for batch in batches:
-        base, context = (np.asarray(batch.column(k)).view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_settled(base, context).view(np.int64))], names=["base", "context", "next"])
+def _combine_grams(table: pa.Table) -> pa.Table:
+    """For each block and n-gram twice its count, one more for the first block that has it."""
+    table = table.sort_by("block")
+    found = [bl.expand(p.as_py(), 1) for p in table.column("entries")]
+    keys, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    at = tb.offsets(np.array([len(f[0]) for f in found], np.int64))
+    order, first, place = bl.totals(keys)
+    reply = 2 * np.add.reduceat(counts[order], first)[place] if len(keys) else counts
+    reply[order[first]] += 1
+    return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), [bl.numbers_out(reply[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
+
+
+def _send_contexts(batches, size: int, parts: int):
+    """The block with the counts of its n-grams; and to the parts, of its contexts, the training symbols behind them and the sums over the n-grams it answers for."""
+    for block, chunk, (packed, answers) in bl.read(batches):
+        tokens = Tokens(chunk)
+        state = State.load(packed.as_py(), tokens)
+        places, contexts, asked = _asked(tokens, state, size)
+        _, first, _, of = _count(_gram_keys(tokens, places[asked], contexts[asked]), np.zeros(int(asked.sum())))
+        reply = _numbers(answers)
+        count, mine = reply >> 1, (reply & 1).astype(bool) & (reply > 3)
+        state.counts = np.zeros(len(places), np.int64)
+        state.counts[asked] = count[of]
+        keys, _, follow, context = _count(contexts, tokens.train[tokens.text[places]])
+        at = np.flatnonzero(asked)[first[mine]]
+        c, q = count[mine], 10.0 ** (-state.codes[at] / STEPS)
+        seen = np.log((c - 1 + STRENGTH * q) / q)
+        terms = (c, *(np.rint(c * x * FINE).astype(np.int64) for x in (seen, seen - np.log(c - 1 + STRENGTH), np.log(c))))
+        sums = []
+        for x in terms:
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, context[at], x)
+            sums.append(total)
+        rows = [{"kind": "live", **bl.packed(block, chunk), "state": state.dump()}]
+        full, cut = bl.cut(keys, parts)
+        for p in full.tolist():
+            own = slice(cut[p], cut[p + 1])
+            rows.append({"kind": "sent", "block": block, "part": p, "entries": bl.squeeze(keys[own], follow[own], *(s[own] for s in sums))})
+        yield pa.RecordBatch.from_pylist(rows, LIVE_ARROW)
+        tb.give_back()
 
 
-def _low(column: str, size: int) -> Column:
-    """The scored symbol and ``size`` symbols before it."""
-    return F.col(column).bitwiseAND(F.lit((1 << (8 * (size + 1))) - 1))
+def judged(n: np.ndarray, repeated: np.ndarray, seen: np.ndarray, fresh: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts are retained, and whether longer ones can be, by the number of symbols behind them, of repeated ones, and the terms' sums."""
+    once = n - repeated
+    gain = seen / FINE - n * np.log(np.maximum(n - 1, 0) + STRENGTH) + once * np.log(STRENGTH)
+    passed = (gain >= DIVERGENCE) & (repeated > 1)
+    bound = np.where(passed, repeated * np.log(n + STRENGTH) - spread / FINE, fresh / FINE)
+    return passed, (bound >= DIVERGENCE) & (repeated > 1)
 
 
-def tested(grams: DataFrame, rounds: int, total: int) -> list[DataFrame]:
-    """Of the contexts of a round, by size: (base, g) of their n-grams with p, the smoothed probability, and whether the context passed.
+def _combine_contexts(table: pa.Table) -> pa.Table:
+    """For each block and context: 4 n + 2 (retained) + 1 (go on), then the number of symbols that follow once; n and this only if retained."""
+    found = [bl.expand(p.as_py(), 5) for p in table.column("entries")]
+    keys, *columns = (np.concatenate([f[k] for f in found]) for k in range(6))
+    at = tb.offsets(np.array([len(f[0]) for f in found], np.int64))
+    order, first, place = bl.totals(keys)
+    n, repeated, *sums = (np.add.reduceat(c[order], first) for c in columns)
+    passed, on = judged(n, repeated, *sums)
+    reply = np.stack((np.where(passed, 4 * n + 2, 0) + on, np.where(passed, n - repeated, 0)))[:, place]
+    return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), [bl.numbers_out(reply[:, a:b].reshape(-1)) for a, b in zip(at[:-1], at[1:], strict=True)])
+
+
+def _go_on(batches, size: int, longer: int):
+    """The block after a round, before contexts of ``longer`` tokens."""
+    for block, chunk, (packed, answers) in bl.read(batches):
+        tokens = Tokens(chunk)
+        state = State.load(packed.as_py(), tokens)
+        places, contexts, _ = _asked(tokens, state, size)
+        _, of = np.unique(contexts, return_inverse=True)
+        told = [bl.numbers_in(a.as_py()).reshape(2, -1) for a in answers.values]
+        reply, once = (np.concatenate([t[k] for t in told])[of] for k in (0, 1))
+        passed = (reply & 2).astype(bool)
+        n, c = (reply >> 2)[passed], state.counts[passed]
+        q = 10.0 ** (-state.codes[passed] / STEPS)
+        state.codes[passed] = _code((np.where(c > 1, c, 0) + (once[passed] + STRENGTH) * q) / (n + STRENGTH))
+        state.repeated[places] = state.counts > 1
+        still = _still(tokens, state, longer)
+        still[places[(reply & 1) == 0]] = False
+        state.close(tokens, still)
+        yield _kept(block, chunk, tokens, state)
+        tb.give_back()
 
-    The longest also have part and go: whether a longer context may pass. ``total`` is the number of training symbols.
-    Everything is done by joins on n-grams, of which at most 256 share one that is a symbol shorter.
-    """
-    if rounds:
-        above = grams.groupBy("base", _low("g", 0).alias("g")).agg(F.min("code").alias("code")).select("base", "g", F.pow(F.lit(10.0), -F.col("code") / STEPS).alias("p"))
-    else:
-        above = grams.groupBy("base", _low("g", 0).alias("g")).agg(((F.sum("c") + 1) / F.lit(total + 256.0)).alias("p"))
-    above = materialise(above, "level")
-    levels = [above]
-    for size in range(1, DEPTH + 1):
-        rows = grams.groupBy("base", _low("g", size).alias("g")).agg(F.sum("c").alias("c")) if size < DEPTH else grams.select("part", "base", "g", "c")
-        shorter = above.select("base", F.col("g").alias("shorter"), F.col("p").alias("q"))
-        context = Window.partitionBy("base", F.shiftright("g", 8))
-        rows = rows.withColumn("shorter", _low("g", size - 1)).join(shorter, ["base", "shorter"]).withColumn("n", F.sum("c").over(context))
-        gain = F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / F.col("n") / F.col("q"))).otherwise(0.0)
-        rows = rows.withColumn("passed", (F.sum(gain).over(context) >= DIVERGENCE) & (F.col("n") >= LEAST_COUNT))
-        if size == DEPTH:
-            spread = F.col("n") * F.log("n") - F.sum(F.when(F.col("c") > 0, F.col("c") * F.log("c")).otherwise(0.0)).over(context)
-            rows = rows.withColumn("go", F.coalesce((F.col("n") + STRENGTH >= math.e * DIVERGENCE) & (spread + STRENGTH >= DIVERGENCE) & (F.shiftright("g", 8 * DEPTH) != END), F.lit(False)))
-        above = materialise(rows.withColumn("p", (F.col("c") + STRENGTH * F.col("q")) / (F.col("n") + STRENGTH)).drop("q", "n", "c"), "level")
-        levels.append(above)
-    return levels
-
-
-def _retained(levels: list[DataFrame], rounds: int, longer: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Values of the n-grams of a round, and the settled contexts that are suffixes of retained ones; ``longer`` are those of the next round.
-
-    A value is twice the code of the probability in the longest retained context and one more, or 0 where the round retains none.
-    """
-    kept: list[DataFrame] = []
-    for size in range(DEPTH, 0, -1):
-        own = levels[size].filter("passed").select("base", F.shiftright("g", 8).alias("context"))
-        if kept:
-            own = own.unionByName(kept[-1].select("base", F.col("context").bitwiseAND(F.lit((1 << (8 * size)) - 1)).alias("context")))
-        elif longer is not None:
-            ends = levels[size].filter("go").select("base", F.shiftright("g", 8).alias("context")).distinct().mapInArrow(_next_keys, "base long, context long, next long")
-            own = own.unionByName(ends.join(longer.withColumnRenamed("base", "next"), "next").select("base", "context"))
-        kept.append(materialise(own.distinct(), "kept"))
-    bases = materialise(kept[-1].select("base").distinct(), "bases")
-    found = levels[0].select("base", "g", F.col("p").alias("r"))
-    if rounds:
-        found = levels[0].join(bases.withColumn("kept", F.lit(True)), "base", "left").select("base", "g", F.when(F.col("kept"), F.col("p")).alias("r"))
-    for size, own in zip(range(1, DEPTH + 1), reversed(kept), strict=True):
-        rows = levels[size].withColumn("context", F.shiftright("g", 8)).join(own.withColumn("kept", F.lit(True)), ["base", "context"], "left")
-        rows = rows.join(found.select("base", F.col("g").alias("shorter"), F.col("r").alias("s")), ["base", "shorter"])
-        found = rows.select(*(["part"] if size == DEPTH else []), "base", "g", F.when(F.col("kept"), F.col("p")).otherwise(F.col("s")).alias("r"))
-    values = materialise(found.select("part", "base", "g", F.coalesce(_code("r") + 1, F.lit(0)).alias("v")), "states")
-    release(*kept)
-    return values, bases
-
-
-def _states(blocks: DataFrame, parts: int) -> tuple[DataFrame, int]:
-    """Answers to each block, those of a round behind those of the round before and then the states likewise, and the number of rounds."""
-    answers: list[DataFrame] = []
-    asked, levels, total = [], [], 0
-    more = True
-    while more:
-        rounds = len(answers)
-        whole = bl.beside(blocks, functools.reduce(DataFrame.unionByName, answers)) if rounds else blocks
-        sent = materialise(whole.mapInArrow(functools.partial(_send_grams, rounds=rounds, parts=parts), bl.SENT_SCHEMA), "sent")
-        grams = materialise(sent.groupBy("part").applyInArrow(_sum_grams, "part int, base long, g long, c long, code long"), "grams")
-        if not rounds:
-            total = grams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        own = tested(grams, rounds, total)
-        release(grams)
-        answers.append(_answers(sent, own[-1].select("part", "base", "g", (_code("p") + F.col("go").cast("long")).alias("v")), rounds * parts))
-        asked.append(sent)
-        levels.append(own)
-        more = not own[-1].filter("go").isEmpty()
-    rounds, longer = len(answers), None
-    for k in reversed(range(rounds)):
-        values, longer = _retained(levels[k], k, longer)
-        answers.append(_answers(asked[k], values, (rounds + k) * parts))
-        release(values, asked[k], *levels[k])
-    return functools.reduce(DataFrame.unionByName, answers), rounds
-
-
-class SuffixTree:
-    """Retained contexts of a small corpus with smoothed distributions, as an automaton over symbols."""
-
-    def __init__(self, counts: dict[bytes, dict[int, int]]):
-        """``counts``: next-symbol counts of candidate contexts, closed under suffixes; b"" among them if anything was read."""
-        root = counts.get(b"", {})
-        self.alphabet = sorted(root)
-        self.width = len(self.alphabet) + 1  # the last column is for all other symbols
-        of = {s: k for k, s in enumerate(self.alphabet)}
-        column = np.full(256, self.width - 1, np.int64)
-        for s, k in of.items():
-            column[s] = k
-        self.column = column
-        rows: dict[bytes, np.ndarray] = {}
-        for context in sorted(counts, key=len):
-            row = np.zeros(self.width)
-            for s, c in counts[context].items():
-                row[of[s]] = c
-            rows[context] = row
-        others = max(1, 256 - len(self.alphabet))
-        floor = np.full(self.width, 1.0)
-        floor[-1] = others
-        smooth: dict[bytes, np.ndarray] = {}
-        kept = {b""}
-        for context in sorted(rows, key=len):
-            row = rows[context]
-            if context == b"":
-                smooth[context] = (row + floor) / (row.sum() + floor.sum())
-                continue
-            above = smooth[context[1:]]
-            smooth[context] = (row + STRENGTH * above) / (row.sum() + STRENGTH)
-            some = row > 0
-            share = row[some] / row.sum()
-            if row.sum() * float((share * np.log(share / above[some])).sum()) >= DIVERGENCE:
-                while context not in kept:
-                    kept.add(context)
-                    context = context[1:]
-        self.contexts = sorted(kept, key=lambda c: (len(c), c))
-        nodes = sorted({c[:k] for c in kept for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        self.node = {c: k for k, c in enumerate(nodes)}
-        row_of = {c: k for k, c in enumerate(self.contexts)}
-        logs = np.array([smooth[c] for c in self.contexts]) if root else np.full((1, self.width), 1 / 256.0)
-        logs[:, -1] /= others  # the chance of one of them
-        step = np.zeros((len(nodes), self.width), np.int64)
-        state_row = np.zeros(len(nodes), np.int64)
-        for k, c in enumerate(nodes):
-            for j in range(len(c) + 1):
-                if c[j:] in row_of:
-                    state_row[k] = row_of[c[j:]]
-                    break
-            for s, col in of.items():
-                grown = c + bytes([s])
-                while grown not in self.node:
-                    grown = grown[1:]
-                step[k, col] = self.node[grown]
-        self.step = (step * self.width).astype(np.int32).reshape(-1)
-        self.logs = np.log10(logs)[state_row].astype(np.float32).reshape(-1) if len(nodes) * self.width < 50_000_000 else None
-        self.log_rows, self.state_row = np.log10(logs), state_row
-
-    def score(self, symbols: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; its first DEPTH symbols are the context it starts in."""
-        first = own[:-1] + DEPTH
-        lens = own[1:] - first
-        count = -(-lens // BLOCK)
-        owner = np.repeat(np.arange(len(lens)), count)
-        start = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK
-        size = np.minimum(BLOCK, own[owner + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
-        column = self.column.astype(np.int32)[symbols]
-        state = np.zeros(len(start), np.int32)
-        for k in range(DEPTH, 0, -1):
-            state = self.step[state + column[start - k]]
-        total = np.zeros(len(start))
-        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), "right")
-        for i, k in enumerate(active.tolist()):
-            at = state[:k] + column[start[:k] + i]
-            if self.logs is not None:
-                total[:k] += self.logs[at]
-            else:
-                total[:k] += self.log_rows[self.state_row[state[:k] // self.width], column[start[:k] + i]]
-            state[:k] = self.step[at]
-        return np.bincount(owner, total, minlength=len(lens))
-
-
-def _score(batches, tokens: int, distinct: int, rounds: int, parts: int):
-    for _, chunk, (answers, states) in bl.read(batches):
-        words = _words(chunk)
-        keys, own = _token_keys(words[4], words[3])
-        known, _ = _counted(keys)
-        counts = np.concatenate([bl.expand(a.as_py(), 1)[1] for a in answers.values])
-        of = np.searchsorted(known, keys)
-        logs = np.log10(counts + 1.0)[of]
-        n = np.diff(own)
-        base = tb.sums(logs, own) - n * np.log10(tokens + distinct + 1.0)
-        score = _reading(chunk, words, [a.as_py() for a in states.values], rounds, parts, done=True).scores()
-        yield pa.RecordBatch.from_arrays(
-            [chunk.id_array(), pa.array(n, pa.int64()), pa.array(tb.sums(counts[of] > 0, own), pa.int64()), pa.array(base), pa.array(score)],
-            names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-        )
+
+def _results(batches):
+    for batch in batches:
+        for packed in batch.column(0):
+            packed, at, own = packed.as_py(), 0, []
+            while at < len(packed):
+                size = int.from_bytes(packed[at : at + 8], "little")
+                own.append(bl.numbers_in(packed[at + 8 : at + 8 + size]))
+                at += 8 + size
+            ids, null, tokens, known, base, total = own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(tokens), pa.array(known), pa.array(base.view(np.float64)), pa.array(-total / STEPS)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,17 +335,35 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Tokens are the words (runs of other characters than 0x20 and 0x09-0x0D, A-Z in lower case) and one
     end. Training texts are those whose crc32(id as text) mod 7 is not 2; rows without id
     train too. A null text counts as empty and is the end alone. Repeated rows count each time. An
-    empty table gives an empty result. Other columns are ignored. Words and contexts of more than DEPTH
-    symbols are told apart by 64-bit hashes.
+    empty table gives an empty result. Other columns are ignored. Words and contexts are told apart by 64-bit hashes.
     """
     blocks = bl.pack_blocks(docs, id_col, text_col)
     parts = bl.parts_for(blocks)
     sent = blocks.mapInArrow(functools.partial(_send_words, parts=parts), bl.SENT_SCHEMA)
-    got = materialise(sent.groupBy("part").applyInArrow(_combine, bl.ANSWER_SCHEMA), "counts")
-    sums = [bl.expand(bytes(r["answers"]), 2)[1:] for r in got.filter("block = -1").select("answers").toLocalIterator()]
-    tokens, distinct = (int(sum(s[k][0] for s in sums)) for k in (0, 1))
-    states, rounds = _states(blocks, parts)
-    words = bl.beside(blocks, got.filter("block >= 0")).withColumnRenamed("answers", "words")
-    whole = bl.beside(words, states)
-    out = whole.mapInArrow(functools.partial(_score, tokens=tokens, distinct=distinct, rounds=rounds, parts=parts), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    got = materialise(sent.groupBy("part").applyInArrow(_combine_words, bl.ANSWER_SCHEMA), "counts")
+    sums = [bl.numbers_in(bytes(r["answers"])) for r in got.filter("block = -1").select("answers").toLocalIterator()]  # two numbers a part
+    tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
+    steps = lengths()
+    size = next(steps)
+    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size), LIVE)
+    table = materialise(begin, "round", by="kind")
+    release(blocks, got)
+    columns = [f.split()[0] for f in bl.BLOCK_SCHEMA.split(", ")]
+    done = []
+    while True:
+        done.append(parts_of(table, "done").select("rows"))
+        live = parts_of(table, "live")
+        if live.select("block").isEmpty():
+            break
+        longer, own = next(steps), live.select(*columns, "state")
+        sent = own.mapInArrow(functools.partial(_send_grams, size=size, parts=parts), bl.SENT_SCHEMA)
+        counted = bl.beside(own, sent.groupBy("part").applyInArrow(_combine_grams, bl.ANSWER_SCHEMA))
+        asked = materialise(counted.mapInArrow(functools.partial(_send_contexts, size=size, parts=parts), LIVE), "contexts", by="kind")
+        release(live)
+        answers = parts_of(asked, "sent").select("part", "block", "entries").groupBy("part").applyInArrow(_combine_contexts, bl.ANSWER_SCHEMA)
+        told = bl.beside(parts_of(asked, "live").select(*columns, "state"), answers)
+        table = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer), LIVE), "round", by="kind")
+        release(asked)
+        size = longer
+    out = functools.reduce(DataFrame.unionByName, done).mapInArrow(_results, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -28,18 +29,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/lacuna-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the result carries its folder as ``scratch_path``."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the result carries its folder as ``scratch_path``.
+
+    ``by``: a text column whose values get folders of their own (see :func:`parts_of`).
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     _forget(spark)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     _forget(spark)
     return out
 
 
+def parts_of(table: DataFrame, kind: str) -> DataFrame:
+    """The rows of a table written by its column ``kind`` that have this value; they can be released on their own."""
+    out = table.filter(F.col("kind") == kind)
+    out.scratch_path = f"{table.scratch_path}/kind={kind}"
+    return out
+
+
 def _forget(spark: SparkSession) -> None:
     """Shuffle files of plans that are done go once the driver has collected the plans; a plan that ended just now may wait for the next call."""
     gc.collect()

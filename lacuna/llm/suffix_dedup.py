@@ -149,7 +149,7 @@ def _send_contexts(batches, length: int, parts: int):
         for a, b in ((at[p], at[p + 1]) for p in full.tolist()):
             head = bl.squeeze(own.keys[a:b], own.sizes[a:b], own.least[a:b])
             text = tb.ragged(chunk.data, own.at[a:b], own.sizes[a:b]).tobytes()
-            rows.append(len(head).to_bytes(8, "little") + head + bl._zip(text))
+            rows.append(len(head).to_bytes(8, "little") + head + bl.zip_bytes(text))
         yield bl.sent(block, full, rows)
 
 
@@ -197,7 +197,7 @@ def _answer_contexts(table: pa.Table, length: int) -> pa.Table:
         p = p.as_py()
         size = int.from_bytes(p[:8], "little")
         heads.append(bl.expand(p[8 : 8 + size], 2))
-        texts.append(np.frombuffer(bl._unzip(p[8 + size :], int(heads[-1][1].sum())), np.uint8))
+        texts.append(np.frombuffer(bl.unzip_bytes(p[8 + size :], int(heads[-1][1].sum())), np.uint8))
     sizes, least = (np.concatenate([h[k] for h in heads]) for k in (1, 2))
     data = np.concatenate([*texts, np.full(tb.PAD, 0x20, np.uint8)])
     at = tb.offsets(sizes)[:-1]
@@ -225,17 +225,12 @@ def _answer_contexts(table: pa.Table, length: int) -> pa.Table:
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         mine = place[a:b]
         flat = tb.ragged(answer, from_[mine], strings[mine])
-        packed.append(len(flat).to_bytes(8, "little") + bl._zip(np.ascontiguousarray(flat.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()))
+        packed.append(bl.numbers_out(flat))
     return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), packed)
 
 
 def _least(answers: pa.Scalar) -> np.ndarray:
-    out = [np.zeros(0, np.int64)]
-    for a in answers.values if answers.is_valid else ():
-        a = a.as_py()
-        n = int.from_bytes(a[:8], "little")
-        out.append(np.ascontiguousarray(np.frombuffer(bl._unzip(a[8:], 8 * n), np.uint8).reshape(8, n).T).view("<i8").reshape(-1))
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.int64), *(bl.numbers_in(a.as_py()) for a in (answers.values if answers.is_valid else ()))])
 
 
 def removed(chunk: tb.Chunk, contexts: _Contexts, least: np.ndarray, length: int) -> np.ndarray:
