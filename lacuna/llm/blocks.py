@@ -123,7 +123,7 @@ def numbers_out(values: np.ndarray) -> bytes:
 def numbers_in(packed: bytes) -> np.ndarray:
     """What :func:`numbers_out` took."""
     n = int.from_bytes(packed[:8], "little")
-    return np.ascontiguousarray(np.frombuffer(unzip_bytes(packed[8:], 8 * n), np.uint8).reshape(8, n).T).view("<i8").reshape(-1)
+    return np.frombuffer(unzip_bytes(packed[8:], 8 * n), np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1)
 
 
 def sent(block: int, parts: np.ndarray, entries: list[bytes]) -> pa.RecordBatch:

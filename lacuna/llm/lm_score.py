@@ -9,7 +9,7 @@ ln(STRENGTH / (n - 1 + STRENGTH)) for each symbol that follows once, is at least
 Kullback-Leibler divergence, each symbol being judged by the others (left out itself), so that chance repeats don't pass.
 A retained context has the smoothed distribution (c' + (n1 + STRENGTH) q) / (n + STRENGTH) with c' = c from 2 on, else 0, and
 n1 the number of symbols that follow once: their share is left to the suffix. The longest retained suffix of what was read is
-the state that scores the next symbol; log probabilities are kept in steps of 2**-16.
+the state that scores the next symbol; log probabilities are kept in steps of 2**-20.
 
 No context that would pass is left out: as c ln((c - 1 + S q) / ((c - 1 + S) q)) grows with c, its sum over the repeated
 symbols bounds what any longer context can reach against q, and the search goes on behind a context while that bound is at least
@@ -39,12 +39,12 @@ from lacuna.llm.scratch import materialise, parts_of, release
 
 DIVERGENCE = 6.0  # nats
 STRENGTH = 2.0  # weight of the suffix's distribution, in counts
-STEPS = 1 << 16  # of log10 probabilities, to one
+STEPS = 1 << 20  # of log10 probabilities, to one
 FINE = 1 << 10  # of the terms of sums, to a nat: whole numbers, so sums don't depend on their order
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x1F3D5B79A1C3E5F7)  # beside the words' hashes
 ODD = 0x9E3779B97F4A7C15
 
-LIVE = "kind string, block long, n_docs long, doc_ids binary, offsets binary, data binary, state binary, rows binary, part int, entries binary"
+ROWS = "kind string, block long, part int, data binary"
 
 
 def lengths() -> Iterator[int]:
@@ -64,27 +64,55 @@ def _held_out(chunk: tb.Chunk) -> np.ndarray:
     return np.array([not null and zlib.crc32(str(i).encode()) % 7 == 2 for i, null in zip(chunk.ids.tolist(), chunk.id_null.tolist(), strict=True)], bool)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Numbers (64 bits) and flags, one after the other."""
+    own = [np.array([x.dtype == bool, len(x)], "<u4").tobytes() + (bl.zip_bytes(np.packbits(x).tobytes()) if x.dtype == bool else bl.numbers_out(x)) for x in columns]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in own)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(packed):
+        size = int.from_bytes(packed[at : at + 8], "little")
+        flags, n = np.frombuffer(packed, "<u4", 2, at + 8).tolist()
+        own = packed[at + 16 : at + 8 + size]
+        out.append(np.unpackbits(np.frombuffer(bl.unzip_bytes(own, (n + 7) // 8), np.uint8))[:n].astype(bool) if flags else bl.numbers_in(own))
+        at += 8 + size
+    return out
+
+
 class Tokens:
-    """The tokens of a block: each text's start, words and end, and keys of the stretches before any of them."""
+    """The tokens of a block's texts, each text's start, words and end, as places among its distinct keys; and keys of the stretches before any of them."""
 
-    def __init__(self, chunk: tb.Chunk):
-        low = tb.LOWER[chunk.data]
-        starts, ends = tb.words(low, tb.NOT_SPACE)
-        count = np.diff(tb.per_text(chunk, starts))
-        self.bounds = tb.offsets(count + 2)
-        self.keys = np.full(int(self.bounds[-1]), END, np.uint64)
-        body = np.ones(len(self.keys), bool)
-        body[self.bounds[:-1]] = body[self.bounds[1:] - 1] = False
-        self.keys[body] = tb.hash_spans(low, starts, ends - starts)
-        self.keys[self.bounds[:-1]] = START
-        self.scored = np.ones(len(self.keys), bool)
+    def __init__(self, ids: np.ndarray, null: np.ndarray, train: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray):
+        self.ids, self.null, self.train, self.counts, self.distinct, self.of = ids, null, train, counts, distinct, of
+        self.bounds = tb.offsets(counts)
+        self.keys = distinct[of]
+        self.scored = np.ones(len(of), bool)
         self.scored[self.bounds[:-1]] = False
-        self.text = np.repeat(np.arange(len(chunk), dtype=np.int32), count + 2)
-        self.train = ~_held_out(chunk)
+        self.text = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys of the scored tokens, and for each scored token its place among them."""
-        return np.unique(self.keys[self.scored], return_inverse=True)
+    @classmethod
+    def read(cls, chunk: tb.Chunk) -> Tokens:
+        low = tb.LOWER[chunk.data]
+        starts, ends = tb.words(low, tb.NOT_SPACE)
+        counts = np.diff(tb.per_text(chunk, starts)) + 2
+        bounds = tb.offsets(counts)
+        keys = np.full(int(bounds[-1]), END, np.uint64)
+        body = np.ones(len(keys), bool)
+        body[bounds[:-1]] = body[bounds[1:] - 1] = False
+        keys[body] = tb.hash_spans(low, starts, ends - starts)
+        keys[bounds[:-1]] = START
+        return cls(chunk.ids, chunk.id_null, ~_held_out(chunk), counts, *np.unique(keys, return_inverse=True))
+
+    def some(self, texts: np.ndarray) -> Tokens:
+        of = self.of[texts[self.text]]
+        used = np.zeros(len(self.distinct), bool)
+        used[of] = True
+        return Tokens(self.ids[texts], self.null[texts], self.train[texts], self.counts[texts], self.distinct[used], (np.cumsum(used) - 1)[of])
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.ids, self.null, self.train, self.counts, self.distinct.view(np.int64), self.of]
 
     @functools.cached_property
     def _sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -103,39 +131,49 @@ class Tokens:
 
 
 class State:
-    """What a block knows between rounds: of each text the totals; of each token whether its last n-gram is repeated, and the open ones, whose probability can still change, with their codes."""
+    """What a block knows between rounds: its tokens; of each text the totals; of each token whether its last n-gram is repeated; which are open, as their probability can still change, and their codes."""
 
-    def __init__(self, totals: np.ndarray, known: np.ndarray, base: np.ndarray, repeated: np.ndarray, open_: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None):
-        self.totals, self.known, self.base = totals, known, base
-        self.repeated, self.open, self.codes, self.counts = repeated, open_, codes, counts
+    def __init__(self, tokens: Tokens, totals: np.ndarray, known: np.ndarray, base: np.ndarray, repeated: np.ndarray, open_: np.ndarray, codes: np.ndarray):
+        self.tokens, self.totals, self.known, self.base, self.repeated, self.open, self.codes = tokens, totals, known, base, repeated, open_, codes
 
     def dump(self) -> bytes:
-        own = [bl.numbers_out(x) for x in (self.totals, self.known, self.base.view(np.int64), self.codes, *([] if self.counts is None else [self.counts]))]
-        own += [bl.zip_bytes(np.packbits(x).tobytes()) for x in (self.repeated, self.open)]
-        return b"".join(len(x).to_bytes(8, "little") + x for x in own)
+        return _pack(*self.tokens.columns(), self.totals, self.known, self.base.view(np.int64), self.repeated, self.open, self.codes)
 
     @classmethod
-    def load(cls, packed: bytes, tokens: Tokens) -> State:
-        own, at = [], 0
-        while at < len(packed):
-            size = int.from_bytes(packed[at : at + 8], "little")
-            own.append(packed[at + 8 : at + 8 + size])
-            at += 8 + size
-        n = len(tokens.keys)
-        flags = [np.unpackbits(np.frombuffer(bl.unzip_bytes(x, (n + 7) // 8), np.uint8))[:n].astype(bool) for x in own[-2:]]
-        totals, known, base, codes, *counts = (bl.numbers_in(x) for x in own[:-2])
-        return cls(totals, known, base.view(np.float64), *flags, codes, *counts)
-
-    def close(self, tokens: Tokens, still: np.ndarray) -> None:
-        """Only tokens of ``still`` stay open; the codes of the others go to their texts' totals."""
-        places = np.flatnonzero(self.open)
-        gone = ~still[places]
-        self.totals = self.totals + np.bincount(tokens.text[places[gone]], self.codes[gone], minlength=len(self.totals)).astype(np.int64)
-        self.open, self.codes, self.counts = self.open & still, self.codes[~gone], None
+    def load(cls, packed: bytes) -> State:
+        ids, null, train, counts, distinct, of, totals, known, base, repeated, open_, codes = _unpack(packed)
+        return cls(Tokens(ids, null, train, counts, distinct.view(np.uint64), of), totals, known, base.view(np.float64), repeated, open_, codes)
 
+    def asked(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the open tokens, the keys of their contexts, which have n-grams that may be repeated, and the keys of these."""
+        places = np.flatnonzero(self.open)
+        contexts, repeated = self.tokens.before(places, size), self.repeated[places]
+        return places, contexts, repeated, tb.mix(contexts[repeated] ^ tb.mix(self.tokens.keys[places[repeated]] + np.uint64(ODD)))
 
-def _code(p: np.ndarray) -> np.ndarray:
-    return np.rint(-np.log10(p) * STEPS).astype(np.int64)
+    def rows(self, block: int, still: np.ndarray, size: int, parts: int) -> pa.RecordBatch:
+        """After a round: the answers of texts without tokens in ``still``, the others' state, and their n-grams for the next."""
+        tokens, places = self.tokens, np.flatnonzero(self.open)
+        still = still & np.concatenate(([False], self.repeated[:-1])) & tokens.room(size)
+        gone = ~still[places]
+        totals = self.totals + np.bincount(tokens.text[places[gone]], self.codes[gone], minlength=len(self.totals)).astype(np.int64)
+        live = np.zeros(len(totals), bool)
+        live[tokens.text[still]] = True
+        rows = []
+        if not live.all():
+            rows.append({"kind": "done", "block": block, "data": _pack(*(c[~live] for c in (tokens.ids, tokens.null, tokens.counts - 1, self.known, self.base.view(np.int64), totals)))})
+        if live.any():
+            inside = live[tokens.text]
+            left = State(tokens.some(live), totals[live], self.known[live], self.base[live], self.repeated[inside], still[inside], self.codes[~gone])
+            rows.append({"kind": "live", "block": block, "data": left.dump()})
+            places, _, repeated, keys = left.asked(size)
+            keys, _, counts, _ = _count(keys, left.tokens.train[left.tokens.text[places[repeated]]])
+            full, at = bl.cut(keys, parts)
+            rows += [{"kind": "sent", "block": block, "part": p, "data": bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]])} for p in full.tolist()]
+        return _rows(rows)
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())]))
 
 
 def _count(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,24 +182,19 @@ def _count(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, first, np.bincount(of, weights, minlength=len(distinct)).astype(np.int64), of
 
 
-def _asked(tokens: Tokens, state: State, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the open tokens, the keys of their contexts, and which have n-grams that may be repeated."""
-    places = np.flatnonzero(state.open)
-    return places, tokens.before(places, size), state.repeated[places]
-
-
-def _gram_keys(tokens: Tokens, places: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return tb.mix(contexts ^ tb.mix(tokens.keys[places] + np.uint64(ODD)))
+def smoothed(c: np.ndarray, n: np.ndarray, once: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Probability of a symbol that follows a context c of n times, ``once`` of which are symbols that follow once; q: in the suffix."""
+    return (np.where(c > 1, c, 0) + (once + STRENGTH) * q) / (n + STRENGTH)
 
 
 def _send_words(batches, parts: int):
     """Tokens of a block with their training counts."""
     for block, chunk, _ in bl.read(batches):
-        tokens = Tokens(chunk)
-        keys, of = tokens.distinct()
-        counts = np.bincount(of, tokens.train[tokens.text[tokens.scored]], minlength=len(keys)).astype(np.int64)
-        full, at = bl.cut(keys, parts)
-        yield bl.sent(block, full, [bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
+        tokens = Tokens.read(chunk)
+        counts = np.bincount(tokens.of, tokens.scored & tokens.train[tokens.text], minlength=len(tokens.distinct)).astype(np.int64)
+        full, at = bl.cut(tokens.distinct, parts)
+        yield bl.sent(block, full, [bl.squeeze(tokens.distinct[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
+        tb.give_back()
 
 
 def _combine_words(table: pa.Table) -> pa.Table:
@@ -180,57 +213,25 @@ def _numbers(answers: pa.Scalar) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(bl.numbers_in(a.as_py()) for a in (answers.values if answers.is_valid else ()))])
 
 
-def _kept(block: int, chunk: tb.Chunk, tokens: Tokens, state: State) -> pa.RecordBatch:
-    """The texts with open tokens as a row to go on with, and the answers of the others."""
-    live = np.zeros(len(chunk), bool)
-    live[tokens.text[state.open]] = True
-    rows = []
-    if not live.all():
-        done = ~live
-        columns = (chunk.ids, chunk.id_null, np.diff(tokens.bounds) - 1, state.known, state.base.view(np.int64), state.totals)
-        rows.append({"kind": "done", "block": block, "rows": b"".join(len(x).to_bytes(8, "little") + x for x in (bl.numbers_out(c[done].astype(np.int64)) for c in columns))})
-    if live.any():
-        inside = live[tokens.text]
-        left = State(state.totals[live], state.known[live], state.base[live], state.repeated[inside], state.open[inside], state.codes)
-        rows.append({"kind": "live", **bl.packed(block, chunk, only=live), "state": left.dump()})
-    return pa.RecordBatch.from_pylist(rows, LIVE_ARROW)
-
-
-LIVE_ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in LIVE.split(", "))])
-
-
-def _begin(batches, tokens_in_all: int, distinct: int, size: int):
+def _begin(batches, tokens_in_all: int, distinct: int, size: int, parts: int):
     """Base figures of a block, and its state before contexts of ``size`` tokens."""
     for block, chunk, (answers,) in bl.read(batches):
-        tokens = Tokens(chunk)
-        _, of = tokens.distinct()
-        counts = _numbers(answers)[of]
-        repeated = np.ones(len(tokens.keys), bool)
-        repeated[tokens.scored] = counts > 1
+        tokens = Tokens.read(chunk)
+        counts = _numbers(answers)[tokens.of]
+        repeated = (counts > 1) | ~tokens.scored
+        counts = counts[tokens.scored]
         bounds = tokens.bounds - np.arange(len(tokens.bounds))
-        logs = np.log10(counts + 1.0)
-        share = np.log10(tokens_in_all + distinct + 1.0)
-        state = State(np.zeros(len(chunk), np.int64), tb.sums(counts > 0, bounds), tb.sums(logs, bounds) - np.diff(bounds) * share, repeated, tokens.scored, np.rint((share - logs) * STEPS).astype(np.int64))
-        state.close(tokens, _still(tokens, state, size))
-        yield _kept(block, chunk, tokens, state)
+        logs, share = np.log10(counts + 1.0), np.log10(tokens_in_all + distinct + 1.0)
+        state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums(counts > 0, bounds), tb.sums(logs, bounds) - np.diff(bounds) * share, repeated, tokens.scored, np.rint((share - logs) * STEPS).astype(np.int64))
+        yield state.rows(block, tokens.scored, size, parts)
         tb.give_back()
 
 
-def _still(tokens: Tokens, state: State, size: int) -> np.ndarray:
-    """Tokens before which ``size`` tokens stand, that can occur twice as such."""
-    return np.concatenate(([False], state.repeated[:-1])) & tokens.room(size)
-
-
-def _send_grams(batches, size: int, parts: int):
-    """Distinct n-grams of a block that may be repeated, with their training counts."""
-    for block, chunk, (state,) in bl.read(batches):
-        tokens = Tokens(chunk)
-        places, contexts, asked = _asked(tokens, State.load(state.as_py(), tokens), size)
-        places = places[asked]
-        keys, _, counts, _ = _count(_gram_keys(tokens, places, contexts[asked]), tokens.train[tokens.text[places]])
-        full, at = bl.cut(keys, parts)
-        yield bl.sent(block, full, [bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
-        tb.give_back()
+def _read(batches) -> Iterator[tuple]:
+    """Block, state, and the further columns."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), State.load(batch.column(1)[k].as_py()), *(batch.column(j)[k] for j in range(2, batch.num_columns))
 
 
 def _combine_grams(table: pa.Table) -> pa.Table:
@@ -246,32 +247,23 @@ def _combine_grams(table: pa.Table) -> pa.Table:
 
 
 def _send_contexts(batches, size: int, parts: int):
-    """The block with the counts of its n-grams; and to the parts, of its contexts, the training symbols behind them and the sums over the n-grams it answers for."""
-    for block, chunk, (packed, answers) in bl.read(batches):
-        tokens = Tokens(chunk)
-        state = State.load(packed.as_py(), tokens)
-        places, contexts, asked = _asked(tokens, state, size)
-        _, first, _, of = _count(_gram_keys(tokens, places[asked], contexts[asked]), np.zeros(int(asked.sum())))
+    """The counts of a block's n-grams; and to the parts, of its contexts, the training symbols behind them and the sums over the n-grams it answers for."""
+    for block, state, answers in _read(batches):
+        places, contexts, repeated, keys = state.asked(size)
+        _, first, _, of = _count(keys, np.zeros(len(keys)))
         reply = _numbers(answers)
         count, mine = reply >> 1, (reply & 1).astype(bool) & (reply > 3)
-        state.counts = np.zeros(len(places), np.int64)
-        state.counts[asked] = count[of]
-        keys, _, follow, context = _count(contexts, tokens.train[tokens.text[places]])
-        at = np.flatnonzero(asked)[first[mine]]
+        keys, _, follow, context = _count(contexts, state.tokens.train[state.tokens.text[places]])
+        at = np.flatnonzero(repeated)[first[mine]]
         c, q = count[mine], 10.0 ** (-state.codes[at] / STEPS)
         seen = np.log((c - 1 + STRENGTH * q) / q)
         terms = (c, *(np.rint(c * x * FINE).astype(np.int64) for x in (seen, seen - np.log(c - 1 + STRENGTH), np.log(c))))
-        sums = []
-        for x in terms:
-            total = np.zeros(len(keys), np.int64)
+        sums = np.zeros((4, len(keys)), np.int64)
+        for total, x in zip(sums, terms, strict=True):
             np.add.at(total, context[at], x)
-            sums.append(total)
-        rows = [{"kind": "live", **bl.packed(block, chunk), "state": state.dump()}]
         full, cut = bl.cut(keys, parts)
-        for p in full.tolist():
-            own = slice(cut[p], cut[p + 1])
-            rows.append({"kind": "sent", "block": block, "part": p, "entries": bl.squeeze(keys[own], follow[own], *(s[own] for s in sums))})
-        yield pa.RecordBatch.from_pylist(rows, LIVE_ARROW)
+        slices = [slice(cut[p], cut[p + 1]) for p in full.tolist()]
+        yield _rows([{"kind": "counts", "block": block, "data": _pack(count[of])}, *({"kind": "sent", "block": block, "part": p, "data": bl.squeeze(keys[own], follow[own], *sums[:, own])} for p, own in zip(full.tolist(), slices, strict=True))])
         tb.give_back()
 
 
@@ -296,37 +288,30 @@ def _combine_contexts(table: pa.Table) -> pa.Table:
     return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), [bl.numbers_out(reply[:, a:b].reshape(-1)) for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
-def _go_on(batches, size: int, longer: int):
+def _go_on(batches, size: int, longer: int, parts: int):
     """The block after a round, before contexts of ``longer`` tokens."""
-    for block, chunk, (packed, answers) in bl.read(batches):
-        tokens = Tokens(chunk)
-        state = State.load(packed.as_py(), tokens)
-        places, contexts, _ = _asked(tokens, state, size)
-        _, of = np.unique(contexts, return_inverse=True)
+    for block, state, counts, answers in _read(batches):
+        places, contexts, repeated, _ = state.asked(size)
+        c = np.zeros(len(places), np.int64)
+        c[repeated] = _unpack(counts.as_py())[0]
+        _, _, _, of = _count(contexts, c)
         told = [bl.numbers_in(a.as_py()).reshape(2, -1) for a in answers.values]
         reply, once = (np.concatenate([t[k] for t in told])[of] for k in (0, 1))
         passed = (reply & 2).astype(bool)
-        n, c = (reply >> 2)[passed], state.counts[passed]
         q = 10.0 ** (-state.codes[passed] / STEPS)
-        state.codes[passed] = _code((np.where(c > 1, c, 0) + (once[passed] + STRENGTH) * q) / (n + STRENGTH))
-        state.repeated[places] = state.counts > 1
-        still = _still(tokens, state, longer)
-        still[places[(reply & 1) == 0]] = False
-        state.close(tokens, still)
-        yield _kept(block, chunk, tokens, state)
+        state.codes[passed] = np.rint(-np.log10(smoothed(c[passed], (reply >> 2)[passed], once[passed], q)) * STEPS).astype(np.int64)
+        state.repeated[places] = c > 1
+        still = np.zeros(len(state.open), bool)
+        still[places] = reply & 1
+        yield state.rows(block, still, longer, parts)
         tb.give_back()
 
 
 def _results(batches):
     for batch in batches:
         for packed in batch.column(0):
-            packed, at, own = packed.as_py(), 0, []
-            while at < len(packed):
-                size = int.from_bytes(packed[at : at + 8], "little")
-                own.append(bl.numbers_in(packed[at + 8 : at + 8 + size]))
-                at += 8 + size
-            ids, null, tokens, known, base, total = own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(tokens), pa.array(known), pa.array(base.view(np.float64)), pa.array(-total / STEPS)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            ids, null, tokens, known, base, total = _unpack(packed.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(tokens), pa.array(known), pa.array(base.view(np.float64)), pa.array(-total / STEPS)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,25 +330,24 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
     steps = lengths()
     size = next(steps)
-    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size), LIVE)
+    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size, parts=parts), ROWS)
     table = materialise(begin, "round", by="kind")
     release(blocks, got)
-    columns = [f.split()[0] for f in bl.BLOCK_SCHEMA.split(", ")]
     done = []
     while True:
-        done.append(parts_of(table, "done").select("rows"))
-        live = parts_of(table, "live")
+        done.append(parts_of(table, "done").select("data"))
+        live, grams = parts_of(table, "live"), parts_of(table, "sent")
         if live.select("block").isEmpty():
             break
-        longer, own = next(steps), live.select(*columns, "state")
-        sent = own.mapInArrow(functools.partial(_send_grams, size=size, parts=parts), bl.SENT_SCHEMA)
-        counted = bl.beside(own, sent.groupBy("part").applyInArrow(_combine_grams, bl.ANSWER_SCHEMA))
-        asked = materialise(counted.mapInArrow(functools.partial(_send_contexts, size=size, parts=parts), LIVE), "contexts", by="kind")
-        release(live)
-        answers = parts_of(asked, "sent").select("part", "block", "entries").groupBy("part").applyInArrow(_combine_contexts, bl.ANSWER_SCHEMA)
-        told = bl.beside(parts_of(asked, "live").select(*columns, "state"), answers)
-        table = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer), LIVE), "round", by="kind")
-        release(asked)
+        longer, own = next(steps), live.select("block", "data")
+        entries = [F.col("part"), F.col("block"), F.col("data").alias("entries")]
+        counted = bl.beside(own, grams.select(entries).groupBy("part").applyInArrow(_combine_grams, bl.ANSWER_SCHEMA))
+        asked = materialise(counted.mapInArrow(functools.partial(_send_contexts, size=size, parts=parts), ROWS), "contexts", by="kind")
+        release(grams)
+        answers = parts_of(asked, "sent").select(entries).groupBy("part").applyInArrow(_combine_contexts, bl.ANSWER_SCHEMA)
+        told = bl.beside(own.join(parts_of(asked, "counts").select("block", F.col("data").alias("counts")), "block"), answers)
+        table = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer, parts=parts), ROWS), "round", by="kind")
+        release(asked, live)
         size = longer
     out = functools.reduce(DataFrame.unionByName, done).mapInArrow(_results, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
