@@ -82,10 +82,13 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
 
 
 class Tokens:
-    """The tokens of a block's texts, each text's start, words and end, as places among its distinct keys; and keys of the stretches before any of them."""
+    """The tokens of a block's texts, each text's start, words and end, as places among its distinct keys; and keys of the stretches before any of them.
 
-    def __init__(self, ids: np.ndarray, null: np.ndarray, train: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray):
-        self.ids, self.null, self.train, self.counts, self.distinct, self.of = ids, null, train, counts, distinct, of
+    ``base``: the codes of the distinct keys at the root.
+    """
+
+    def __init__(self, ids: np.ndarray, null: np.ndarray, train: np.ndarray, counts: np.ndarray, distinct: np.ndarray, of: np.ndarray, base: np.ndarray | None = None):
+        self.ids, self.null, self.train, self.counts, self.distinct, self.of, self.base = ids, null, train, counts, distinct, of, base
         self.bounds = tb.offsets(counts)
         self.keys = distinct[of]
         self.scored = np.ones(len(of), bool)
@@ -109,10 +112,10 @@ class Tokens:
         of = self.of[texts[self.text]]
         used = np.zeros(len(self.distinct), bool)
         used[of] = True
-        return Tokens(self.ids[texts], self.null[texts], self.train[texts], self.counts[texts], self.distinct[used], (np.cumsum(used) - 1)[of])
+        return Tokens(self.ids[texts], self.null[texts], self.train[texts], self.counts[texts], self.distinct[used], (np.cumsum(used) - 1)[of], self.base[used])
 
     def columns(self) -> list[np.ndarray]:
-        return [self.ids, self.null, self.train, self.counts, self.distinct.view(np.int64), self.of]
+        return [self.ids, self.null, self.train, self.counts, self.distinct.view(np.int64), self.of, self.base]
 
     @functools.cached_property
     def _sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +140,16 @@ class State:
         self.tokens, self.totals, self.known, self.base, self.repeated, self.open, self.codes = tokens, totals, known, base, repeated, open_, codes
 
     def dump(self) -> bytes:
-        return _pack(*self.tokens.columns(), self.totals, self.known, self.base.view(np.int64), self.repeated, self.open, self.codes)
+        moved = self.codes != self.tokens.base[self.tokens.of[self.open]]
+        return _pack(*self.tokens.columns(), self.totals, self.known, self.base.view(np.int64), self.repeated, self.open, moved, self.codes[moved])
 
     @classmethod
     def load(cls, packed: bytes) -> State:
-        ids, null, train, counts, distinct, of, totals, known, base, repeated, open_, codes = _unpack(packed)
-        return cls(Tokens(ids, null, train, counts, distinct.view(np.uint64), of), totals, known, base.view(np.float64), repeated, open_, codes)
+        ids, null, train, counts, distinct, of, root, totals, known, base, repeated, open_, moved, codes = _unpack(packed)
+        tokens = Tokens(ids, null, train, counts, distinct.view(np.uint64), of, root)
+        every = root[of[open_]]
+        every[moved] = codes
+        return cls(tokens, totals, known, base.view(np.float64), repeated, open_, every)
 
     def asked(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of the open tokens, the keys of their contexts, which have n-grams that may be repeated, and the keys of these."""
@@ -150,8 +157,8 @@ class State:
         contexts, repeated = self.tokens.before(places, size), self.repeated[places]
         return places, contexts, repeated, tb.mix(contexts[repeated] ^ tb.mix(self.tokens.keys[places[repeated]] + np.uint64(ODD)))
 
-    def rows(self, block: int, still: np.ndarray, size: int, parts: int) -> pa.RecordBatch:
-        """After a round: the answers of texts without tokens in ``still``, the others' state, and their n-grams for the next."""
+    def rows(self, block: int, still: np.ndarray, size: int) -> pa.RecordBatch:
+        """After a round: the answers of texts without tokens in ``still``, and the others' state before contexts of ``size`` tokens."""
         tokens, places = self.tokens, np.flatnonzero(self.open)
         still = still & np.concatenate(([False], self.repeated[:-1])) & tokens.room(size)
         gone = ~still[places]
@@ -165,10 +172,6 @@ class State:
             inside = live[tokens.text]
             left = State(tokens.some(live), totals[live], self.known[live], self.base[live], self.repeated[inside], still[inside], self.codes[~gone])
             rows.append({"kind": "live", "block": block, "data": left.dump()})
-            places, _, repeated, keys = left.asked(size)
-            keys, _, counts, _ = _count(keys, left.tokens.train[left.tokens.text[places[repeated]]])
-            full, at = bl.cut(keys, parts)
-            rows += [{"kind": "sent", "block": block, "part": p, "data": bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]])} for p in full.tolist()]
         return _rows(rows)
 
 
@@ -213,17 +216,22 @@ def _numbers(answers: pa.Scalar) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(bl.numbers_in(a.as_py()) for a in (answers.values if answers.is_valid else ()))])
 
 
-def _begin(batches, tokens_in_all: int, distinct: int, size: int, parts: int):
+def _begin(batches, tokens_in_all: int, distinct: int, size: int):
     """Base figures of a block, and its state before contexts of ``size`` tokens."""
     for block, chunk, (answers,) in bl.read(batches):
         tokens = Tokens.read(chunk)
-        counts = _numbers(answers)[tokens.of]
-        repeated = (counts > 1) | ~tokens.scored
-        counts = counts[tokens.scored]
-        bounds = tokens.bounds - np.arange(len(tokens.bounds))
+        counts = _numbers(answers)
         logs, share = np.log10(counts + 1.0), np.log10(tokens_in_all + distinct + 1.0)
-        state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums(counts > 0, bounds), tb.sums(logs, bounds) - np.diff(bounds) * share, repeated, tokens.scored, np.rint((share - logs) * STEPS).astype(np.int64))
-        yield state.rows(block, tokens.scored, size, parts)
+        tokens.base = np.rint((share - logs) * STEPS).astype(np.int64)
+        frequent = np.argsort(-np.bincount(tokens.of, minlength=len(counts)), kind="stable")  # small numbers for most tokens
+        rank = np.empty(len(frequent), np.int64)
+        rank[frequent] = np.arange(len(frequent))
+        tokens.distinct, tokens.base, tokens.of = tokens.distinct[frequent], tokens.base[frequent], rank[tokens.of]
+        counts, logs = counts[frequent], logs[frequent]
+        own, bounds = tokens.of[tokens.scored], tokens.bounds - np.arange(len(tokens.bounds))
+        repeated = (counts > 1)[tokens.of] | ~tokens.scored
+        state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums((counts > 0)[own], bounds), tb.sums(logs[own], bounds) - np.diff(bounds) * share, repeated, tokens.scored, tokens.base[own])
+        yield state.rows(block, tokens.scored, size)
         tb.give_back()
 
 
@@ -234,6 +242,16 @@ def _read(batches) -> Iterator[tuple]:
             yield batch.column(0)[k].as_py(), State.load(batch.column(1)[k].as_py()), *(batch.column(j)[k] for j in range(2, batch.num_columns))
 
 
+def _send_grams(batches, size: int, parts: int):
+    """Distinct n-grams of a block that may be repeated, with their training counts."""
+    for block, state in _read(batches):
+        places, _, repeated, keys = state.asked(size)
+        keys, _, counts, _ = _count(keys, state.tokens.train[state.tokens.text[places[repeated]]])
+        full, at = bl.cut(keys, parts)
+        yield bl.sent(block, full, [bl.squeeze(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in full.tolist()])
+        tb.give_back()
+
+
 def _combine_grams(table: pa.Table) -> pa.Table:
     """For each block and n-gram twice its count, one more for the first block that has it."""
     table = table.sort_by("block")
@@ -246,16 +264,23 @@ def _combine_grams(table: pa.Table) -> pa.Table:
     return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), [bl.numbers_out(reply[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
+def _counted(state: State, answers: pa.Scalar, size: int) -> tuple:
+    """Places of the open tokens, the keys of their contexts, the counts of their n-grams if repeated, and of the n-grams that the block answers for the counts and first of these places."""
+    places, contexts, repeated, keys = state.asked(size)
+    _, first, _, of = _count(keys, np.zeros(len(keys)))
+    reply = _numbers(answers)
+    count, mine = reply >> 1, (reply & 1).astype(bool) & (reply > 3)
+    c = np.zeros(len(places), np.int64)
+    c[repeated] = count[of]
+    return places, contexts, c, count[mine], np.flatnonzero(repeated)[first[mine]]
+
+
 def _send_contexts(batches, size: int, parts: int):
-    """The counts of a block's n-grams; and to the parts, of its contexts, the training symbols behind them and the sums over the n-grams it answers for."""
+    """A block's contexts with the training symbols behind them, and the sums over the n-grams that it answers for."""
     for block, state, answers in _read(batches):
-        places, contexts, repeated, keys = state.asked(size)
-        _, first, _, of = _count(keys, np.zeros(len(keys)))
-        reply = _numbers(answers)
-        count, mine = reply >> 1, (reply & 1).astype(bool) & (reply > 3)
+        places, contexts, _, c, at = _counted(state, answers, size)
         keys, _, follow, context = _count(contexts, state.tokens.train[state.tokens.text[places]])
-        at = np.flatnonzero(repeated)[first[mine]]
-        c, q = count[mine], 10.0 ** (-state.codes[at] / STEPS)
+        q = 10.0 ** (-state.codes[at] / STEPS)
         seen = np.log((c - 1 + STRENGTH * q) / q)
         terms = (c, *(np.rint(c * x * FINE).astype(np.int64) for x in (seen, seen - np.log(c - 1 + STRENGTH), np.log(c))))
         sums = np.zeros((4, len(keys)), np.int64)
@@ -263,7 +288,7 @@ def _send_contexts(batches, size: int, parts: int):
             np.add.at(total, context[at], x)
         full, cut = bl.cut(keys, parts)
         slices = [slice(cut[p], cut[p + 1]) for p in full.tolist()]
-        yield _rows([{"kind": "counts", "block": block, "data": _pack(count[of])}, *({"kind": "sent", "block": block, "part": p, "data": bl.squeeze(keys[own], follow[own], *sums[:, own])} for p, own in zip(full.tolist(), slices, strict=True))])
+        yield bl.sent(block, full, [bl.squeeze(keys[own], follow[own], *sums[:, own]) for own in slices])
         tb.give_back()
 
 
@@ -288,12 +313,10 @@ def _combine_contexts(table: pa.Table) -> pa.Table:
     return bl.answers(table.column("part")[0].as_py(), table.column("block").to_pylist(), [bl.numbers_out(reply[:, a:b].reshape(-1)) for a, b in zip(at[:-1], at[1:], strict=True)])
 
 
-def _go_on(batches, size: int, longer: int, parts: int):
+def _go_on(batches, size: int, longer: int):
     """The block after a round, before contexts of ``longer`` tokens."""
-    for block, state, counts, answers in _read(batches):
-        places, contexts, repeated, _ = state.asked(size)
-        c = np.zeros(len(places), np.int64)
-        c[repeated] = _unpack(counts.as_py())[0]
+    for block, state, grams, answers in _read(batches):
+        places, contexts, c, _, _ = _counted(state, grams, size)
         _, _, _, of = _count(contexts, c)
         told = [bl.numbers_in(a.as_py()).reshape(2, -1) for a in answers.values]
         reply, once = (np.concatenate([t[k] for t in told])[of] for k in (0, 1))
@@ -303,7 +326,7 @@ def _go_on(batches, size: int, longer: int, parts: int):
         state.repeated[places] = c > 1
         still = np.zeros(len(state.open), bool)
         still[places] = reply & 1
-        yield state.rows(block, still, longer, parts)
+        yield state.rows(block, still, longer)
         tb.give_back()
 
 
@@ -314,6 +337,22 @@ def _results(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(tokens), pa.array(known), pa.array(base.view(np.float64)), pa.array(-total / STEPS)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
+def _round(table: DataFrame, size: int, longer: int, parts: int) -> DataFrame:
+    """The blocks (and the texts that are done) after contexts of ``size`` tokens were tested; deletes what it took."""
+    live = table.select("block", "data")
+
+    def answered(blocks: DataFrame, send, combine, name: str) -> DataFrame:
+        sent = blocks.mapInArrow(functools.partial(send, size=size, parts=parts), bl.SENT_SCHEMA)
+        return materialise(sent.groupBy("part").applyInArrow(combine, bl.ANSWER_SCHEMA), name)
+
+    grams = answered(live, _send_grams, _combine_grams, "grams")
+    contexts = answered(bl.beside(live, grams), _send_contexts, _combine_contexts, "contexts")
+    told = bl.beside(bl.beside(live, grams).withColumnRenamed("answers", "grams"), contexts)
+    out = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer), ROWS), "round", by="kind")
+    release(table, grams, contexts)
+    return out
+
+
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -330,24 +369,16 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
     steps = lengths()
     size = next(steps)
-    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size, parts=parts), ROWS)
+    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size), ROWS)
     table = materialise(begin, "round", by="kind")
     release(blocks, got)
     done = []
     while True:
         done.append(parts_of(table, "done").select("data"))
-        live, grams = parts_of(table, "live"), parts_of(table, "sent")
-        if live.select("block").isEmpty():
+        if parts_of(table, "live").select("block").isEmpty():
             break
-        longer, own = next(steps), live.select("block", "data")
-        entries = [F.col("part"), F.col("block"), F.col("data").alias("entries")]
-        counted = bl.beside(own, grams.select(entries).groupBy("part").applyInArrow(_combine_grams, bl.ANSWER_SCHEMA))
-        asked = materialise(counted.mapInArrow(functools.partial(_send_contexts, size=size, parts=parts), ROWS), "contexts", by="kind")
-        release(grams)
-        answers = parts_of(asked, "sent").select(entries).groupBy("part").applyInArrow(_combine_contexts, bl.ANSWER_SCHEMA)
-        told = bl.beside(own.join(parts_of(asked, "counts").select("block", F.col("data").alias("counts")), "block"), answers)
-        table = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer, parts=parts), ROWS), "round", by="kind")
-        release(asked, live)
+        longer = next(steps)
+        table = _round(parts_of(table, "live"), size, longer, parts)
         size = longer
     out = functools.reduce(DataFrame.unionByName, done).mapInArrow(_results, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
