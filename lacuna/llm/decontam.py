@@ -6,8 +6,9 @@ index. Phrases (13 consecutive words of an item, or a shorter item as a whole) a
 backward-searched through the ranks of a wavelet matrix, their occurrences located by
 sampled suffix positions, and the spans merged.
 
-The benchmark is the stated query set. Up to ``BENCHMARK_BYTES`` of it are shipped to the
-executors at a time; a larger one is taken in parts, and the parts' spans are merged.
+The benchmark is the stated query set. Up to ``BENCHMARK_BYTES`` of it are shipped to the executors at a time, as
+symbols and the ends of windows in them, in about three times as many bytes. A larger one is taken in parts, one after the
+other, and the parts' spans are merged.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
 from lacuna.llm.fm_index import FMIndex
+from lacuna.llm.probe import unused, without
 from lacuna.llm.scratch import materialise
 
 WINDOW = 13
-BENCHMARK_BYTES = 32 << 20
+BENCHMARK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 
 
@@ -36,31 +38,38 @@ def word_spans(chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Phrases:
-    """The windows of some benchmark items: symbols by word, patterns, and the items of each pattern."""
+    """The windows of some benchmark items: symbols by word, the items' symbols, where each distinct window ends in them, and the items of each."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         chunk = tb.of_texts([t for _, t in items])
         low, starts, ends = word_spans(chunk)
         keys = tb.hash_spans(low, starts, ends - starts)
         self.keys, first, symbols = np.unique(keys, return_index=True, return_inverse=True)
-        self.sizes = (ends - starts)[first]
-        symbols = symbols + 1
-        bounds = tb.per_text(chunk, starts)
-        found: dict[tuple, set[int]] = {}
-        for k, (item, _) in enumerate(items):
-            own = symbols[bounds[k] : bounds[k + 1]].tolist()
-            size = min(window, len(own))
-            for a in range(len(own) - size + 1 if size else 0):
-                found.setdefault(tuple(own[a : a + size]), set()).add(item)
-        self.lens = np.array([len(p) for p in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for k, p in enumerate(found):
-            self.patterns[k, window - len(p) :] = p
-        owners = [sorted(v) for v in found.values()]
-        self.owner_counts = np.array([len(v) for v in owners], np.int64)
-        self.owner_starts = tb.offsets(self.owner_counts)[:-1]
-        self.owners = np.array([x for v in owners for x in v], np.int64)
-        self.least = int(self.lens.min()) if len(found) else 0
+        self.sizes = (ends - starts)[first].astype(np.int32)
+        self.text = (symbols + 1).astype(np.int32)
+        count = np.diff(tb.per_text(chunk, starts))
+        end, length, owner = self._windows(count, window)
+        rolled = length.astype(np.uint64)
+        for k in range(window):
+            rolled = np.where(k < length, tb.mix(rolled * np.uint64(0x9E3779B97F4A7C15) + self.text[end - 1 - np.minimum(k, length - 1)].astype(np.uint64)), rolled)
+        ids = np.array([i for i, _ in items], np.int64)[owner]
+        order = np.lexsort((ids, rolled))
+        same = np.concatenate(([False], (rolled[order][1:] == rolled[order][:-1]) & (ids[order][1:] == ids[order][:-1]))) if len(order) else np.zeros(0, bool)
+        order = order[~same]
+        new = np.flatnonzero(np.concatenate(([True], rolled[order][1:] != rolled[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        self.ends, self.lens = end[order[new]].astype(np.int32), length[order[new]].astype(np.int32)
+        self.owners, self.owner_starts = ids[order], new.astype(np.int32)
+        self.owner_counts = np.diff(np.append(new, len(order))).astype(np.int32)
+        self.least = int(self.lens.min()) if len(new) else 0
+
+    @staticmethod
+    def _windows(count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of items of so many words: each window's end, its words, and its item's place."""
+        size = np.minimum(count, window)
+        times = np.where(count > 0, count - size + 1, 0)
+        owner = np.repeat(np.arange(len(count)), times)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        return tb.offsets(count)[owner] + nth + size[owner], size[owner], owner
 
     def symbols(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The words' symbols; 0 for words that no item has."""
@@ -97,7 +106,7 @@ class Phrases:
         body[at[1:] - 1] = False
         word[body] = tb.ragged(np.arange(len(symbols)), a, size)
         text[body] = symbols[word[body]]
-        pattern, place = FMIndex(text, at[:-1]).occurrences(self.patterns, self.lens)
+        pattern, place = FMIndex(text, at[:-1]).occurrences(self.text, self.ends, self.lens)
         if not len(pattern):
             return hit, starts, ends, bounds, nothing
         cover = np.zeros(len(symbols) + 1, np.int64)
@@ -173,12 +182,13 @@ def _merge(table: pa.Table, parts: int) -> pa.Table:
     return pa.Table.from_pylist([{k: out[k] for k in names}] * (len(rows) // parts), pa.schema([schema.field(k) for k in names]))
 
 
-def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[Phrases]:
+def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[int, Iterator[Phrases]]:
+    """The number of parts, and the parts one by one."""
     items = benchmark.filter(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(1, -(-total // limit))
-    for part in range(parts):
-        yield Phrases([(r["i"], bytes(r["t"])) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == part).collect()])
+    part = F.pmod(F.xxhash64("t"), F.lit(parts))
+    return parts, (Phrases([(r["i"], bytes(r["t"])) for r in items.filter(part == k).toLocalIterator()]) for k in range(parts))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
@@ -190,10 +200,15 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = [texts.mapInArrow(functools.partial(_search, phrases=context.broadcast(p)), SCHEMA) for p in benchmark_parts(benchmark, item_col, item_text_col, limit)]
-    if len(found) == 1:
-        return found[0]
-    parts = len(found)
+    parts, phrases = benchmark_parts(benchmark, item_col, item_text_col, limit)
+    found = []
+    for part in phrases:
+        shared = context.broadcast(part)  # of ``limit`` bytes of text
+        reports = texts.mapInArrow(functools.partial(_search, phrases=shared), SCHEMA)
+        if parts == 1:
+            return reports
+        found.append(materialise(reports, "benchmark-part"))
+        shared.destroy()
     keyed = functools.reduce(DataFrame.unionByName, found)
     return keyed.groupBy("doc_id", "text_key").applyInArrow(lambda table: _merge(table, parts), SCHEMA)
 
@@ -215,11 +230,12 @@ def _clean(chunk: tb.Chunk, phrases) -> np.ndarray:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
-    """``docs`` without contaminated rows, all columns as they are."""
-    phrases = list(benchmark_parts(benchmark, item_col, item_text_col, limit))
-    if len(phrases) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(phrases[0])
+    """``docs`` without contaminated rows (see :func:`decontaminate`), all columns as they are; rows without words stay, and an empty table stays empty."""
+    parts, phrases = benchmark_parts(benchmark, item_col, item_text_col, limit)
+    if parts == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(phrases))
         return tb.filter_rows(docs, text_col, functools.partial(_clean, phrases=shared))
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-    bad = decontaminate(rows, benchmark, id_col="__row", text_col=text_col, item_col=item_col, item_text_col=item_text_col, limit=limit).filter("contaminated")
-    return rows.join(bad.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
+    (row,) = unused(docs.columns, 1)
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    bad = decontaminate(rows, benchmark, id_col=row, text_col=text_col, item_col=item_col, item_text_col=item_text_col, limit=limit).filter("contaminated")
+    return without(rows, [F.col(row)], bad.select("doc_id")).drop(row)

@@ -83,19 +83,19 @@ class FMIndex:
         self.position = np.where(self.sampled, order, -1)[self.sampled]
         self.sample_rank = np.concatenate(([0], np.cumsum(self.sampled)))
 
-    def search(self, patterns: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [low, high) of the patterns, which are right-aligned in the rows of a matrix."""
+    def search(self, symbols: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [low, high) of the patterns, each the ``lens`` symbols of ``symbols`` before its end."""
         low, high = np.zeros(len(lens), np.int64), np.full(len(lens), self.n, np.int64)
-        for k in range(patterns.shape[1]):
-            act = np.flatnonzero((lens > k) & (high > low))
-            if not len(act):
-                break
-            symbol = patterns[act, patterns.shape[1] - 1 - k]
+        act, k = np.flatnonzero(lens > 0), 0
+        while len(act):
+            symbol = symbols[ends[act] - 1 - k].astype(np.int64)
             known = symbol < (1 << self.bits)
             high[act[~known]] = low[act[~known]]
             act, symbol = act[known], symbol[known]
             a, b = self.matrix.rank(symbol, low[act], high[act])
             low[act], high[act] = self.first[symbol] + a, self.first[symbol] + b
+            k += 1
+            act = act[(lens[act] > k) & (high[act] > low[act])]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -112,9 +112,9 @@ class FMIndex:
             steps += 1
         return out
 
-    def occurrences(self, patterns: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pattern, position) of all occurrences."""
-        low, high = self.search(patterns, lens)
+    def occurrences(self, symbols: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pattern, position) of all occurrences of the patterns (see :meth:`search`)."""
+        low, high = self.search(symbols, ends, lens)
         count = np.maximum(high - low, 0)
         rows = ragged(np.arange(self.n), low, count)
         return np.repeat(np.arange(len(lens)), count), self.locate(rows)
