@@ -7,21 +7,22 @@ unique, and its row passes straight through; only the other rows are shuffled an
 grouped by the whole hash, so a false positive costs a shuffled row and never a
 wrong result.
 
-The filter has 16 bits for each row up to ``max_bits``, so the broadcast bitmap has
-at most ``max_bits / 8`` bytes (32 MB by default) whatever the input. Beyond
-``max_bits / 16`` rows it fills up, more rows are shuffled, and results stay the same.
+A filter is for at most ``max_bits / 16`` rows (16.8 million by default, in 32 MB). The hashes are written in folders by
+ranges of a second hash, as many as it takes, and each range has its own filter and is probed on its own; so no filter
+is fuller than with few rows.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm import probe
 from lacuna.llm.scratch import materialise, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BITS = 1 << 28
-PAGE_BITS = 32768  # of a bitmap of bitmap_construct_agg
 
 
 def text_sha256(text: Column) -> Column:
@@ -31,23 +32,15 @@ def text_sha256(text: Column) -> Column:
 
 def repeated_positions(hashed: DataFrame, bits: int) -> DataFrame:
     """Pages of the bitmap of positions that two rows or more hit."""
-    slots = hashed.select(F.explode(_positions(F.col("h"), bits)).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("c")).filter("c > 1")
-    return twice.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bitmap"))
-
-
-def _positions(h: Column, bits: int) -> Column:
-    key = F.xxhash64(h)
-    return F.array_distinct(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))))
+    slots = hashed.select(F.explode(probe.positions(F.xxhash64("h"), bits)).alias("slot"))
+    return probe.pages_of(slots.groupBy("slot").agg(F.count("*").alias("c")).filter("c > 1"))
 
 
-def _bit(bitmap: Column, slot: Column) -> Column:
-    at = F.bitmap_bit_position(slot + 1)
-    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+def ranges_for(rows: int, max_bits: int = probe.MAX_BITS) -> int:
+    return max(1, -(-16 * rows // max_bits))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = probe.MAX_BITS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as
@@ -57,21 +50,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only has a null keep_id and keeps its rows. An empty table gives an empty
     result. Other columns are ignored.
     """
-    hashed = materialise(docs.select(F.col(id_col).alias("doc_id"), text_sha256(F.col(text_col)).alias("h")), "text-hashes")
-    rows = hashed.count()
-    bits = PAGE_BITS
-    while bits < min(16 * rows, max_bits):
-        bits *= 2
-    pages = F.broadcast(materialise(repeated_positions(hashed, bits), "bloom-pages"))  # at most bits / PAGE_BITS pages of 4 kB
-    probed = hashed.withColumn("slots", _positions(F.col("h"), bits))
-    maybe = F.lit(True)
-    for k in (1, 2):
-        slot = F.coalesce(F.try_element_at("slots", F.lit(k)), F.col("slots")[0])
-        side = pages.select(F.col("page").alias(f"page{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        probed = probed.join(side, F.bitmap_bucket_number(slot + 1) == F.col(f"page{k}"), "left")
-        maybe = maybe & _bit(F.col(f"bitmap{k}"), slot)
-    probed = materialise(probed.select("doc_id", "h", maybe.alias("maybe")), "probed")
+    rows = docs.count()
+    ranges = ranges_for(rows, max_bits)
+    bits = probe.bits_for(-(-rows // ranges), max_bits)
+    hashes = docs.select(F.col(id_col).alias("doc_id"), text_sha256(F.col(text_col)).alias("h"))
+    hashed = materialise(hashes.withColumn("range", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(ranges)).cast("int")), "text-hashes", by="range")
+    probed = []
+    for k in range(ranges):
+        own = hashed.filter(F.col("range") == k).select("doc_id", "h")
+        pages = materialise(repeated_positions(own, bits), "bloom-pages")
+        probed.append(materialise(probe.held(own, F.xxhash64("h"), pages, bits, "maybe"), "probed"))
+        release(pages)
     release(hashed)
+    probed = functools.reduce(DataFrame.unionByName, probed)
     again = probed.filter("maybe").select("doc_id", "h")
     groups = again.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = materialise(groups, "copy-groups")
@@ -82,6 +73,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, all columns as they are. A row goes by its id and text, so an id that has another text as well keeps that."""
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__sha"))
-    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (text_sha256(F.col(text_col)) == F.col("__sha")), "left_anti")
+    """``docs`` without the rows that :func:`exact_dedup` drops, all columns as they are.
+
+    A row goes by its id and text, so an id that has another text as well keeps that. Rows without id stay where
+    :func:`exact_dedup` keeps them, and go as it says where a copy has an id. Only rows that a filter of the dropped ones holds are shuffled.
+    """
+    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.struct("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"))
+    return probe.without(docs, [F.struct(F.col(id_col).alias("doc_id")), text_sha256(F.col(text_col))], gone)
