@@ -1,4 +1,8 @@
-"""Connected components of an undirected graph, by rounds of large-star and small-star."""
+"""Connected components of an undirected graph, by rounds of large-star and small-star.
+
+The least neighbours are written before they are joined, so both sides of a join come from an exchange and the
+rows of a node with very many neighbours can be split between tasks (AQE's skew join).
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,26 @@ from pyspark.sql import functions as F
 from lacuna.llm.scratch import materialise, release
 
 
+def _linked(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge (a, b) as (b, m of a)."""
+    return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Edges (a, b), a > b. Links each node's larger neighbours to the least of the node and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    least = materialise(edges.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    out = materialise(_linked(up, least).filter("a > b").distinct(), "large-stars")
+    release(least, edges)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    out = materialise(_linked(edges, least).unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct(), "small-stars")
+    release(least, edges)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,13 +39,13 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cid, comp for each node of the edges (a, b): the least node that it can reach."""
+    """A written table: cid, comp for each node of the edges (a, b), the least node that it can reach."""
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark, before = _mark(edges), None
     while mark[0] and mark != before:
-        done = materialise(_small_star(_large_star(edges)), "stars")
-        release(edges)
-        edges, before = done, mark
+        edges, before = _small_star(_large_star(edges)), mark
         mark = _mark(edges)
     nodes = edges.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
-    return nodes.unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
+    out = materialise(nodes.unionByName(edges.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct()), "labels")
+    release(edges)
+    return out

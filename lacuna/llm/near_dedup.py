@@ -14,15 +14,13 @@ are verified on full shingle sets. With 24 bands of 4 a pair at similarity 0.8 s
 
 Within a key no all-pairs list is made. Each class is first compared with two leaders of its key, and keys whose
 classes are then one component are done. In the others only pairs across components are left: a key of up to
-``FEW`` classes lists them; a larger one is cut into blocks, and a task compares two blocks by products
-of their incidence matrices over 32 bits of each shingle hash. That can only overstate a similarity; up to
-``LINKS`` pairs of each two components come out and are verified on full sets as well.
+``FEW`` classes lists them; a larger one is cut into blocks, and a task compares the full sets of two blocks by products
+of their incidence matrices. What it finds is exact, so one link of each two components is enough.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
 from lacuna.llm.components import components
+from lacuna.llm.probe import without
 from lacuna.llm.scratch import materialise, release
 
 SHINGLE = 5
@@ -44,7 +43,6 @@ MANTISSA = 10
 SIGMAS = 6.0
 FEW = 32
 TOP_BLOCK, REST_BLOCK = 256, 128
-LINKS = 4
 COLUMNS = 4096  # of an incidence matrix at a time
 
 _EDGES = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -119,20 +117,31 @@ def _class_id(hashes: np.ndarray) -> int:
 
 
 def _sketch(batches, size: int):
-    for chunk in tb.chunks(batches):
-        counts, keys, cids, small, large = [], [], [], [], []
-        for own in shingle_hashes(chunk, size):
-            n = len(own)
-            counts.append(n)
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-            cids.append(_class_id(own) if n else None)
-            small.append(small_registers(own).astype("<u2").tobytes() if 0 < n <= SMALL else None)
-            if n > LARGE:
-                regs, filled = large_registers(own)
-                large.append(regs.astype("<u2").tobytes() + np.packbits(filled).tobytes())
-            else:
-                large.append(None)
-        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(counts, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(v, pa.binary()) for v in (keys, small, large))], names=["doc_id", "n_shingles", "cid", "set_key", "small", "large"])
+    for batch in batches:
+        at = 0
+        for chunk in tb.chunks([batch]):
+            yield pa.RecordBatch.from_arrays([*_sketches(chunk, size), batch.column(2).slice(at, len(chunk))], names=SKETCH_NAMES)
+            at += len(chunk)
+
+
+SKETCH = "doc_id long, n_shingles long, cid long, set_key binary, small binary, large binary, text_key long"
+SKETCH_NAMES = [f.split()[0] for f in SKETCH.split(", ")]
+
+
+def _sketches(chunk: tb.Chunk, size: int) -> list[pa.Array]:
+    counts, keys, cids, small, large = [], [], [], [], []
+    for own in shingle_hashes(chunk, size):
+        n = len(own)
+        counts.append(n)
+        keys.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
+        cids.append(_class_id(own) if n else None)
+        small.append(small_registers(own).astype("<u2").tobytes() if 0 < n <= SMALL else None)
+        if n > LARGE:
+            regs, filled = large_registers(own)
+            large.append(regs.astype("<u2").tobytes() + np.packbits(filled).tobytes())
+        else:
+            large.append(None)
+    return [chunk.id_array(), pa.array(counts, pa.int64()), pa.array(cids, pa.int64()), *(pa.array(v, pa.binary()) for v in (keys, small, large))]
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +184,7 @@ def _promising(batches, threshold: int):
 def _sets(batches, size: int):
     for chunk in tb.chunks(batches):
         sets = [own.astype("<u8") for own in shingle_hashes(chunk, size) if len(own)]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], names=["cid", "items", "short"])
+        yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "items"])
 
 
 def _verify(batches, threshold: int):
@@ -229,26 +238,23 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(table: pa.Table, threshold: int) -> pa.Table:
-    """Pairs across components, between two blocks of a key's classes (side 0 and 1; 2 for both), that may be linked."""
-    side, cid, comp, n = (np.asarray(table.column(c)) for c in ("side", "cid", "comp", "n"))
-    items = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("short")]
+    """Links across components, between two blocks of a key's classes (side 0 and 1; 2 for both): one of each two components that have any."""
+    side, cid, comp = (np.asarray(table.column(c)) for c in ("side", "cid", "comp"))
+    items = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("items")]
+    n = np.array([len(x) for x in items])
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    seen: Counter = Counter()
-    links = []
+    links: dict[tuple, tuple] = {}
     if len(left) and len(right):
         both = common([items[k] for k in left], [items[k] for k in right])
         linked = 100 * both >= threshold * (n[left][:, None] + n[right] - both)
         for x, y in zip(*np.nonzero(linked & (comp[left][:, None] != comp[right])), strict=True):
             p, q = left[x], right[y]
-            two = (min(comp[p], comp[q]), max(comp[p], comp[q]))
-            seen[two] += 1
-            if seen[two] <= LINKS:
-                links.append((min(cid[p], cid[q]), max(cid[p], cid[q])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            links.setdefault((min(comp[p], comp[q]), max(comp[p], comp[q])), (min(cid[p], cid[q]), max(cid[p], cid[q])))
+    return pa.table({"a": pa.array([x for x, _ in links.values()], pa.int64()), "b": pa.array([y for _, y in links.values()], pa.int64())})
 
 
-def _crowded(rows: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that may be linked, across components, in the keys of many classes (key, cid, comp).
+def _crowded(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links across components in the keys of many classes (key, cid, comp), one at least of each two components that have any.
 
     A key's largest component is cut into blocks, and the rest into others; each block of the rest meets
     all blocks, and those of the largest don't meet each other.
@@ -262,8 +268,7 @@ def _crowded(rows: DataFrame, classes: DataFrame, sets: DataFrame, threshold: in
     with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda j: F.when(is_top, one(0, j, F.col("i"), F.lit(1))).otherwise(one(1, F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1))))
     with_top = F.when(~is_top, F.transform(F.sequence(F.lit(0).cast("long"), F.col("tops") - 1), lambda j: one(0, F.col("i"), j, F.lit(0)))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint,side:int>>"))
     met = dealt.select("key", "cid", "comp", F.explode(F.concat(with_rest, with_top)).alias("m")).select("key", "cid", "comp", "m.*")
-    small = sets.join(classes.select("cid", "n"), "cid").select("cid", "n", "short")
-    full = met.join(small, "cid").select("key", "kind", "i", "j", "side", "cid", "comp", "n", "short")
+    full = met.join(sets, "cid").select("key", "kind", "i", "j", "side", "cid", "comp", "items")
     return full.groupBy("key", "kind", "i", "j").applyInArrow(lambda table: _across(table, threshold), "a long, b long")
 
 
@@ -282,48 +287,61 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts they are linked only as other documents are. A null id is linked with nothing: its component_id is null and the row is kept. An
     empty table gives an empty result. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = materialise(texts.mapInArrow(functools.partial(_sketch, size=size), "doc_id long, n_shingles long, cid long, set_key binary, small binary, large binary"), "sketches")
+    return _labelled(docs, id_col, text_col, size, threshold).drop("text_key")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
+    """The rows of :func:`near_dedup` with a hash of the text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_key"))
+    sketches = materialise(texts.mapInArrow(functools.partial(_sketch, size=size), SKETCH), "sketches")
     filled = sketches.filter("set_key is not null and doc_id is not null")
     classes = materialise(filled.groupBy("set_key").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("rep"), F.min("small").alias("small"), F.min("large").alias("large"), F.min("n_shingles").alias("n")), "classes")
     labels = _components(texts, classes, size, threshold)
     linked = classes.select("set_key", "cid", "rep").join(labels, "cid")
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     found = linked.join(least, "comp").select("set_key", "component_id")
-    found = found.unionByName(classes.join(labels, "cid", "left_anti").select("set_key", F.col("rep").alias("component_id")))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(materialise(found, "class-components"), "set_key", "left")
+    found = materialise(found.unionByName(classes.join(labels, "cid", "left_anti").select("set_key", F.col("rep").alias("component_id"))), "class-components")
+    release(classes, labels)
+    out = sketches.select("doc_id", "n_shingles", "set_key", "text_key").join(found, "set_key", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_key")
 
 
 def _components(texts: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
     """cid, comp of the classes that have links."""
     bands = materialise(classes.select("cid", "small", "large").mapInArrow(_bands, "key long, cid long"), "bands")
     leads = F.array_distinct(F.array(F.min("cid"), F.max_by("cid", F.xxhash64("cid", "key"))))
-    shared = bands.groupBy("key").agg(F.count("*").alias("c"), leads.alias("leads")).filter("c > 1")
-    left = materialise(bands.join(materialise(shared, "shared-keys"), "key"), "shared-bands")
-    release(bands)
+    shared = materialise(bands.groupBy("key").agg(F.count("*").alias("c"), leads.alias("leads")).filter("c > 1"), "shared-keys")
+    left = materialise(bands.join(shared, "key"), "shared-bands")
+    release(bands, shared)
     wanted = classes.select("cid", "rep").join(left.select("cid").distinct(), "cid", "left_semi").select("rep")
-    chosen = texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = materialise(chosen.mapInArrow(functools.partial(_sets, size=size), "cid long, items binary, short binary"), "sets")
+    chosen = texts.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = materialise(chosen.mapInArrow(functools.partial(_sets, size=size), "cid long, items binary").dropDuplicates(["cid"]), "sets")
     pairs = materialise(left.select("cid", F.explode("leads").alias("lead")).filter("cid <> lead").select(*_pair("cid", "lead")).distinct(), "pairs")
     links = materialise(_verified(pairs, classes, sets, threshold), "links")
-    labels = materialise(components(links), "labels")
+    labels = components(links)
     rows = materialise(left.select("key", "cid", "c").join(labels, "cid", "left").select("key", "cid", "c", F.coalesce("comp", "cid").alias("comp")), "band-components")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    rows = materialise(rows.join(materialise(mixed, "mixed-keys"), "key", "left_semi"), "mixed")
-    if rows.isEmpty():
-        return labels
-    few = rows.filter(F.col("c") <= FEW)
-    other = few.select("key", F.col("cid").alias("other"), F.col("comp").alias("comp2"))
-    across = few.join(other, "key").filter("comp < comp2").select(*_pair("cid", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(_verified(across, classes, sets, threshold), "few-links"))
-    crowded = materialise(_crowded(rows.filter(F.col("c") > FEW), classes, sets, threshold).distinct(), "crowded-pairs")
-    links = links.unionByName(materialise(_verified(crowded, classes, sets, threshold), "crowded-links"))
-    return materialise(components(links), "labels")
+    release(left)
+    mixed = materialise(rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key"), "mixed-keys")
+    if not mixed.isEmpty():
+        some = materialise(rows.join(mixed, "key", "left_semi"), "mixed")
+        few = some.filter(F.col("c") <= FEW)
+        other = few.select("key", F.col("cid").alias("other"), F.col("comp").alias("comp2"))
+        across = few.join(other, "key").filter("comp < comp2").select(*_pair("cid", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialise(_verified(across, classes, sets, threshold), "few-links")
+        crowded = materialise(_crowded(some.filter(F.col("c") > FEW), sets, threshold).distinct(), "crowded-links")
+        release(labels, some)
+        labels = components(links.unionByName(more).unionByName(crowded))
+        release(more, crowded)
+    release(rows, mixed, sets, pairs, links)
+    return labels
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id; all columns as they are. Rows go by their ids, so these are to be unique."""
-    gone = near_dedup(docs, id_col, text_col, size, threshold).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each component, the one with the least id; all columns as they are.
+
+    A row goes by its id and text, so an id that has another text as well keeps that; repeated rows of the
+    document that stays all stay. An empty table stays empty. Only rows whose key a filter holds are shuffled (see :func:`probe.without`).
+    """
+    gone = _labelled(docs, id_col, text_col, size, threshold).filter("not kept").select("doc_id", "text_key")
+    return without(docs, [F.col(id_col).cast("long"), F.xxhash64(text_col)], gone)
