@@ -4,6 +4,9 @@ A value that follows a credential word is segmented at the least total cost, in
 log10 guesses, into dictionary words, dates, repeats, keyboard walks and
 brute-force spans (dynamic programming over the value). A value that costs at
 least ``MIN_COST`` is reported as a span of kind ``guess`` beside the base kinds.
+
+The dictionary ranks words by how often they occur in all texts outside credential values (so a secret that
+many copies repeat is no word), the ``DICTIONARY`` most frequent of 3 to ``LONGEST_WORD`` ASCII letters; a few common password words come first.
 """
 
 from __future__ import annotations
@@ -42,7 +45,13 @@ server system data pass word demo temp temporary none null true false name value
 #: Rows that keyboard walks follow, either way.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm")
 DATES = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-LONGEST = 64  # of a keyboard walk; a longer one is several
+DATE_SIZES = (4, 8, 9, 10)
+WALK = (3, 64)  # characters of a keyboard walk; a longer one is several
+UNIT = 32  # characters of a repeated unit, at most
+DICTIONARY = 50_000
+LONGEST_WORD = 20
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[0x61:0x7B] = True
 
 
 def _classes() -> np.ndarray:
@@ -54,40 +63,50 @@ def _classes() -> np.ndarray:
 
 BRUTE = _classes()
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 STEPS = {a + b for row in ROWS for a, b in [*zip(row, row[1:], strict=False), *zip(row[1:], row, strict=False)]}
 
 
-def guess_cost(value: str) -> float:
+def _repeats(low: str, brute: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+    """(start, cost) of the repeats by where they end: of each unit's size the longest that ends there."""
+    points, total, out = np.array([ord(c) for c in low]), np.concatenate(([0.0], np.cumsum(brute))), {}
+    for unit in range(1, min(UNIT, len(low) // 2) + 1):
+        same = points[unit:] == points[:-unit]
+        places = np.arange(1, len(same) + 1)
+        run = places - np.maximum.accumulate(np.where(same, 0, places))  # symbols in a row that equal those a unit before
+        for k in np.flatnonzero(run >= max(unit, 3 - unit)).tolist():
+            end, times = k + 1 + unit, 1 + int(run[k]) // unit
+            if times * unit >= 3:
+                start = end - times * unit
+                out.setdefault(end, []).append((start, float(total[start + unit] - total[start]) + math.log10(times)))
+    return out
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
-    low, n = value.lower(), len(value)
-    spans: dict[int, list[tuple[int, float]]] = {}
-    for m in re.finditer(f"(?={DATES.pattern})", low):
-        end = DATES.match(low, m.start()).end()
-        spans.setdefault(end, []).append((m.start(), math.log10(130) if end - m.start() == 4 else math.log10(130 * 372)))
-    for unit in range(1, min(8, n // 2) + 1):
-        i = 0
-        while i + 2 * unit <= n:
-            times = 1
-            while low.startswith(low[i : i + unit], i + times * unit) and i + (times + 1) * unit <= n:
-                times += 1
-            if times > 1 and times * unit >= 3:
-                spans.setdefault(i + times * unit, []).append((i, sum(_char(c) for c in value[i : i + unit]) + math.log10(times)))
-                i += (times - 1) * unit
-            i += 1
-    best = [0.0] * (n + 1)
-    walk = 0  # where the keyboard walk that ends here starts
+    low, n = "".join(c.lower() if c.isascii() else c for c in value), len(value)
+    brute = np.array([_char(c) for c in value])
+    spans = _repeats(low, brute) if n > 2 else {}
+    best, costs = [0.0] * (n + 1), brute.tolist()
+    walk = word = 0  # where the keyboard walk, and the letters, that end here start
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + _char(value[j - 1])
+        c = low[j - 1]
+        least = best[j - 1] + costs[j - 1]
         for i, cost in spans.pop(j, ()):
-            best[j] = min(best[j], best[i] + cost)
-        for i in range(max(0, j - LONGEST_WORD), j - 2):
-            if rank := RANK.get(low[i:j]):
-                best[j] = min(best[j], best[i] + math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(2 * (j - i))))
+            least = min(least, best[i] + cost)
+        if not "a" <= c <= "z":
+            word = j
+        for i in range(max(word, j - LONGEST_WORD), j - 2):
+            if rank := ranks.get(low[i:j]):
+                least = min(least, best[i] + math.log10(rank) + (0 if value[i:j] == low[i:j] else math.log10(2 * (j - i))))
+        if "0" <= c <= "9":
+            for size in DATE_SIZES:
+                if j >= size and DATES.fullmatch(low, j - size, j):
+                    least = min(least, best[j - size] + math.log10(130 if size == 4 else 130 * 372))
         if j > 1 and low[j - 2 : j] not in STEPS:
             walk = j - 1
-        for i in range(max(walk, j - LONGEST), j - 2):
-            best[j] = min(best[j], best[i] + math.log10(60 * (j - i)))
+        for i in range(max(walk, j - WALK[1]), j - WALK[0] + 1):
+            least = min(least, best[i] + math.log10(60 * (j - i)))
+        best[j] = least
     return best[n]
 
 
@@ -95,7 +114,29 @@ def _char(c: str) -> float:
     return float(BRUTE[ord(c)]) if ord(c) < 256 else 2.0
 
 
-def scan_text(text: bytes, hex_spans: list[tuple[int, int]] | None = None, min_cost: float = MIN_COST) -> list[tuple[int, str, int]]:
+def _count_words(batches):
+    for chunk in tb.chunks(batches):
+        low = tb.LOWER[chunk.data]
+        low[chunk.starts - 1] = 0x0A  # no value goes on in the next text
+        for m in [*ASSIGN.finditer(low.tobytes()), *CONTEXT.finditer(low.tobytes())]:
+            low[slice(*m.span(m.lastindex))] = 0x0A
+        starts, ends = tb.words(low, LETTERS)
+        own = (ends - starts >= 3) & (ends - starts <= LONGEST_WORD)
+        starts, ends = starts[own], ends[own]
+        _, first, counts = np.unique(tb.hash_spans(low, starts, ends - starts), return_index=True, return_counts=True)
+        flat = low.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([flat[starts[k] : ends[k]].decode() for k in first.tolist()], pa.string()), pa.array(counts.astype(np.int64))], names=["word", "n"])
+
+
+def learn_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of the dictionary's words, from counts over all texts; words of the same count in alphabetical order."""
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    counts = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ranks = {r["word"]: k + 1 for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect())}
+    return ranks | {w: min(k, ranks.get(w, k)) for w, k in RANK.items()}
+
+
+def scan_text(text: bytes, hex_spans: list[tuple[int, int]] | None = None, min_cost: float = MIN_COST, ranks: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) in bytes, by start, then kind as listed."""
     low = text.lower()
     if hex_spans is None:
@@ -111,7 +152,7 @@ def scan_text(text: bytes, hex_spans: list[tuple[int, int]] | None = None, min_c
         a, b = m.span(1)
         values[a] = max(values.get(a, 0), b)  # ASSIGN stops at the first byte outside its class
     for a, b in values.items():
-        if guess_cost(text[a:b].decode("utf-8", "replace")) >= min_cost:
+        if guess_cost(text[a:b].decode("utf-8", "replace"), ranks) >= min_cost:
             found.append((a, "guess", b))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
@@ -123,7 +164,7 @@ def _points(text: bytes, found: list[tuple[int, str, int]]) -> list[tuple[int, s
     return [(int(point[a]), kind, int(point[b])) for a, kind, b in found]
 
 
-def _scan(batches, min_cost: float):
+def _scan(batches, min_cost: float, ranks):
     for chunk in tb.chunks(batches):
         runs, ends = tb.words(chunk.data, HEX)
         long = ends - runs >= LEAST["hex"]
@@ -133,7 +174,7 @@ def _scan(batches, min_cost: float):
         for k in range(len(chunk)):
             text, at = chunk.text(k), int(chunk.starts[k])
             mine = slice(bounds[k], bounds[k + 1])
-            found = scan_text(text, [(a - at, b - at) for a, b in zip(runs[mine].tolist(), ends[mine].tolist(), strict=True)], min_cost)
+            found = scan_text(text, [(a - at, b - at) for a, b in zip(runs[mine].tolist(), ends[mine].tolist(), strict=True)], min_cost, ranks.value)
             if found:
                 found = _points(text, found)
             base = [x for x in found if x[1] != "guess"]
@@ -143,7 +184,7 @@ def _scan(batches, min_cost: float):
         yield pa.RecordBatch.from_arrays([chunk.id_array(), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = MIN_COST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = MIN_COST, dictionary: int = DICTIONARY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start, then kind
@@ -151,5 +192,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
     or empty text has none; null ids and repeated rows are answered row by row; an empty
     table gives an empty result. Other columns are ignored.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(learn_words(docs, text_col, dictionary))  # ``dictionary`` words of LONGEST_WORD letters at most
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(functools.partial(_scan, min_cost=min_cost), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts.mapInArrow(functools.partial(_scan, min_cost=min_cost, ranks=ranks), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
