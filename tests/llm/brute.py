@@ -57,6 +57,33 @@ def base_secrets(text):
     return ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(found))
 
 
+def guess_cost(value, ranks, steps, dates, char):
+    """Least cost over all segmentations, span by span."""
+    import functools
+    import math
+
+    fold = value.translate({c: c + 32 for c in range(65, 91)})
+
+    def spans(i, j):
+        own, size = fold[i:j], j - i
+        yield sum(map(char, value[i:j])) if size == 1 else math.inf
+        if 3 <= size <= 20 and own in ranks and re.fullmatch("[a-z]+", own):
+            yield math.log10(ranks[own]) + (0 if own == value[i:j] else math.log10(2 * size))
+        if dates.fullmatch(own):
+            yield math.log10(130 if size == 4 else 130 * 372)
+        if 3 <= size <= 64 and all(own[k : k + 2] in steps for k in range(size - 1)):
+            yield math.log10(60 * size)
+        for unit in range(1, min(32, size // 2) + 1):
+            if size % unit == 0 and size >= 3 and own == own[:unit] * (size // unit) and not (i >= unit and fold[i - unit : i] == own[:unit]):
+                yield sum(map(char, value[i : i + unit])) + math.log10(size // unit)
+
+    @functools.lru_cache(None)
+    def best(j):
+        return min(best(i) + c for i in range(j) for c in spans(i, j)) if j else 0.0
+
+    return best(len(value))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -100,6 +127,41 @@ def unigrams(rows):
     return [(i, not ok, len(own), sum(counts[w] > 0 for w in own), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)) for (i, _), ok, own in zip(rows, train, tokens, strict=True)]
 
 
+def suffix_tree(rows, lengths, strength, divergence):
+    """log10 probability of each text by contexts of these lengths, all that occur being tested, and the longest retained length."""
+    import math
+
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    tokens = [["<", *SPACE.findall(low(t)), None] for _, t in rows]
+    counts = Counter(w for ok, own in zip(train, tokens, strict=True) if ok for w in own[1:])
+    n, v = sum(counts.values()), len(counts)
+    p = [[(counts[w] + 1) / (n + v + 1) for w in own] for own in tokens]
+    longest = 0
+    for size in lengths:
+        if size >= max(map(len, tokens)):
+            break
+        follow, places = defaultdict(Counter), defaultdict(list)
+        for t, own in enumerate(tokens):
+            for k in range(size, len(own)):
+                context = tuple(own[k - size : k])
+                places[context].append((t, k))
+                if train[t]:
+                    follow[context][own[k]] += 1
+        for context, own in follow.items():
+            m = own.total()
+            if m == len(own):
+                continue
+            q = {tokens[t][k]: p[t][k] for t, k in places[context]}
+            gain = sum(c * math.log((c - 1 + strength * q[x]) / ((m - 1 + strength) * q[x])) for x, c in own.items())
+            if gain >= divergence:
+                longest = size
+                once = sum(c == 1 for c in own.values())
+                for t, k in places[context]:
+                    c = own[tokens[t][k]]
+                    p[t][k] = ((c if c > 1 else 0) + (once + strength) * p[t][k]) / (m + strength)
+    return [sum(math.log10(x) for x in own[1:]) for own in p], longest
+
+
 def shingles(text, size):
     w = SPACE.findall(low(text))
     if len(w) >= size:
