@@ -6,9 +6,6 @@ phrases that occur in the sample; phrases times log2 of the sample's length is t
 code length of the text given the language, and the shortest code wins. The
 automaton is completed to a table of next states and phrase ends, so texts are
 parsed in step, many at once, by array gathers.
-
-Texts are cut into blocks of ``BLOCK`` symbols that are parsed on their own,
-which adds one phrase a block for each language alike.
 """
 
 from __future__ import annotations
@@ -23,11 +20,9 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
 
-BLOCK = 1024
 SAMPLE_DOCS = 400  # labelled rows a language, about
 SAMPLE_PIECE = 600  # code points taken from each, at a random place
 SAMPLE_SYMBOLS = 24_000  # a language
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -106,11 +101,12 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], most: int = SAMPLE_SYMBOLS):
         self.langs = sorted(samples)
         self.symbols = Symbols([s for texts in samples.values() for s in texts])
-        tables, self.roots, self.bits, base = [], [], [], 0
+        tables, self.samples, self.roots, self.bits, base = [], [], [], [], 0
         width = self.symbols.size
         for lang in self.langs:
             chunk = tb.of_texts([s.encode() for s in samples[lang]])
             sample = self.symbols(chunk.data)[0][:most]
+            self.samples.append(sample)
             table = parser_table(sample.tolist(), width, base)
             tables.append(table)
             self.roots.append(base * width)
@@ -122,26 +118,20 @@ class Model:
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
-        lens = np.diff(bounds)
-        blocks = -(-lens // BLOCK)
-        owner = np.repeat(np.arange(len(lens)), blocks)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = bounds[owner] + nth * BLOCK
-        size = np.minimum(BLOCK, bounds[owner + 1] - start)
+        size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
-        lanes = len(self.langs)
+        start, size = bounds[:-1][order], size[order]
         state = np.tile(self.roots, (len(start), 1))
         count = np.zeros_like(state)
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), "right")
         symbols = symbols.astype(state.dtype)
-        for i, k in enumerate(active.tolist()):
+        for i, k in enumerate(active.tolist()):  # one symbol of every text that is long enough
             got = self.table[state[:k] + symbols[start[:k] + i, None]]
             count[:k] += got & 3
             state[:k] = got >> 2
         count += state != self.roots
-        out = np.zeros((len(lens), lanes), np.int64)
-        np.add.at(out, owner, count)
+        out = np.zeros((len(order), len(self.langs)), np.int64)
+        out[order] = count
         return out
 
     def predict(self, chunk: tb.Chunk) -> tuple[list[str], np.ndarray]:
@@ -164,20 +154,19 @@ def learnable(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_symbols: int = SAMPLE_SYMBOLS) -> Model:
     """A model of labelled rows whose crc32(id as text) mod 4 is not 2 (rows without id have none).
 
-    Bounded sample, at every size of input: of the ``MAX_LANGUAGES`` most frequent labels
-    about ``sample_docs`` rows each, chosen by a hash of the id, and of each a
+    Bounded sample, at every size of input: of each label about ``sample_docs`` rows, chosen by a hash of the id, and of each a
     piece of ``SAMPLE_PIECE`` code points at a place chosen by the same hash; equal
-    pieces count once.
+    pieces count once. Every label is learned: the model has a table for each of them, of ``sample_symbols`` symbols.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learnable(id_col) != 2)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    counts = {r["l"]: r["c"] for r in rows.groupBy("l").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(MAX_LANGUAGES).collect()}
+    counts = {r["l"]: r["c"] for r in rows.groupBy("l").agg(F.count("*").alias("c")).collect()}  # a row a language
     if not counts:
         return Model({})
     share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, sample_docs / c))])
     dice = F.pmod(F.xxhash64("i", F.lit(11)), F.lit(1 << 30))
-    picked = rows.filter(F.col("l").isin(list(counts))).filter(dice < F.try_element_at(share, F.col("l")) * float(1 << 30))
+    picked = rows.filter(dice < F.try_element_at(share, F.col("l")) * float(1 << 30))
     place = (F.pmod(F.xxhash64("i", F.lit(12)), F.greatest(F.length("t") - SAMPLE_PIECE, F.lit(1))) + 1).cast("int")
-    pieces = picked.select("l", F.xxhash64("i", F.lit(13)).alias("o"), F.substring(F.col("t"), place, F.lit(SAMPLE_PIECE)).alias("p")).limit(2 * sample_docs * MAX_LANGUAGES)
+    pieces = picked.select("l", F.xxhash64("i", F.lit(13)).alias("o"), F.substring(F.col("t"), place, F.lit(SAMPLE_PIECE)).alias("p")).limit(2 * sample_docs * len(counts))
     samples: dict[str, list[str]] = {}
     for r in sorted(pieces.collect(), key=lambda r: (r["o"], r["p"])):
         if r["p"] not in (got := samples.setdefault(r["l"], [])):
@@ -202,7 +191,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Only the text decides a prediction.
     """
     model = model or fit(docs, id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES and SAMPLE_SYMBOLS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_SYMBOLS for each language
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     out = texts.mapInArrow(functools.partial(_predict, model=shared), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(learnable("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -218,7 +207,7 @@ def _identified(chunk: tb.Chunk, model) -> np.ndarray:
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """``docs`` without the rows that :func:`identify` answers with ``und``; all columns as they are.
 
-    Where no language could be learned, only those without a letter go.
+    Where no language could be learned, only those without a letter go. Rows without id and repeated rows stay or go by their texts; an empty table stays empty.
     """
     model = model or fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
