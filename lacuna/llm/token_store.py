@@ -33,6 +33,7 @@ SAMPLE = 256
 END_ID = 1
 FILE_BYTES = 16 << 20  # of text, about, that a file's documents hold
 FILE_IDS = 1 << 24  # ids after which a file ends, but for one longer document
+LEAST_ERROR = 1e-5  # of the quantiles where files are cut, so what the driver holds for them is bounded
 
 
 class EliasFano:
@@ -134,7 +135,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.cache = tb.SpanCache(self._encode)
-        self.plain = self.tokenizer.normalizer is not None and type(self.tokenizer.normalizer).__name__ == "Sequence"
 
     def _encode(self, spans: list[bytes]) -> list[list[int]]:
         out = [None] * len(spans)
@@ -240,17 +240,28 @@ def _write(batches, folder: str, width: int):
         yield flush()
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
+def id_width(tokenizer_path: str, end_id: int = END_ID) -> int:
+    """Bytes of an id."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True)
+    return 2 if max(end_id, *vocabulary.values()) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode the texts and write files to ``folder`` in ascending order of ids; returns file, n_docs, n_ids, base.
 
     ``base`` is the number of ids in all files before. The ids' range is cut at
-    quantiles, so that a file's documents hold about ``FILE_BYTES`` of text.
+    quantiles, so that a file's documents hold about ``FILE_BYTES`` of text. A null text is the end id alone; rows without id come first,
+    rows of the same id in the order of their token ids; an empty table gives no file. The ids have 16 bits if the vocabulary
+    and ``end_id`` allow it, else 32.
     """
     spark = docs.sparkSession
+    width = id_width(tokenizer_path, end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // FILE_BYTES))
-    bounds = sorted(set(rows.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    bounds = sorted(set(rows.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], max(0.1 / parts, LEAST_ERROR)))) if parts > 1 else []
     shared = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # 8 bytes for FILE_BYTES of text
     texts = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
     coded = texts.mapInArrow(functools.partial(_tokenize, path=tokenizer_path, bounds=shared, end_id=end_id, width=width), "doc_id long, bucket long, ids binary")
@@ -272,7 +283,7 @@ def _read(batches):
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of all documents, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of all documents of the files that :func:`write_token_files` returned; a null id is read as null, no file gives no row."""
     spark = files.sparkSession
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
     content = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
@@ -288,7 +299,9 @@ def token_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_c
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(fs)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    folder = fs.makeQualified(path).toString()  # a path without scheme is one of the cluster's default file system, here and on the executors
     files = write_token_files(docs, folder, tokenizer_path, end_id, id_col, text_col)
     return read_token_files(files, folder)
