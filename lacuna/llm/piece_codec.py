@@ -2,18 +2,19 @@
 
 Encoding normalises a text by the longest prefixes that the model's compiled
 character map knows and keeps for each normalised byte the place in the source that it
-comes from; the pieces of the normalised text are then projected to byte spans of
-the original text.
+comes from; the normalised text is segmented, and the pieces are projected to byte spans of
+the original text. The segmentation alone is the library's: of a copy of the model whose own normalisation is switched off.
 
-No piece of the model spans the start of a run of spaces or (if no piece
-holds one) a line feed, and merges on either side of such a place never meet, so units between
-them are encoded once by the library and kept.
+Where no piece of the model holds the mark of a space behind another character (or a line feed), merges on either side
+of such a place never meet, so the units between them are segmented once and kept.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,28 @@ from pyspark.sql import functions as F
 from lacuna.llm import textbytes as tb
 
 META = "▁".encode()  # what a space becomes
+#: Fields of a normalizer specification that leaves texts as they are: its name, and no prefix, no removal of spaces, no marks for them.
+IDENTITY = b"\x0a\x08identity\x18\x00\x20\x00\x28\x00"
 
 
 def _fields(data: bytes):
-    """Field numbers and values of a protocol buffer message, by its public wire format."""
+    """Field numbers and values of a protocol buffer message, by its public wire format; numbers are given as their bytes."""
+    for number, start, end in _places(data):
+        yield number, data[start:end]
+
+
+def without_normalisation(model: bytes) -> bytes:
+    """The model with its normalizer specification (field 3) replaced."""
+    out, at = bytearray(), 0
+    for number, start, end in _places(model):
+        if number != 3:
+            out += model[at:end]
+        at = end
+    return bytes(out) + b"\x1a" + bytes([len(IDENTITY)]) + IDENTITY
+
+
+def _places(data: bytes):
+    """Field numbers with where their values start and end; a field starts where the one before it ends."""
     at = 0
 
     def varint():
@@ -42,12 +61,21 @@ def _fields(data: bytes):
 
     while at < len(data):
         key = varint()
+        size = varint() if key & 7 == 2 else {0: 0, 1: 8, 5: 4}[key & 7]
+        start = at
         if key & 7 == 0:
-            yield key >> 3, varint()
-            continue
-        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
-        yield key >> 3, data[at : at + size]
+            varint()
         at += size
+        yield key >> 3, start, at
+
+
+@dataclass
+class Normal:
+    """Normalised texts, one after the other, and the source of each byte: the entries of a text, one for its end, are one more than its bytes."""
+
+    data: np.ndarray  # uint8, PAD zeros behind
+    at: np.ndarray  # len + 1 offsets
+    source: np.ndarray  # int64
 
 
 class CharacterMap:
@@ -87,19 +115,17 @@ class PieceCodec:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
-            model = list(_fields(f.read()))
-        norm = dict(_fields(next(v for k, v in model if k == 3)))
+            model = f.read()
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.core = sentencepiece.SentencePieceProcessor(model_proto=without_normalisation(model))
+        norm = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
         self.map = CharacterMap(norm.get(2, b""))
-        self.dummy = bool(norm.get(3, 1))
-        self.strip = bool(norm.get(4, 1))
-        self.escape = bool(norm.get(5, 1))
+        self.dummy, self.strip, self.escape = (norm.get(k, b"\1") != b"\0" for k in (3, 4, 5))
         n = self.library.get_piece_size()
         pieces = [self.library.id_to_piece(k) for k in range(n)]
         self.is_byte = np.array([self.library.is_byte(k) for k in range(n)])
         shown = [bytes([int(p[3:5], 16)]) if b else b"" if self.library.is_control(k) else p.encode() for k, (p, b) in enumerate(zip(pieces, self.is_byte.tolist(), strict=True))]
-        self.normal_size = np.array([len(s) for s in shown], np.int64)  # bytes of normalised text that a piece covers
         surface = [s if b else s.replace(META, b" ") for s, b in zip(shown, self.is_byte.tolist(), strict=True)]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_size = np.array([len(s) for s in surface], np.int64)
@@ -108,11 +134,9 @@ class PieceCodec:
         self.digits = np.frombuffer(b"".join(said), np.uint8)
         self.digits_size = np.array([len(s) for s in said], np.int64)
         self.digits_start = np.cumsum(self.digits_size) - self.digits_size
-        self.unknown = self.library.unk_id()
-        whole = all("▁" not in p.lstrip("▁") for p in pieces) and not self.strip and self.dummy and self.escape
-        self.by_unit = whole and not self.map.units and any(self.is_byte)
-        self.line_feeds = all("\n" not in p for p in pieces)
-        self.cache = tb.SpanCache(self._encode)
+        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
+        self.by_line = all("\n" not in p for p in pieces)
+        self.cache = tb.SpanCache(self._segment)
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the byte of ``text`` that it comes from."""
@@ -124,13 +148,6 @@ class PieceCodec:
 
         space = META if self.escape else b" "
         at = 0
-        if not self.map.units and not self.strip:  # each byte maps to itself, a space to three bytes
-            data = np.frombuffer(text, np.uint8)
-            if self.escape:
-                times = np.where(data == 0x20, 3, 1)
-                head = len(META) if self.dummy and len(text) else 0
-                places = np.concatenate((np.zeros(head, np.int64), np.repeat(np.arange(len(data)), times), [len(data)]))
-                return (META if head else b"") + text.replace(b" ", META), places
         while at < len(text):
             found = self.map.longest(text, at)
             if found:
@@ -152,70 +169,65 @@ class PieceCodec:
             source[:0] = [source[0] if source else 0] * len(space)
         return bytes(out), np.array([*source, len(text)], np.int64)
 
-    def _encode(self, spans: list[bytes]) -> list[list[int]]:
-        """A span starts with a space (to which the library's dummy prefix answers), or follows a line feed, or is a whole text behind a zero byte."""
-        out = []
-        for span in spans:
-            if span[:1] == b" ":
-                out.append(self.library.encode(span[1:].decode("utf-8", "replace")) if len(span) > 1 else [self._meta()])
-            else:
-                out.append(self.library.encode("\n" + span.decode("utf-8", "replace"))[2:])
-        return out
-
-    def _meta(self) -> int:
-        return self.library.piece_to_id("▁")
-
-    def encode(self, chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, concatenated, and the number of each text's."""
-        texts = [chunk.text(k) for k in range(len(chunk))]
-        if not self.by_unit:
-            got = self.library.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
-            return np.concatenate([np.array(g, np.int32) for g in got] or [np.zeros(0, np.int32)]), np.array([len(g) for g in got], np.int64)
-        data = chunk.data
-        space = data == 0x20
-        first = np.zeros(len(data), bool)
-        first[1:] = space[1:] & ~space[:-1]
-        if self.line_feeds:
-            feed = data == 0x0A
-            first |= feed
-            first[1:] |= feed[:-1]
-        filled = chunk.ends > chunk.starts
-        ends = chunk.ends[filled]
-        first[chunk.starts[filled] - 1] = True
-        bare = chunk.starts[~filled] - 1  # the space before an empty text starts nothing
-        first[bare] = False
-        first[chunk.ends[-1] :] = False
+    def normal(self, chunk: tb.Chunk) -> Normal:
+        if self.map.units or self.strip or not self.escape:
+            found = [self.normalise(chunk.text(k)) for k in range(len(chunk))]
+            data = np.frombuffer(b"".join([t for t, _ in found]) + bytes(tb.PAD), np.uint8)
+            return Normal(data, tb.offsets(np.array([len(t) for t, _ in found], np.int64)), np.concatenate([np.zeros(0, np.int64), *(p for _, p in found)]))
+        lens = chunk.ends - chunk.starts  # each byte maps to itself, a space to the three of the mark, for all texts at once
+        own = tb.ragged(np.arange(len(chunk.data)), chunk.starts, lens)
+        text = np.repeat(np.arange(len(chunk)), lens)
+        times = np.where(chunk.data[own] == 0x20, 3, 1)
+        head = np.where((lens > 0) & self.dummy, len(META), 0)
+        size = tb.sums(times, tb.offsets(lens)) + head
+        at = tb.offsets(size)
+        start = at[:-1][text] + head[text] + (np.cumsum(times) - times) - tb.offsets(tb.sums(times, tb.offsets(lens)))[text]
+        data, source = np.zeros(int(at[-1]) + tb.PAD, np.uint8), np.zeros(int(at[-1]) + len(chunk), np.int64)
+        data[start] = chunk.data[own]
+        spaces = start[times == 3]
+        heads = at[:-1][head > 0]
+        for k, byte in enumerate(META):
+            data[spaces + k] = data[heads + k] = byte
+        place = own - chunk.starts[text]
+        for k in range(3):
+            some = times > k
+            source[(start + text)[some] + k] = place[some]
+        source[at[1:] + np.arange(len(chunk))] = lens
+        return Normal(data, at, source)
+
+    def _segment(self, spans: list[bytes]) -> list[list[int]]:
+        """Ids of stretches of normalised text, and how many of its bytes each piece covers, by turns."""
+        texts = [span.decode("utf-8", "replace") for span in spans]
+        ids = self.core.encode(texts, num_threads=1)
+        shown = self.core.encode(texts, out_type=str, num_threads=1)
+        return [[x for i, p in zip(own, pieces, strict=True) for x in (i, 1 if self.is_byte[i] else len(p.encode()))] for own, pieces in zip(ids, shown, strict=True)]
+
+    def encode(self, chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, concatenated, the number of each text's, and each piece's start and end in the bytes of its text.
+
+        Pieces of the prefix alone are empty; pieces within what a character became share its place.
+        """
+        normal = self.normal(chunk)
+        data, n = normal.data, int(normal.at[-1])
+        first = np.zeros(n + 1, bool)
+        if self.by_word:
+            mark = np.zeros(n + 1, bool)
+            mark[: max(0, n - 2)] = (data[: max(0, n - 2)] == META[0]) & (data[1 : max(1, n - 1)] == META[1]) & (data[2 : max(2, n)] == META[2])
+            first |= mark
+            first[3:] &= ~mark[:-3]
+        if self.by_line:
+            feed = data[:n] == 0x0A
+            first[:-1] |= feed
+            first[1:] |= feed
+        first[normal.at] = True
+        first[-1] = False
         starts = np.flatnonzero(first)
-        stop = np.append(starts[1:], chunk.ends[-1] if len(chunk) else 0)
-        owner = np.searchsorted(chunk.starts - 1, starts, "right") - 1
-        stop = np.minimum(stop, chunk.ends[owner])
-        good = stop > starts
-        starts, stop, owner = starts[good], stop[good], owner[good]
-        ids, size = self.cache(data, starts, stop - starts)
-        counts = np.zeros(len(chunk), np.int64)
-        np.add.at(counts, owner, size)
-        odd = [k for k, t in enumerate(texts) if META in t]
-        if odd:  # a text that holds the mark itself
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for k in odd:
-                parts[k] = np.array(self.library.encode(texts[k].decode("utf-8", "replace")), np.int32)
-                counts[k] = len(parts[k])
-            ids = np.concatenate(parts)
-        return ids, counts
-
-    def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray:
-        """Start and end of each piece in the bytes of ``text``. Pieces of the dummy prefix alone are empty; unknown pieces cover what lies between their neighbours."""
-        normal, source = self.normalise(text)
-        size = self.normal_size[ids].copy()
-        if (ids == self.unknown).any():
-            at = 0
-            shown = self.library.encode(text.decode("utf-8", "replace"), out_type=str)
-            for k, piece in enumerate(shown):
-                if ids[k] == self.unknown:
-                    size[k] = len(piece.encode())
-                at += size[k]
-        ends = np.cumsum(size)
-        return np.stack((source[ends - size], source[ends]), axis=1)
+        found, size = self.cache(data, starts, np.diff(np.append(starts, n)))
+        ids, covered = found[0::2], found[1::2]
+        counts = tb.sums(size // 2, np.searchsorted(starts, normal.at))
+        ends = np.cumsum(covered.astype(np.int64))
+        text = np.repeat(np.arange(len(chunk)), counts)
+        return ids, counts, np.stack((normal.source[ends - covered + text], normal.source[ends + text]), axis=1)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts' bytes as the library's decode gives them."""
@@ -232,9 +244,7 @@ class PieceCodec:
 
     def digests(self, chunk: tb.Chunk):
         """For each text: number of ids, SHA-256 of the joined ids and of the decoded text, CRC-32 of the spans."""
-        import zlib
-
-        ids, counts = self.encode(chunk)
+        ids, counts, spans = self.encode(chunk)
         size = self.digits_size[ids]
         flat = tb.ragged(self.digits, self.digits_start[ids], size).tobytes()
         at = tb.offsets(counts)
@@ -245,7 +255,7 @@ class PieceCodec:
             text = decoded[k]
             if not _valid(text):
                 text = self.library.decode(ids[a:b].tolist()).encode()
-            yield b - a, ids_sha, hashlib.sha256(text).hexdigest(), zlib.crc32(self.spans(chunk.text(k), ids[a:b]).astype("<i8"))
+            yield b - a, ids_sha, hashlib.sha256(text).hexdigest(), zlib.crc32(spans[a:b].astype("<i8"))
 
 
 def _valid(text: bytes) -> bool:
@@ -271,16 +281,17 @@ def _digest(batches, path: str):
 def _pieces(batches, path: str):
     own = codec(path)
     for chunk in tb.chunks(batches):
-        ids, counts = own.encode(chunk)
+        ids, counts, flat = own.encode(chunk)
         at = tb.offsets(counts)
-        spans = [own.spans(chunk.text(k), ids[at[k] : at[k + 1]]) for k in range(len(chunk))]
-        flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for v in (ids.astype(np.int32), flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64))]
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for v in (ids.astype(np.int32), np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]))]
         yield pa.RecordBatch.from_arrays([chunk.id_array(), *lists], names=["doc_id", "ids", "span_starts", "span_ends"])
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, span_starts, span_ends: the pieces of each text and their spans in the text's UTF-8 bytes."""
+    """doc_id, ids, span_starts, span_ends: the pieces of each text and their spans in the text's UTF-8 bytes.
+
+    One row for each row of ``docs``; a null text has no pieces, an empty table gives an empty result.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInArrow(functools.partial(_pieces, path=model_path), "doc_id long, ids array<int>, span_starts array<long>, span_ends array<long>")
 
