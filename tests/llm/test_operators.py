@@ -1,6 +1,7 @@
 """Each operator against a plain version, on odd rows and on the smallest table."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -107,24 +108,48 @@ def test_language_id(docs, texts, odd):
     assert langid.drop_unidentified(odd, model=model).count() == len(ODD) - 3
 
 
+def _parsed(text, sample):
+    """Phrases of the text, each the longest that occurs in the sample."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        at, n = at + k, n + 1
+    return n
+
+
+def _letters(text):
+    """Letters in lower case, other runs as one space; texts end with one and start without."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in re.sub(r"[\W\d_]+", " ", text) if c.isalpha() or c == " ").lstrip() + (" " if text and text[-1].isalpha() else "")
+
+
 def test_cross_parsing():
-    """Phrases are the longest that occur in the sample."""
+    """Phrases are counted over whole texts, however long."""
     model = langid.Model({"x": ["abcabd"], "y": ["zzz"]})
-    chunk = tb.of_texts([b"abdabc", b"zzzzz", b"q"])
+    plain = ["abdabc", "zzzzz", "q", "abcab" * 3000, "zz abc " * 900]
+    chunk = tb.of_texts([t.encode() for t in plain])
+    symbols, kept, _ = model.symbols(chunk.data)
+    got = model.phrases(symbols, np.append(kept[chunk.starts], len(symbols)))
+    assert got.tolist() == [[_parsed(_letters(t), "abcabd "), _parsed(_letters(t), "zzz ")] for t in plain]
+
+
+def test_languages_are_those_of_a_plain_parse(docs, texts):
+    """The label of the least code length, in every language that is labelled."""
+    rows = docs.withColumn("lang", F.when(F.col("lang").isNotNull(), F.concat("lang", (F.col("doc_id") % 40).cast("string"))))  # up to 160 labels
+    model = langid.fit(rows, sample_docs=30, sample_symbols=1200)
+    learnt = {r["lang"] for r in rows.filter(langid.learnable("doc_id") != 2).select("lang").distinct().collect()} - {None}
+    assert set(model.langs) == learnt and len(learnt) > 64
+    plain = [t[:300] for t in texts.values() if t and all(c.isascii() for c in t[:300])][:12]
+    chunk = tb.of_texts([t.encode() for t in plain])
     symbols, kept, _ = model.symbols(chunk.data)
     bounds = np.append(kept[chunk.starts], len(symbols))
-
-    def plain(text, sample):
-        n = 0
-        while text:
-            k = max((j for j in range(1, len(text) + 1) if text[:j] in sample), default=1)
-            text, n = text[k:], n + 1
-        return n
-
-    texts = ["abdabc ", "zzzzz ", "q " + " " * 0]
-    got = model.phrases(symbols, bounds)
-    for k, t in enumerate(texts):
-        assert got[k, 0] - plain(t.strip(), "abcabd") in (0, 1) and got[k, 1] - plain(t.strip(), "zzz") in (0, 1)
+    text = "".join(chr(33 + x) for x in symbols.tolist())
+    got, _ = model.predict(chunk)
+    for n in range(len(plain)):
+        own = text[bounds[n] : bounds[n + 1]]
+        cost = [_parsed(own, "".join(chr(33 + x) for x in sample.tolist())) * bits for sample, bits in zip(model.samples, model.bits, strict=True)]
+        assert got[n] == (model.langs[int(np.argmin(cost))] if any(c.isalpha() for c in plain[n]) else "und")
 
 
 def test_nothing_to_learn(odd):
@@ -155,6 +180,13 @@ def test_token_store(case):
     assert want == Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got)
 
 
+def test_ids_have_the_vocabularys_width(spark, monkeypatch):
+    assert token_store.id_width(WORDS) == 2 and token_store.id_width(WORDS, end_id=70_000) == 4
+    df = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    narrow, wide = (sorted(rows(token_store.token_store(df, WORDS, end_id=e), "doc_id", "n_tokens", "ids_crc32")) for e in (1, 70_000))
+    assert [r[1] for r in narrow] == [r[1] for r in wide] and wide[1][2] == zlib.crc32(np.array([70_000], "<u4"))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, most in ((0, 1), (1, 1), (1, 10**9), (1000, 10), (700, 10**6), (5000, 10**12)):
@@ -203,7 +235,7 @@ def test_piece_spans(odd):
         assert at == len(text)
 
 
-def test_character_map():
+def compiled_map():
     """A map compiled by hand: a double array for "ab" -> "X" and "a" -> "y"."""
     units = [0] * 1024
     pool = b"X\0y\0"
@@ -220,10 +252,41 @@ def test_character_map():
     put(ab, ord("b"), 768, True)
     units[768] = 0x80000000 | 0
     compiled = np.array(units, "<u4").tobytes()
-    own = piece_codec.CharacterMap(len(compiled).to_bytes(4, "little") + compiled + pool)
+    return len(compiled).to_bytes(4, "little") + compiled + pool
+
+
+def test_character_map():
+    own = piece_codec.CharacterMap(compiled_map())
     assert own.longest(b"abc", 0) == (2, b"X") and own.longest(b"ac", 0) == (1, b"y") and own.longest(b"c", 0) is None
 
 
+@pytest.mark.parametrize("prefix", [0, 1])
+@pytest.mark.parametrize("strip", [0, 1])
+def test_models_with_a_character_map(tmp_path, texts, prefix, strip):
+    """Ids come from the normalised text as in the library, and spans point to what was normalised."""
+    import sentencepiece
+
+    with open(PIECES, "rb") as f:
+        bare = piece_codec.without_normalisation(f.read())[: -2 - len(piece_codec.IDENTITY)]
+    chars = compiled_map()
+    size = len(chars)
+    spec = b"\x0a\x01m\x12" + bytes([size & 0x7F | 0x80, size >> 7]) + chars + bytes([0x18, prefix, 0x20, strip, 0x28, 1])
+    size = len(spec)
+    path = tmp_path / "mapped.model"
+    path.write_bytes(bare + b"\x1a" + bytes([size & 0x7F | 0x80, size >> 7]) + spec)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert library.encode("ab") == library.encode("X") != library.encode("yb")
+    own = piece_codec.PieceCodec(str(path))
+    plain = [*(t or "" for _, t in ODD), *((t or "")[:500] for t in list(texts.values())[:60]), "", " ", "ab", " ab  aab a\n b ", "a", "cab", "é ab ▁a"]
+    ids, counts, spans = own.encode(tb.of_texts([t.encode() for t in plain]))
+    at = tb.offsets(counts)
+    for k, t in enumerate(plain):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t)
+    k = plain.index("cab")
+    covered = [(int(a), int(b)) for a, b in spans[at[k] : at[k + 1]]]
+    assert covered[-1][1] == 3 and all(b in (0, 1, 3) for _, b in covered)
+
+
 def test_secret_scan(case):
     df, plain = case
     want = [(i, brute.sha(brute.base_secrets(t))) for i, t in plain]
