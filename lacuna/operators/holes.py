@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -11,15 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.geometry import ball_mesh, cap_volume, lens_volume, sphere_volume, spiral_sphere
-from lacuna.operators.grid import XYZ
+from lacuna.operators.grid import CELL_KEY, XYZ, with_cell, with_neighbours
 from lacuna.operators.mask import Footprint
 from lacuna.operators.neighbors import overlapping_spheres
+from lacuna.sources.tables import with_row_numbers
 
 SURFACE_POINTS = 20
-
-
-def _priority() -> list:
-    return [F.desc("radius"), "x", "y", "z"]
+RUN_BLOCK = 100_000
 
 
 def _literal_points(points: np.ndarray, radius: np.ndarray | None = None):
@@ -66,24 +63,37 @@ def cut_by_axis_caps(holes: DataFrame, footprint: Footprint, max_overlap: float
     return holes.join(gone, "hole", "left_anti")
 
 
-def _keep_distinct(batches, tolerance: float):
-    last = None
-    for batch in batches:
-        keep = []
-        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*XYZ, "radius")), strict=True):
-            ok = last is None or math.dist(row[:3], last[:3]) > tolerance or last[3] - row[3] > tolerance
-            last = row if ok else last
-            keep.append(ok)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def _fold(table: pa.Table, tolerance: float) -> pa.Table:
+    """A run of holes in order: those that are kept."""
+    table = table.sort_by("nth")
+    keep, last = [], None
+    for row in zip(*(table.column(c).to_pylist() for c in (*XYZ, "radius")), strict=True):
+        ok = last is None or math.dist(row[:3], last[:3]) > tolerance or last[3] - row[3] > tolerance
+        last = row if ok else last
+        keep.append(ok)
+    return table.filter(pa.array(keep, pa.bool_())).select(["nth"])
 
 
 def remove_duplicates(holes: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """By falling radius, holes that are farther than the tolerance from the last kept one, or smaller than it by more.
 
-    Each hole is compared with the last kept, so it is one ordered pass, over holes and not galaxies, in one task.
+    A hole that no hole before it is near, in place and radius, is kept whatever was before: it starts a run. Near ones are looked
+    for in cells of place and radius, of which only the first hole counts. Each run is then gone through by itself.
     """
-    ordered = holes.coalesce(1).sortWithinPartitions(*_priority())
-    return ordered.mapInArrow(functools.partial(_keep_distinct, tolerance=tolerance), holes.schema)
+    ordered = with_row_numbers(holes.withColumn("fall", -F.col("radius")), "nth", ["fall", *XYZ]).drop("fall")
+    numbered = _checkpointed(ordered)
+    places = numbered.select("nth", *XYZ, F.floor(F.col("radius") / tolerance).alias("size"))
+    firsts = with_cell(places, tolerance).groupBy(*CELL_KEY, "size").agg(F.min("nth").alias("first"))
+    around = with_neighbours(places, tolerance).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    near = around.join(firsts, [*CELL_KEY, "size"]).filter("first < nth").select("nth").distinct()
+    flagged = numbered.select("nth").join(near.withColumn("near", F.lit(True)), "nth", "left").withColumn("own", F.when(F.col("near").isNull(), F.col("nth")))
+    flagged = flagged.withColumn("block", F.expr(f"nth div {RUN_BLOCK}"))
+    within = F.max("own").over(Window.partitionBy("block").orderBy("nth"))
+    lasts = flagged.groupBy("block").agg(F.max("own").alias("last"))  # a row for RUN_BLOCK holes
+    before = lasts.select("block", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    runs = flagged.withColumn("within", within).join(before, "block").select("nth", F.coalesce("within", "before").alias("run"))
+    kept = numbered.select("nth", *XYZ, "radius").join(runs, "nth").groupBy("run").applyInArrow(lambda table: _fold(table, tolerance), "nth long")
+    return numbered.join(kept, "nth", "left_semi").select(*holes.columns)
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -114,8 +124,8 @@ def find_maximals(holes: DataFrame, min_radius: float = 10.0, overlap: float = 0
         accepted = new if accepted is None else accepted.unionByName(new)
         beaten = rivals.join(new.withColumnRenamed("hole", "rival"), "rival", "left_semi").select("hole").distinct()
         undecided = _checkpointed(undecided.join(new, "hole", "left_anti").join(beaten, "hole", "left_anti"))
-    chosen = candidates.join(accepted, "hole", "left_semi")
-    return chosen.select("hole", (F.row_number().over(Window.orderBy(*_priority(), "hole")) - 1).cast("long").alias("void"))  # a row a void
+    chosen = candidates.join(accepted, "hole", "left_semi").withColumn("fall", -F.col("radius"))
+    return with_row_numbers(chosen, "void", ["fall", *XYZ, "hole"]).select("hole", "void")
 
 
 def join_holes(holes: DataFrame, maximals: DataFrame, fraction: float = 0.5) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.session import ensure_checkpoints
+from lacuna.sources.tables import with_row_numbers
 
 NONE = -1
 
@@ -38,7 +40,7 @@ def zones(cells: DataFrame, edges: DataFrame, hzn: DataFrame | None = None) -> t
     """Members (gal, zone, depth, volume) and zones (zone, core, zvol, zhzn, cells), numbered from 0 by falling core volume. Cells without volume have zone -1, depth 0."""
     found = basins(parents(cells, edges))
     cores = found.filter("gal = core").select("core", F.col("volume").alias("zvol"))
-    numbered = cores.select("core", "zvol", (F.row_number().over(Window.orderBy(F.desc("zvol"), "core")) - 1).cast("long").alias("zone"))  # a row a zone
+    numbered = with_row_numbers(cores.withColumn("fall", -F.col("zvol")), "zone", ["fall", "core"]).drop("fall")
     members = found.join(numbered.select("core", "zone"), "core").select("gal", "zone", "depth", "volume")
     flat = cells.filter("volume <= 0").select("gal", F.lit(NONE).cast("long").alias("zone"), F.lit(0).cast("long").alias("depth"), "volume")
     members = members.unionByName(flat).checkpoint()
@@ -66,44 +68,83 @@ def zone_areas(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return total, faces.filter("z2 >= 0").groupBy("z1", "z2").agg(F.sum("area").alias("area"))
 
 
-def nested_voids(cores: list[float], links: list[tuple[int, int, float]]) -> list[dict]:
-    """Voids as lists of groups of zones, from the zones' core volumes (by zone) and their links.
+class MergeTree:
+    """Which set of zones joined which, and at what volume.
 
-    Zones are flooded from the greatest link volume down. When a volume joins several flooded
-    sets, each but the one with the largest core is closed: it becomes a void whose groups are
-    its zones by the volume at which they were last flooded, falling, with those volumes
-    and then the closing one as ``overflow``, and its zones go on with the larger. At the end what is left is one
-    void that never overflows (0). The zone graph is small beside the points: one row a zone and a link.
+    Zones are flooded from the greatest link volume down. When a volume joins several flooded sets, each but the one
+    with the largest core is joined to that one: its first zone (the one of its core) becomes a child of the other's at this volume. A set's zones
+    are then its first zone and the subtrees of the children, and a zone was last flooded where its branch left the first zone.
+    ``order`` lists zones so that a subtree is a range, [start, stop) of its first zone.
     """
-    label = list(range(len(cores)))
-    core, over = list(cores), list(cores)
-    members = {z: [z] for z in label}
-    at: dict[float, set[int]] = defaultdict(set)
-    for a, b, volume in links:
-        at[volume] |= {a, b}
-    out = []
-
-    def close(zones: list[int], last: float, volume: float) -> None:
+
+    def __init__(self, cores: list[float], links: list[tuple[int, int, float]]):
+        n = len(cores)
+        self.cores, self.parent, self.level, self.closed = cores, [-1] * n, [0.0] * n, []
+        self.children: list[list[int]] = [[] for _ in cores]
+        up = list(range(n))
+
+        def first(z: int) -> int:
+            while up[z] != z:
+                up[z] = up[up[z]]
+                z = up[z]
+            return z
+
+        ends = sorted(((volume, z) for a, b, volume in links for z in (a, b)), key=lambda x: (-x[0], x[1]))
+        at = 0
+        while at < len(ends):
+            stop = at
+            while stop < len(ends) and ends[stop][0] == ends[at][0]:
+                stop += 1
+            sets = list(dict.fromkeys(first(z) for _, z in ends[at:stop]))
+            top = max(sets, key=lambda z: cores[z])
+            for own in sets:
+                if cores[own] < cores[top]:
+                    up[own] = self.parent[own] = top
+                    self.level[own] = ends[at][0]
+                    self.children[top].append(own)
+                    self.closed.append(own)
+            at = stop
+        self.roots = [z for z in range(n) if self.parent[z] < 0]
+        self.order, self.start, self.stop = [], [0] * n, [0] * n
+        stack = [(z, False) for z in reversed(self.roots)]
+        while stack:
+            z, done = stack.pop()
+            if done:
+                self.stop[z] = len(self.order)
+                continue
+            self.start[z] = len(self.order)
+            self.order.append(z)
+            stack += [(z, True), *((c, False) for c in reversed(self.children[z]))]
+
+    def zones(self, z: int) -> list[int]:
+        """The subtree of a zone."""
+        return self.order[self.start[z] : self.stop[z]]
+
+    def voids(self) -> Iterator[dict]:
+        """Each joined set as it was then, and at the end all that is left."""
+        for z in self.closed:
+            yield self._void([z], [c for c in self.children[z]], self.level[z], self.cores[z])
+        if self.cores:
+            yield self._void(self.roots, [c for z in self.roots for c in self.children[z]], 0.0, self.cores[0])
+
+    def _void(self, alone: list[int], joined: list[int], last: float, core: float) -> dict:
         groups: dict[float, list[int]] = defaultdict(list)
-        for z in sorted(zones):
-            groups[over[z]].append(z)
+        for z in alone:
+            groups[self.cores[z]].append(z)
+        for z in joined:
+            groups[self.level[z]] += self.zones(z)
         levels = sorted(groups, reverse=True)
-        out.append({"groups": [groups[v] for v in levels], "overflow": [*levels, last], "mvol": volume})
-
-    for volume in sorted(at, reverse=True):
-        touched = sorted(at[volume])
-        top = max(touched, key=lambda z: (core[z], -z))
-        best = core[top]
-        for z in touched:
-            if core[z] < best:
-                own, into = label[z], label[top]
-                close(members[own], volume, core[z])
-                for m in members[own]:
-                    label[m], core[m], over[m] = into, best, volume
-                members[into] += members.pop(own)
-    if cores:
-        close(list(range(len(cores))), 0.0, core[0])
-    return out
+        return {"groups": [sorted(groups[v]) for v in levels], "overflow": [*levels, last], "mvol": core}
+
+
+def nested_voids(cores: list[float], links: list[tuple[int, int, float]]) -> list[dict]:
+    """Voids as lists of groups of zones, from the zones' core volumes (by zone, falling) and their links.
+
+    A set of zones that a :class:`MergeTree` joins to another is a void whose groups are its zones by the volume at which
+    they were last flooded, falling, with those volumes and then the joining one as ``overflow``. At the end what is
+    left is one void that never overflows (0). The zone graph is small beside the points: one row a zone and a link.
+    """
+    return list(MergeTree(cores, links).voids())
 
 
 def void_hierarchy(zone_table: DataFrame, links: DataFrame) -> list[dict]:
