@@ -40,6 +40,7 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _forget(spark)
     return out
 
 
@@ -51,7 +52,7 @@ def parts_of(table: DataFrame, kind: str) -> DataFrame:
 
 
 def _forget(spark: SparkSession) -> None:
-    """Shuffle files of plans that are done go once the driver has collected the plans, so before more is written."""
+    """Shuffle files of plans that are done go once the driver has collected the plans; a plan that ended just now may wait for the next call."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -62,3 +63,4 @@ def release(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _forget(spark)
