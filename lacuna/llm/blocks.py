@@ -144,7 +144,7 @@ def answers(part: int, blocks: list, packed: list[bytes]) -> pa.Table:
 
 def totals(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts the keys, starts of equal ones in it, and for each key its place among the distinct ones."""
-    order = np.argsort(keys, kind="stable")
+    order = tb.order_of(keys)
     ordered = keys[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
     place = np.empty(len(keys), np.int64)

@@ -41,7 +41,7 @@ DIVERGENCE = 6.0  # nats
 STRENGTH = 2.0  # weight of the suffix's distribution, in counts
 STEPS = 1 << 20  # of log10 probabilities, to one
 FINE = 1 << 10  # of the terms of sums, to a nat: whole numbers, so sums don't depend on their order
-START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x1F3D5B79A1C3E5F7)  # beside the words' hashes
+START, END, RARE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x1F3D5B79A1C3E5F7), np.uint64(0x2545F4914F6CDD1D)  # beside the words' hashes; RARE: of all that occur once at most
 ODD = 0x9E3779B97F4A7C15
 
 ROWS = "kind string, block long, part int, data binary"
@@ -106,7 +106,8 @@ class Tokens:
         body[bounds[:-1]] = body[bounds[1:] - 1] = False
         keys[body] = tb.hash_spans(low, starts, ends - starts)
         keys[bounds[:-1]] = START
-        return cls(chunk.ids, chunk.id_null, ~_held_out(chunk), counts, *np.unique(keys, return_inverse=True))
+        order, first, of = bl.totals(keys)
+        return cls(chunk.ids, chunk.id_null, ~_held_out(chunk), counts, keys[order[first]], of)
 
     def some(self, texts: np.ndarray) -> Tokens:
         of = self.of[texts[self.text]]
@@ -114,6 +115,19 @@ class Tokens:
         used[of] = True
         return Tokens(self.ids[texts], self.null[texts], self.train[texts], self.counts[texts], self.distinct[used], (np.cumsum(used) - 1)[of], self.base[used])
 
+    def merge(self, rare: np.ndarray) -> None:
+        """These distinct keys become RARE, but for the start: one entry for each code, that is for a count of 0 and of 1."""
+        rare = rare & (self.distinct != START)
+        codes, of = np.unique(self.base[rare], return_inverse=True)
+        place = np.cumsum(~rare) - 1
+        place[rare] = int((~rare).sum()) + of
+        distinct, base, of = np.concatenate((self.distinct[~rare], np.full(len(codes), RARE))), np.concatenate((self.base[~rare], codes)), place[self.of]
+        frequent = np.argsort(-np.bincount(of, minlength=len(distinct)), kind="stable")  # small numbers for most tokens
+        rank = np.empty(len(frequent), np.int64)
+        rank[frequent] = np.arange(len(frequent))
+        self.distinct, self.base, self.of = distinct[frequent], base[frequent], rank[of]
+        self.keys = self.distinct[self.of]
+
     def columns(self) -> list[np.ndarray]:
         return [self.ids, self.null, self.train, self.counts, self.distinct.view(np.int64), self.of, self.base]
 
@@ -157,10 +171,17 @@ class State:
         contexts, repeated = self.tokens.before(places, size), self.repeated[places]
         return places, contexts, repeated, tb.mix(contexts[repeated] ^ tb.mix(self.tokens.keys[places[repeated]] + np.uint64(ODD)))
 
-    def rows(self, block: int, still: np.ndarray, size: int) -> pa.RecordBatch:
-        """After a round: the answers of texts without tokens in ``still``, and the others' state before contexts of ``size`` tokens."""
+    def rows(self, block: int, still: np.ndarray, size: int, last: int) -> pa.RecordBatch:
+        """After a round of contexts of ``last`` tokens: the answers of texts without tokens in ``still``, and the others' state before contexts of ``size`` tokens.
+
+        A token goes on if its context can occur twice: no n-gram within it, of up to ``last`` + 1 tokens, is known not to, and no word of it is rare.
+        """
         tokens, places = self.tokens, np.flatnonzero(self.open)
-        still = still & np.concatenate(([False], self.repeated[:-1])) & tokens.room(size)
+        here = np.arange(len(tokens.keys))
+        known, rare = (np.concatenate(([-1], np.maximum.accumulate(np.where(flags, here, -1))[:-1])) for flags in (~self.repeated, tokens.keys == RARE))
+        twice = (known < here - size + last) & (rare < here - size)
+        self.repeated = self.repeated & (twice | ~tokens.scored)
+        still = still & twice & tokens.room(size)
         gone = ~still[places]
         totals = self.totals + np.bincount(tokens.text[places[gone]], self.codes[gone], minlength=len(self.totals)).astype(np.int64)
         live = np.zeros(len(totals), bool)
@@ -181,8 +202,9 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 
 def _count(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the first place and the sum of the weights of each, and for each key its place among them."""
-    distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, first, np.bincount(of, weights, minlength=len(distinct)).astype(np.int64), of
+    order, starts, of = bl.totals(keys)
+    first = order[starts]
+    return keys[first], first, np.bincount(of, weights, minlength=len(first)).astype(np.int64), of
 
 
 def smoothed(c: np.ndarray, n: np.ndarray, once: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -223,15 +245,12 @@ def _begin(batches, tokens_in_all: int, distinct: int, size: int):
         counts = _numbers(answers)
         logs, share = np.log10(counts + 1.0), np.log10(tokens_in_all + distinct + 1.0)
         tokens.base = np.rint((share - logs) * STEPS).astype(np.int64)
-        frequent = np.argsort(-np.bincount(tokens.of, minlength=len(counts)), kind="stable")  # small numbers for most tokens
-        rank = np.empty(len(frequent), np.int64)
-        rank[frequent] = np.arange(len(frequent))
-        tokens.distinct, tokens.base, tokens.of = tokens.distinct[frequent], tokens.base[frequent], rank[tokens.of]
-        counts, logs = counts[frequent], logs[frequent]
         own, bounds = tokens.of[tokens.scored], tokens.bounds - np.arange(len(tokens.bounds))
         repeated = (counts > 1)[tokens.of] | ~tokens.scored
-        state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums((counts > 0)[own], bounds), tb.sums(logs[own], bounds) - np.diff(bounds) * share, repeated, tokens.scored, tokens.base[own])
-        yield state.rows(block, tokens.scored, size)
+        base = tb.sums(logs[own], bounds) - np.diff(bounds) * share
+        tokens.merge(counts < 2)
+        state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums((counts > 0)[own], bounds), base, repeated, tokens.scored, tokens.base[tokens.of[tokens.scored]])
+        yield state.rows(block, tokens.scored, size, 0)
         tb.give_back()
 
 
@@ -326,7 +345,7 @@ def _go_on(batches, size: int, longer: int):
         state.repeated[places] = c > 1
         still = np.zeros(len(state.open), bool)
         still[places] = reply & 1
-        yield state.rows(block, still, longer)
+        yield state.rows(block, still, longer, size)
         tb.give_back()
 
 

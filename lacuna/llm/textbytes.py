@@ -165,6 +165,17 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nda
     return out
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts unsigned 64-bit keys, equal ones as they stand: by their leading bits with places in the others, which sorts values and not places."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    packed = np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():  # different keys with the same leading bits
+        order = np.argsort(keys, kind="stable")
+    return order
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """``flat[s : s + n]`` for each s, n, concatenated."""
     lens = lens.astype(np.int64)
