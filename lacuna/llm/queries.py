@@ -74,11 +74,11 @@ FROM h JOIN g ON h.text_sha256 = g.text_sha256
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-s AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM d WHERE n >= 50)),
-first AS (SELECT s, min(doc_id) AS m FROM s GROUP BY s),
-cut AS (SELECT s.doc_id, s.k FROM s JOIN first ON first.s = s.s WHERE first.m < s.doc_id),
-b AS (SELECT doc_id, n, h, unnest(range(0, n)) AS k FROM d),
-last AS (SELECT b.doc_id, b.k, substr(b.h, 2 * b.k + 1, 2) AS byte, max(cut.k) OVER (PARTITION BY b.doc_id ORDER BY b.k) AS c FROM b LEFT JOIN cut ON cut.doc_id = b.doc_id AND cut.k = b.k),
+p AS (SELECT doc_id, n, i, substr(h, 128 * i + 1, 226) AS h FROM (SELECT doc_id, h, n, unnest(range(0, (n + 63) // 64)) AS i FROM d)),
+b AS (SELECT doc_id, n, 64 * i + j AS k, substr(h, 2 * j + 1, 2) AS byte, substr(h, 2 * j + 1, 100) AS s FROM (SELECT doc_id, n, i, h, unnest(range(0, 64)) AS j FROM p) WHERE 64 * i + j < n),
+first AS (SELECT s, min(doc_id) AS m FROM b WHERE k <= n - 50 GROUP BY s HAVING count(*) > 1),
+cut AS (SELECT b.doc_id, b.k FROM b JOIN first ON first.s = b.s WHERE b.k <= b.n - 50 AND first.m < b.doc_id),
+last AS (SELECT b.doc_id, b.k, b.byte, max(cut.k) OVER (PARTITION BY b.doc_id ORDER BY b.k) AS c FROM b LEFT JOIN cut ON cut.doc_id = b.doc_id AND cut.k = b.k),
 gone AS (SELECT doc_id, k, byte, coalesce(k - c < 50, false) AS gone FROM last),
 edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS starts FROM gone),
 t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE starts) AS p, string_agg(byte, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM edge GROUP BY doc_id)

@@ -129,7 +129,7 @@ class _Contexts:
         keys, self.first, self.count, doc = keys[own], first[own], count[own], doc[own]
         self.ids = chunk.ids[doc]
         size = self.count + length - 1
-        content = tb.hash_spans(chunk.data, self.first, size)
+        content = tb.span_keys(chunk.data, self.first, size)
         order = np.lexsort((content, keys))
         new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (content[order][1:] != content[order][:-1]))) if len(order) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
@@ -201,8 +201,7 @@ def _answer_contexts(table: pa.Table, length: int) -> pa.Table:
     sizes, least = (np.concatenate([h[k] for h in heads]) for k in (1, 2))
     data = np.concatenate([*texts, np.full(tb.PAD, 0x20, np.uint8)])
     at = tb.offsets(sizes)[:-1]
-    content = tb.hash_spans(data, at, sizes)
-    order, first, place = bl.totals(content ^ tb.mix(sizes.astype(np.uint64)))
+    order, first, place = bl.totals(tb.span_keys(data, at, sizes))
     pick = order[first]
     doc = np.minimum.reduceat(least[order], first)
     size = sizes[pick]
@@ -287,5 +286,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id and kept: the remaining bytes of each text, which may cut a character (null for a null text)."""
+    """doc_id and kept, one row for each row of ``docs``: the remaining bytes of each text, which may cut a character (null for a null text).
+
+    Null ids, repeated rows and empty tables as in :func:`substring_dedup`.
+    """
     return _answered(docs, id_col, text_col, length).mapInArrow(functools.partial(_clean, length=length), "doc_id long, kept binary")

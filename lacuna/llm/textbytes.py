@@ -176,6 +176,22 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def span_keys(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Keys of byte spans that are equal only for equal bytes: their hashes, if spans of one hash have the same bytes, else numbers."""
+    keys = hash_spans(data, starts, lens)
+    if not len(keys):
+        return keys
+    order = order_of(keys)
+    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each span, in order, the first that has its hash
+    other = ~new
+    a, b = order[other], first[other]
+    if (lens[a] == lens[b]).all() and np.array_equal(ragged(data, starts[a], lens[a]), ragged(data, starts[b], lens[b])):
+        return keys
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(data[s : s + n].tobytes(), len(number)) for s, n in zip(starts.tolist(), lens.tolist(), strict=True)], np.uint64)
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """``flat[s : s + n]`` for each s, n, concatenated."""
     lens = lens.astype(np.int64)
