@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import cosmology, geometry, healpix, sky
-from lacuna.operators import grid, holes, mask, membership, neighbors, prune, select, slices, volume, watershed
+from lacuna.operators import grid, holes, mask, membership, neighbors, prune, select, slices, volume, voronoi, watershed
 from lacuna.operators.grid import XYZ
 from lacuna.operators.mask import Footprint
+from lacuna.plans import catalogs
 from lacuna.plans.find_voids import find_voids
 from lacuna.plans.watershed import Watershed, WatershedConfig
 from lacuna.session import ensure_checkpoints
@@ -478,6 +479,183 @@ def zone_voids(spark, sf_dir):
     return prune.zone_voids(spark.range(60).withColumnRenamed("id", "zone"), of)
 
 
+# --- catalogues with their surveys ---------------------------------------------------------------------------------------------
+
+_LATTICE = f"""{CELLS}, {HOLES}, points AS (SELECT (i.range * 20 + j.range) * 20 + k.range AS gal, -60 + i.range * 6.0::double AS x, -60 + j.range * 6.0::double AS y, -60 + k.range * 6.0::double AS z FROM range(20) i, range(20) j, range(20) k), {_NEAR},
+ l AS (SELECT p.gal AS id, p.x + 1.5 AS x, p.y + 1.5 AS y, p.z + 1.5 AS z FROM points p JOIN near ON near.gal = p.gal WHERE {_inside_sql('p.x', 'p.y', 'p.z')} AND NOT near.near)"""
+
+
+def _sphere_catalog(spark: SparkSession, sf_dir: str, which: str = "true") -> catalogs.SphereCatalog:
+    own = hole_table(spark, sf_dir).filter(which)
+    return catalogs.SphereCatalog(footprint(spark), holes=own, maximals=own.withColumn("edge", F.col("hole") % 3))
+
+
+def _watershed_catalog(spark: SparkSession, sf_dir: str) -> catalogs.WatershedCatalog:
+    own = points(spark, sf_dir)
+    galaxies_ = own.withColumns({"Rgal": sky.to_radec(*(F.col(c) for c in XYZ))[0], "rabsmag": -F.col("volume")})
+    zonevoid = spark.range(40).select(F.col("id").alias("zone"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("void0"), F.lit(-1).cast("long").alias("void1"))
+    return catalogs.WatershedCatalog(footprint(spark), galaxies_, galzone=own.select("gal", *XYZ, (F.col("gal") % 50).alias("zone")), zonevoid=zonevoid)
+
+
+@query("single_overlap", f"""WITH {_LATTICE}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM holes b WHERE {_D2} < b.radius * b.radius)) AS inside FROM l a) SELECT n, inside, round(inside / nullif(n, 0)::double, 6) AS inside_share FROM c""")
+def single_overlap(spark, sf_dir):
+    found = catalogs.single_overlap(_sphere_catalog(spark, sf_dir), (-60.0,) * 3, (60.0,) * 3, 6.0, 0.25, 10.0, spark)
+    return found.withColumn("inside_share", _r("inside_share"))
+
+
+@query("catalog_overlap", f"""WITH {_LATTICE}, f AS (SELECT EXISTS (SELECT 1 FROM holes b WHERE b.hole % 2 = 0 AND {_D2} < b.radius * b.radius) AS p, EXISTS (SELECT 1 FROM holes b WHERE b.hole % 2 = 1 AND {_D2} < b.radius * b.radius) AS q FROM l a)
+ SELECT count(*) AS n, count(*) FILTER (WHERE p AND q) AS "both", count(*) FILTER (WHERE NOT p AND NOT q) AS neither, count(*) FILTER (WHERE p AND NOT q) AS only_a, count(*) FILTER (WHERE NOT p AND q) AS only_b FROM f""")
+def catalog_overlap(spark, sf_dir):
+    a, b = (_sphere_catalog(spark, sf_dir, f"hole % 2 = {k}") for k in (0, 1))
+    return catalogs.overlap(a, b, (-60.0,) * 3, (60.0,) * 3, 6.0, 0.25, 10.0, spark).select("n", "both", "neither", "only_a", "only_b")
+
+
+@query("combined_overlaps", f"""WITH {HOLES}, l AS (SELECT h.range AS part, -60 + (i.range + 0.5) * 12.0::double AS x, -60 + (j.range + 0.5) * 12.0::double AS y, (h.range * 60 - 60) + (k.range + 0.5) * 12.0::double AS z FROM range(10) i, range(10) j, range(5) k, range(2) h),
+ f AS (SELECT EXISTS (SELECT 1 FROM holes b WHERE b.hole % 2 = 0 AND {_D2} < b.radius * b.radius) AS p, EXISTS (SELECT 1 FROM holes b WHERE b.hole % 2 = 1 AND {_D2} < b.radius * b.radius) AS q FROM l a)
+ SELECT count(*) AS n, count(*) FILTER (WHERE p AND q) AS "both", count(*) FILTER (WHERE NOT p AND NOT q) AS neither, count(*) FILTER (WHERE p AND NOT q) AS only_a, count(*) FILTER (WHERE NOT p AND q) AS only_b FROM f""")
+def combined_overlaps(spark, sf_dir):
+    own, parts = hole_table(spark, sf_dir), []
+    for low, high in ((-60.0, 0.0), (0.0, 60.0)):
+        lattice = volume.lattice(spark, (-60.0, -60.0, low), (60.0, 60.0, high), 12.0)
+        parts.append(membership.overlap(*(membership.in_sphere_voids(lattice, own.filter(f"hole % 2 = {k}")) for k in (0, 1))))
+    return membership.combine_overlaps(*parts).select("n", "both", "neither", "only_a", "only_b")
+
+
+@query("coords_in_void", f"""WITH {CELLS}, {GALAXIES}, {HOLES}, points AS (SELECT gal, rgal / 10 * cos(radians(ra)) * cos(radians(dec)) AS x, rgal / 10 * sin(radians(ra)) * cos(radians(dec)) AS y, rgal / 10 * sin(radians(dec)) AS z FROM galaxies), {_NEAR},
+ inner_ AS (SELECT DISTINCT a.gal FROM points a, holes b WHERE {_D2} < b.radius * b.radius), v AS (SELECT p.gal, CASE WHEN i.gal IS NOT NULL THEN 1 WHEN NOT {_inside_sql('p.x', 'p.y', 'p.z')} THEN 9 WHEN near.near THEN 2 ELSE 0 END AS vflag FROM points p JOIN near ON near.gal = p.gal LEFT JOIN inner_ i ON i.gal = p.gal)
+ SELECT vflag, count(*) AS n FROM v GROUP BY vflag""")
+def coords_in_void(spark, sf_dir):
+    places = galaxies(spark, sf_dir).select(F.col("gal").alias("id"), "ra", "dec", (F.col("Rgal") / 10).alias("Rgal"))
+    return _sphere_catalog(spark, sf_dir).coords_in_void(places).groupBy("vflag").agg(F.count("*").alias("n"))
+
+
+_WATERSHED_FLAGS = f"""{CELLS}, {POINTS}, {_NEAR}, zv AS (SELECT i.range AS zone, CASE WHEN i.range % 3 = 0 THEN i.range % 7 ELSE -1 END AS void0 FROM range(40) i),
+ wf AS (SELECT p.gal, p.volume, near.near, {_inside_sql('p.x', 'p.y', 'p.z')} AS inside, CASE WHEN coalesce(zv.void0, -1) <> -1 THEN 1 WHEN NOT {_inside_sql('p.x', 'p.y', 'p.z')} THEN 9 WHEN near.near THEN 2 ELSE 0 END AS vflag
+  FROM points p JOIN near ON near.gal = p.gal LEFT JOIN zv ON zv.zone = p.gal % 50)"""
+
+
+@query("watershed_flags", f"WITH {_WATERSHED_FLAGS} SELECT gal, vflag FROM wf")
+def watershed_flags(spark, sf_dir):
+    own = _watershed_catalog(spark, sf_dir)
+    return own.flags(own.galaxies).select("gal", "vflag")
+
+
+@query("watershed_membership", f"WITH {_WATERSHED_FLAGS} SELECT count(*) FILTER (WHERE vflag = 1) AS n_void, count(*) FILTER (WHERE vflag = 0) AS n_wall FROM wf WHERE inside AND NOT near AND volume > 1000")
+def watershed_membership(spark, sf_dir):
+    return _watershed_catalog(spark, sf_dir).galaxy_membership(-1000.0, 10.0)
+
+
+@query("in_watershed_voids", f"WITH {_WATERSHED_FLAGS} SELECT gal AS id, vflag = 1 AS in_void FROM wf")
+def in_watershed_voids(spark, sf_dir):
+    own = _watershed_catalog(spark, sf_dir)
+    return own.in_void(own.galaxies.select(F.col("gal").alias("id"), *XYZ))
+
+
+@query("common_void_galaxies", f"""WITH {CELLS}, {POINTS}, {HOLES}, zv AS (SELECT i.range AS zone FROM range(40) i WHERE i.range % 3 = 0)
+ SELECT DISTINCT a.gal FROM points a JOIN zv ON zv.zone = a.gal % 50, holes b WHERE {_D2} < b.radius * b.radius""")
+def common_void_galaxies(spark, sf_dir):
+    zones_, spheres = _watershed_catalog(spark, sf_dir), _sphere_catalog(spark, sf_dir)
+    spheres.galaxies = zones_.galaxies
+    return catalogs.common_galaxies(spheres, zones_)
+
+
+@query("stacked_void_stats", f"WITH {HOLES} SELECT CASE WHEN z >= 0 THEN 'ngc' ELSE 'sgc' END AS catalog, count(*) AS voids, count(*) FILTER (WHERE hole % 3 = 1) AS edge, round(avg(radius), 6) AS mean, round(median(radius), 6) AS median FROM holes GROUP BY 1")
+def stacked_void_stats(spark, sf_dir):
+    both = catalogs.Stacked({"ngc": _sphere_catalog(spark, sf_dir, "z >= 0"), "sgc": _sphere_catalog(spark, sf_dir, "not (z >= 0)")})
+    return both.void_stats().select("catalog", "voids", "edge", _r("mean").alias("mean"), _r("median").alias("median"))
+
+
+@query("combined_void_stats", f"WITH {HOLES} SELECT count(*) AS voids, count(*) FILTER (WHERE hole % 3 = 2) AS near_edge, round(avg(radius), 6) AS mean, max(radius) AS largest FROM holes")
+def combined_void_stats(spark, sf_dir):
+    both = catalogs.Stacked({"ngc": _sphere_catalog(spark, sf_dir, "z >= 0"), "sgc": _sphere_catalog(spark, sf_dir, "not (z >= 0)")})
+    return both.combined_stats().select("voids", "near_edge", _r("mean").alias("mean"), "largest")
+
+
+@query("row_difference", "SELECT DISTINCT o_custkey % 97 AS k FROM orders EXCEPT SELECT p_partkey % 90 AS k FROM part")
+def row_difference(spark, sf_dir):
+    return catalogs.difference(_read(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("k")), _read(spark, sf_dir, "part").select((F.col("p_partkey") % 90).alias("k")))
+
+
+@query("split_by", f"WITH {GALAXIES} SELECT rabsmag < -20 AS bright, count(*) AS n, round(avg(rgal), 6) AS mean FROM galaxies GROUP BY 1")
+def split_by(spark, sf_dir):
+    low, rest = select.split_by(galaxies(spark, sf_dir), "rabsmag", -20.0)
+    both = low.withColumn("bright", F.lit(True)).unionByName(rest.withColumn("bright", F.lit(False)))
+    return both.groupBy("bright").agg(F.count("*").alias("n"), _r(F.avg("Rgal")).alias("mean"))
+
+
+# --- holes and zones --------------------------------------------------------------------------------------------------------
+
+
+_DOUBLED = f"{HOLES}, doubled AS (SELECT hole, x, y, z, radius FROM holes UNION ALL SELECT hole + 1000000, x + 0.03, y, z, radius - 0.02 FROM holes WHERE hole % 2 = 0 UNION ALL SELECT hole + 2000000, x, y + 0.3, z, radius FROM holes WHERE hole % 3 = 0)"
+
+
+@query("hole_dedup", f"""WITH RECURSIVE {_DOUBLED}, o AS (SELECT *, row_number() OVER (ORDER BY radius DESC, x, y, z) AS n FROM doubled),
+ fold(n, hole, x, y, z, r, kept) AS (SELECT n, hole, x, y, z, radius, true FROM o WHERE n = 1 UNION ALL
+  SELECT o.n, o.hole, CASE WHEN k THEN o.x ELSE f.x END, CASE WHEN k THEN o.y ELSE f.y END, CASE WHEN k THEN o.z ELSE f.z END, CASE WHEN k THEN o.radius ELSE f.r END, k
+  FROM fold f JOIN (SELECT * FROM o) o ON o.n = f.n + 1, LATERAL (SELECT sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y) + (o.z - f.z) * (o.z - f.z)) > 0.1 OR f.r - o.radius > 0.1 AS k))
+ SELECT hole FROM fold WHERE kept""")
+def hole_dedup(spark, sf_dir):
+    own = hole_table(spark, sf_dir)
+    more = own.filter("hole % 2 = 0").select((F.col("hole") + 1000000).alias("hole"), (F.col("x") + 0.03).alias("x"), "y", "z", (F.col("radius") - 0.02).alias("radius"))
+    aside = own.filter("hole % 3 = 0").select((F.col("hole") + 2000000).alias("hole"), "x", (F.col("y") + 0.3).alias("y"), "z", "radius")
+    return holes.remove_duplicates(own.unionByName(more).unionByName(aside)).select("hole")
+
+
+@query("edge_flags", f"""WITH {CELLS}, points AS (SELECT s_suppkey AS gal, {_PLACE.format(k='(s_suppkey * 17 + 5)')} FROM supplier), {_NEAR}
+ SELECT gal % 9 AS void, CASE WHEN bool_or(gal % 31 = 0) THEN 1 WHEN bool_or(near.near) THEN 2 ELSE 0 END AS edge FROM near GROUP BY gal % 9""")
+def edge_flags(spark, sf_dir):
+    own = hole_table(spark, sf_dir).withColumns({"void": F.col("hole") % 9, "boundary": F.col("hole") % 31 == 0})
+    return holes.edge_flags(own, footprint(spark), 10.0)
+
+
+_AREAS = f"""{_ZONES}, faces AS (SELECT a.zone AS z1, b.zone AS z2, 1.0::double AS area FROM edges e JOIN members a ON a.gal = e.src JOIN members b ON b.gal = e.dst WHERE a.zone >= 0 AND a.zone <> b.zone)"""
+
+
+@query("zone_attributes", f"WITH RECURSIVE {_ZONES} SELECT z.zone, z.core, z.zvol, count(*) AS cells FROM zone z JOIN members m ON m.zone = z.zone GROUP BY z.zone, z.core, z.zvol")
+def zone_attributes(spark, sf_dir):
+    return watershed.zones(*_graph(spark, sf_dir))[1].select("zone", "core", "zvol", "cells")
+
+
+@query("zone_areas", f"WITH RECURSIVE {_AREAS} SELECT z1 AS zone, sum(area) AS total_area, sum(CASE WHEN z2 < 0 THEN area ELSE 0 END) AS edge_area FROM faces GROUP BY z1")
+def zone_areas(spark, sf_dir):
+    cells, edges = _graph(spark, sf_dir)
+    return watershed.zone_areas(watershed.zones(cells, edges)[0], edges)[0]
+
+
+@query("void_areas", f"""WITH RECURSIVE {_AREAS}, of AS (SELECT zone, zone % 5 AS void FROM zone), t AS (SELECT of.void, sum(area) AS t, sum(CASE WHEN z2 < 0 THEN area ELSE 0 END) AS e FROM faces JOIN of ON of.zone = z1 GROUP BY of.void),
+ i AS (SELECT a.void, sum(area) AS s FROM faces JOIN of a ON a.zone = z1 JOIN of b ON b.zone = z2 WHERE a.void = b.void GROUP BY a.void)
+ SELECT t.void, t.t - coalesce(i.s, 0) AS tot_area, t.e AS edge_area FROM t LEFT JOIN i ON i.void = t.void""")
+def void_areas(spark, sf_dir):
+    cells, edges = _graph(spark, sf_dir)
+    members, zones_ = watershed.zones(cells, edges)
+    total, shared = watershed.zone_areas(members, edges)
+    of = zones_.select((F.col("zone") % 5).alias("void"), "zone")
+    return prune.void_areas(of, total, shared).join(total.join(of, "zone").select("void").distinct(), "void", "left_semi")
+
+
+@query("void_edges", f"WITH RECURSIVE {_ZONES}, h AS (SELECT zone FROM members m JOIN edges e ON e.src = m.gal JOIN vol v ON v.gal = e.dst AND v.volume = 0 WHERE zone >= 0) SELECT zone % 5 AS void, max((zone IN (SELECT zone FROM h))::int) AS edge FROM zone GROUP BY zone % 5")
+def void_edges(spark, sf_dir):
+    cells, edges = _graph(spark, sf_dir)
+    _, zones_ = watershed.zones(cells, edges, voronoi.horizon(cells, edges))
+    return prune.void_edges(zones_.select((F.col("zone") % 5).alias("void"), "zone"), zones_)
+
+
+@query("galaxy_zones", f"""WITH RECURSIVE {_ZONES} SELECT v.gal, coalesce(m.zone, -1) AS zone, coalesce(m.depth, 0) AS depth, (coalesce(m.volume = 0, false) AND v.gal % 5 <> 0)::int AS edge, (v.gal % 5 = 0)::int AS out
+ FROM vectors v LEFT JOIN members m ON m.gal = v.gal""")
+def galaxy_zones(spark, sf_dir):
+    cells, edges = _graph(spark, sf_dir)
+    own = vectors(spark, sf_dir).withColumn("in_mask", F.col("gal") % 5 != 0)
+    return prune.galaxy_zones(watershed.zones(cells, edges)[0], own).select("gal", "zone", "depth", "edge", "out")
+
+
+@query("central_density_cut", f"""WITH {POINTS}, {HOLES}, v AS (SELECT hole AS void, x, y, z, radius, radius * radius * radius * 4.0::double AS vv FROM holes),
+ n AS (SELECT b.void, count(*) AS n FROM points a, v b WHERE {_D2} < b.radius * b.radius / 16 GROUP BY b.void)
+ SELECT v.void FROM v LEFT JOIN n ON n.void = v.void WHERE 64.0 * coalesce(n.n, 0) / vv < 0.2 / 1000 AND radius > 10""")
+def central_density_cut(spark, sf_dir):
+    voids = hole_table(spark, sf_dir).withColumnRenamed("hole", "void").withColumn("void_volume", F.col("radius") * F.col("radius") * F.col("radius") * 4.0)
+    return prune.central_density_cut(voids, points(spark, sf_dir), 1000.0).select("void")
+
+
 # --- end to end, without SQL -------------------------------------------------------------------------------------------------
 
 
