@@ -40,7 +40,7 @@ class PointIndex:
         cell = np.floor((xyz - self.origin) / edge).astype(np.int64)
         key = (cell[:, 0] * self.shape[1] + cell[:, 1]) * self.shape[2] + cell[:, 2]
         order = np.argsort(key, kind="stable")
-        self.xyz, self.key = xyz[order], key[order]
+        self.xyz, self.key, self.order = xyz[order], key[order], order
         self.low, self.high = low, high
 
     def ball(self, centre: np.ndarray, radius: float) -> np.ndarray:
@@ -166,8 +166,21 @@ def _grow_all(batches, points, inside, reach: float):
         yield _grow_rows(index, inside.value, np.asarray(batch.column(0)), _table(batch.columns[1:4]), reach)
 
 
-def _box(key: np.ndarray, block: float, halo: float) -> tuple[np.ndarray, np.ndarray]:
-    return key * block - halo, (key + 1) * block + halo
+def known_box(key, block: float, halo: float, low, high) -> tuple[np.ndarray, np.ndarray]:
+    """The region around a block in which all points are known; it has no end where it reaches the survey's."""
+    key = np.array(key, float)
+    a, b = key * block - halo, (key + 1) * block + halo
+    return np.where(a <= np.array(low), -np.inf, a), np.where(b >= np.array(high), np.inf, b)
+
+
+def with_halo(points: DataFrame, blocks: DataFrame, block: float, halo: float) -> DataFrame:
+    """Each point (x, y, z) once for each of the ``blocks`` (columns of CELL_KEY) that it lies within ``halo`` of; nothing else is made on the way but the blocks of their bounding box."""
+    span = blocks.agg(*(F.min(k).alias(f"a{k}") for k in CELL_KEY), *(F.max(k).alias(f"b{k}") for k in CELL_KEY)).first()
+    out = points
+    for c, k in zip(XYZ, CELL_KEY, strict=True):
+        first, last = F.greatest(F.floor((F.col(c) - halo) / block), F.lit(span[f"a{k}"])), F.least(F.floor((F.col(c) + halo) / block), F.lit(span[f"b{k}"]))
+        out = out.withColumns({"first": first, "last": last}).filter("first <= last").withColumn(k, F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return out.join(blocks.select(*CELL_KEY).distinct(), CELL_KEY, "left_semi")
 
 
 def grow_spheres(cells: DataFrame, points: DataFrame, footprint: Footprint, edge: float, broadcast_points: int = BROADCAST_POINTS, block: float | None = None) -> DataFrame:
@@ -184,34 +197,29 @@ def grow_spheres(cells: DataFrame, points: DataFrame, footprint: Footprint, edge
         shared = spark.sparkContext.broadcast((xyz, edge))  # 24 bytes a point, at most broadcast_points of them
         out = start.repartition(parts, "cell").mapInArrow(functools.partial(_grow_all, points=shared, inside=inside, reach=reach), SCHEMA)
         return out.drop("unfinished")
-    return _by_blocks(start, points, inside, edge, reach, block or 20.0 * edge)
+    return _by_blocks(start, points, inside, edge, reach, block or 20.0 * edge, low, high)
 
 
-def _by_blocks(start: DataFrame, points: DataFrame, inside, edge: float, reach: float, block: float) -> DataFrame:
+def _by_blocks(start: DataFrame, points: DataFrame, inside, edge: float, reach: float, block: float, low, high) -> DataFrame:
+    """Blocks with the points around them; cells whose search leaves what is known go on with doubled halos."""
     left, halo, done = start, block / 2.0, None
+    side = points.select(*XYZ)
     while True:
         own = halo  # the round's own name: the kernel runs before the next round changes halo
 
         def kernel(key, a: pa.Table, b: pa.Table) -> pa.Table:
-            low, high = _box(np.array([k.as_py() for k in key], float), block, own)
-            index = PointIndex(_table([b.column(f"p{c}") for c in XYZ]), edge, *((low, high) if own < reach else (None, None)))
+            if not len(a):
+                return pa.Table.from_batches([_grow_rows(PointIndex(np.zeros((0, 3)), edge), inside.value, np.zeros(0, np.int64), np.zeros((0, 3)), reach)])
+            index = PointIndex(_table([b.column(c) for c in XYZ]), edge, *known_box([k.as_py() for k in key], block, own, low, high))
             rows = _grow_rows(index, inside.value, np.asarray(a.column("cell")), _table([a.column(c) for c in XYZ]), reach)
             return pa.Table.from_batches([rows])
 
-        reachable = math.ceil(own / block)
-        side = points.select(*(F.col(c).alias(f"p{c}") for c in XYZ))
-        steps = F.expr(f"sequence(-{reachable}, {reachable})")
-        near = side.select("*", *(F.explode(steps).alias(f"s{c}") if c == "x" else F.lit(0).alias(f"s{c}") for c in XYZ))
-        near = near.withColumn("sy", F.explode(steps)).withColumn("sz", F.explode(steps))
-        near = near.select("px", "py", "pz", *((F.floor(F.col(f"p{c}") / block) + F.col(f"s{c}")).alias(f"cell_{c}") for c in XYZ))
-        for c in XYZ:
-            near = near.filter((F.col(f"p{c}") >= F.col(f"cell_{c}") * block - own) & (F.col(f"p{c}") <= (F.col(f"cell_{c}") + 1) * block + own))
-        keyed = with_cell(left, block)
-        near = near.join(keyed.select(*CELL_KEY).distinct(), CELL_KEY, "left_semi")
+        keyed = with_cell(left, block).checkpoint()
+        if keyed.isEmpty():
+            return done if done is not None else start.withColumn("radius", F.lit(0.0)).limit(0)
+        near = with_halo(side, keyed, block, own)
         out = keyed.groupBy(*CELL_KEY).cogroup(near.groupBy(*CELL_KEY)).applyInArrow(kernel, SCHEMA).checkpoint()
         found = out.filter("not unfinished").drop("unfinished")
         done = found if done is None else done.unionByName(found)
         left = out.filter("unfinished").select("cell", *XYZ)
-        if own >= reach or left.isEmpty():
-            return done
         halo *= 2.0

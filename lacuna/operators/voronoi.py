@@ -5,8 +5,8 @@ distance, until the next neighbour is more than twice as far as the cell's farth
 that still touches the start box is unbounded and has volume 0, as has one with a vertex outside the
 survey, unless the box is the survey itself.
 
-Up to ``BROADCAST_POINTS`` points, images included, are shipped to all executors; more are refused, and the survey is
-to be cut into boxes with the points around each as ``images``.
+Up to ``BROADCAST_POINTS`` points, images included, are shipped to all executors. More are cut into blocks with the points
+around each; a cell whose search leaves what its block knows goes on with a doubled halo.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.geometry import polygon_area
-from lacuna.operators.grid import XYZ, typical
-from lacuna.operators.growth import PointIndex
+from lacuna.operators.grid import CELL_KEY, XYZ, bounds, typical, with_cell
+from lacuna.operators.growth import PointIndex, Unfinished, known_box, with_halo
 from lacuna.operators.mask import Footprint
+from lacuna.session import ensure_checkpoints
 
 BROADCAST_POINTS = 5_000_000
+BLOCK_POINTS = 20_000.0  # of a block, about
 SCHEMA = "gal long, volume double, bounded boolean, valid boolean, neighbours array<struct<gal:long,area:double,polygon:array<array<double>>>>"
 
 
@@ -152,7 +154,49 @@ def _cells(batches, shared, low, high, whole_box: bool, inside):
         yield from pa.Table.from_pylist(rows, _ARROW).to_batches()
 
 
-def voronoi(points: DataFrame, low, high, footprint: Footprint | None = None, whole_box: bool = False, images: DataFrame | None = None, max_points: int = BROADCAST_POINTS) -> DataFrame:
+def _block_cells(own: pa.Table, near: pa.Table, edge: float, known, low, high, whole_box: bool, inside) -> pa.Table:
+    if not len(own):
+        return pa.Table.from_pylist([], _ARROW.append(pa.field("unfinished", pa.bool_())))
+    xyz = np.stack([np.asarray(near.column(c), float) for c in XYZ], axis=1)
+    index = PointIndex(xyz, edge, *known)
+    home = np.asarray(near.column("gal"))[index.order]
+    rows = []
+    for gal, p in zip(np.asarray(own.column("gal")).tolist(), np.stack([np.asarray(own.column(c), float) for c in XYZ], axis=1), strict=True):
+        try:
+            place = next((int(i) for i in index.ball(p, 0.0) if (index.xyz[i] == p).all()), -1)
+            made = next(_rows(index, home, np.array(low), np.array(high), whole_box, inside, p[None], np.array([gal]), np.array([place])))
+            rows.append(made | {"unfinished": False})
+        except Unfinished:
+            rows.append({"gal": gal, "volume": 0.0, "bounded": False, "valid": False, "neighbours": [], "unfinished": True})
+    return pa.Table.from_pylist(rows, _ARROW.append(pa.field("unfinished", pa.bool_())))
+
+
+def _by_blocks(points: DataFrame, everything: DataFrame, n: int, low: tuple, high: tuple, whole_box: bool, footprint: Footprint | None, block: float | None) -> DataFrame:
+    spark = points.sparkSession
+    ensure_checkpoints(spark)
+    a, b = bounds(everything)
+    edge = typical(a, b, n, 2.0)
+    block = block or typical(a, b, n, BLOCK_POINTS)
+    inside = spark.sparkContext.broadcast(footprint.kernel() if footprint else None)
+    left, halo, done = points, block / 2.0, None
+    while True:
+        own_halo = halo  # the round's own name: the kernel runs before the next round changes halo
+
+        def kernel(key, own: pa.Table, near: pa.Table) -> pa.Table:
+            return _block_cells(own, near, edge, known_box([k.as_py() for k in key], block, own_halo, a, b), low, high, whole_box, inside.value)
+
+        keyed = with_cell(left, block).checkpoint()
+        if keyed.isEmpty():
+            return done
+        near = with_halo(everything, keyed, block, own_halo).select(*CELL_KEY, *(F.col(c).alias(c) for c in ("gal", *XYZ)))  # columns of its own: the points are on both sides
+        out = keyed.groupBy(*CELL_KEY).cogroup(near.groupBy(*CELL_KEY)).applyInArrow(kernel, f"{SCHEMA}, unfinished boolean").checkpoint()
+        found = out.filter("not unfinished").drop("unfinished")
+        done = found if done is None else done.unionByName(found)
+        left = points.join(out.filter("unfinished").select("gal"), "gal", "left_semi")
+        halo *= 2.0
+
+
+def voronoi(points: DataFrame, low, high, footprint: Footprint | None = None, whole_box: bool = False, images: DataFrame | None = None, max_points: int = BROADCAST_POINTS, block: float | None = None) -> DataFrame:
     """gal, volume, bounded, valid, neighbours (gal, area, polygon of the shared face) of each point (gal, x, y, z).
 
     ``whole_box``: the box is the survey, and its sides are sides of cells. ``images``:
@@ -164,7 +208,7 @@ def voronoi(points: DataFrame, low, high, footprint: Footprint | None = None, wh
     everything = points if images is None else points.unionByName(images.select(F.col("gal").cast("long").alias("gal"), *XYZ))
     n = everything.count()
     if n > max_points:
-        raise ValueError(f"{n} points; cut the survey into boxes of at most {max_points}, with images of the points around each")
+        return _by_blocks(points, everything, n, tuple(low), tuple(high), whole_box, footprint, block)
     table = everything.toArrow()
     xyz = np.stack([np.asarray(table.column(c)) for c in XYZ], axis=1) if n else np.zeros((0, 3))
     edge = typical(low, high, max(n, 1), 2.0)

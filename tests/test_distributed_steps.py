@@ -81,3 +81,36 @@ def test_the_growing_rule():
     second = chance(9.0, 0.0) > chance(9.0, 2.0) * chance(2.1, 2.0)
     assert got == ([0] if first else [0, 1, 2] if second else [0, 1, 2, 3])
     assert prune._grown({"groups": [[4]], "overflow": [3.0, 0.0], "mvol": 3.0}, [0] * 5, {}) == [4]
+
+
+def test_cells_in_blocks(spark):
+    """The same volumes and neighbours for one region and for many blocks, periodic images included."""
+    from lacuna.operators.neighbors import periodic_images
+    from lacuna.operators.voronoi import voronoi
+
+    rng = np.random.default_rng(11)
+    rows = [(k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 10, (160, 3)))]
+    df = spark.createDataFrame(rows, "gal long, x double, y double, z double").repartition(3)
+    images = periodic_images(df, (10.0, 10.0, 10.0), 5.0).filter("image").drop("image")
+
+    def cells(**options):
+        found = voronoi(df, [-10.0] * 3, [20.0] * 3, images=images, **options).collect()
+        return {r["gal"]: (round(r["volume"], 9), sorted((n["gal"], round(n["area"], 9)) for n in r["neighbours"])) for r in found}
+
+    whole = cells()
+    assert cells(max_points=100, block=4.0) == whole
+    assert abs(sum(v for v, _ in whole.values()) - 1000.0) < 1e-6
+
+
+def test_halos_hold_what_is_within_reach(spark):
+    from lacuna.operators.grid import CELL_KEY
+    from lacuna.operators.growth import with_halo
+
+    rng = np.random.default_rng(1)
+    pts = rng.uniform(-20, 20, (300, 3))
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "x double, y double, z double")
+    blocks = [(0, 0, 0), (-2, 1, 3), (3, 3, -4)]
+    got = with_halo(df, spark.createDataFrame(blocks, ", ".join(f"{k} long" for k in CELL_KEY)), 5.0, 3.0)
+    found = {(tuple(r[k] for k in CELL_KEY), r["x"]) for r in got.collect()}
+    want = {(b, float(p[0])) for b in blocks for p in pts if all(5 * k - 3 <= c < 5 * (k + 1) + 3 for k, c in zip(b, p, strict=True))}
+    assert found == want
