@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,11 @@ from lacuna.operators import prune
 from lacuna.operators import watershed as ws
 from lacuna.operators.grid import XYZ, bounds
 from lacuna.operators.mask import Footprint, InsidePixels
-from lacuna.operators.neighbors import periodic_images
+from lacuna.operators.neighbors import k_nearest, periodic_images
 from lacuna.operators.select import redshift_cut
-from lacuna.operators.voronoi import adjacency, horizon, voronoi
+from lacuna.operators.voronoi import adjacency, horizon, triangles, voronoi
 from lacuna.session import ensure_checkpoints
+from lacuna.sources.tables import kept_stage
 
 
 @dataclass
@@ -53,20 +55,51 @@ class WatershedConfig:
 
 
 class Watershed:
-    """Runs the stages on galaxies: gal and x, y, z (``xyz``) or ra, dec, redshift, and rabsmag if there is a limit."""
+    """Runs the stages on galaxies: gal and x, y, z (``xyz``) or ra, dec, redshift, and rabsmag if there is a limit.
 
-    def __init__(self, galaxies: DataFrame, config: WatershedConfig | None = None):
+    ``stages``: a folder that keeps each stage's tables; what it holds already isn't computed again.
+    """
+
+    def __init__(self, galaxies: DataFrame, config: WatershedConfig | None = None, stages: str | None = None):
         self.config = config or WatershedConfig()
-        ensure_checkpoints(galaxies.sparkSession)
-        self.galaxies = self._catalogue(galaxies).checkpoint()
+        spark = galaxies.sparkSession
+        ensure_checkpoints(spark)
+        stage = functools.partial(kept_stage, spark, stages)
+        self.galaxies = stage("catalogue", lambda: self._catalogue(galaxies))
+        if not hasattr(self, "footprint"):  # the catalogue was read: its mask is made again, from the galaxies
+            self._catalogue(galaxies)
         self.kept = self.galaxies.filter("in_mask").select("gal", *XYZ)
-        self.cells = self._tessellate().checkpoint()
-        self.edges = adjacency(self.cells).checkpoint()
+        self.cells = stage("cells", self._tessellate)
+        self.edges = stage("edges", lambda: adjacency(self.cells))
         self.hzn = horizon(self.cells, self.edges)
-        self.members, self.zones = ws.zones(self.cells, self.edges, self.hzn)
-        self.links = ws.zone_links(self.members, self.edges).checkpoint()
+        made = functools.lru_cache(lambda: ws.zones(self.cells, self.edges, self.hzn))
+        self.members, self.zones = stage("members", lambda: made()[0]), stage("zones", lambda: made()[1])
+        self.links = stage("links", lambda: ws.zone_links(self.members, self.edges))
         self.voids = ws.void_hierarchy(self.zones, self.links)
 
+    def tracers(self) -> DataFrame:
+        """gal, nnls: a galaxy that the cells are built on names itself, any other has -1."""
+        return self.galaxies.select("gal", F.when(F.col("in_mask"), F.col("gal")).otherwise(-1).alias("nnls"))
+
+    def pictures(self, zonevoid: DataFrame) -> dict[str, DataFrame]:
+        """Tables ``triangle`` (void, normal n_x.., corners p1_x.. p3_z of the surfaces of zones in voids) and ``galviz`` (gid, g2v: the largest void of a galaxy's zone, g2v2: that of the nearest other galaxy)."""
+        void = zonevoid.select("zone", F.col("void1").alias("void"))
+        zone_of = self.members.select("gal", "zone")
+        sides = triangles(self.cells).join(zone_of.withColumnRenamed("gal", "src").withColumnRenamed("zone", "z1"), "src").join(zone_of.withColumnRenamed("gal", "dst").withColumnRenamed("zone", "z2"), "dst")
+        outer = sides.filter("z1 >= 0 and z1 <> z2").join(void.withColumnRenamed("zone", "z1"), "z1").filter("void <> -1")
+        centre = self.kept.select(F.col("gal").alias("src"), *XYZ)
+        outer = outer.join(centre, "src")
+        u, v = ([F.col(p)[k] - F.col("p1")[k] for k in range(3)] for p in ("p2", "p3"))
+        cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        size = F.sqrt(sum((c * c for c in cross), F.lit(0.0)))
+        outward = F.signum(sum((c * (F.col("p1")[k] - F.col(x)) for k, (c, x) in enumerate(zip(cross, XYZ, strict=True))), F.lit(0.0)))
+        normal = [F.coalesce(F.try_divide(c * outward, size), F.lit(0.0)).alias(f"n_{x}") for c, x in zip(cross, XYZ, strict=True)]
+        triangle = outer.select("void", *normal, *(F.col(p)[k].alias(f"{p}_{x}") for p in ("p1", "p2", "p3") for k, x in enumerate(XYZ)))
+        own = self.members.join(void, "zone", "left").select("gal", F.coalesce("void", F.lit(-1).cast("long")).alias("void"))
+        other = k_nearest(self.kept, self.kept, 2).filter("gal <> neighbour").groupBy("gal").agg(F.min_by("neighbour", "rank").alias("near"))
+        pair = self.kept.select("gal").join(own, "gal", "left").join(other, "gal", "left").join(own.select(F.col("gal").alias("near"), F.col("void").alias("g2v2")), "near", "left")
+        return {"triangle": triangle, "galviz": pair.select(F.col("gal").alias("gid"), F.coalesce("void", F.lit(-1)).alias("g2v"), F.coalesce("g2v2", F.lit(-1)).alias("g2v2"))}
+
     def _catalogue(self, galaxies: DataFrame) -> DataFrame:
         c = self.config
         if c.xyz or c.periodic:

@@ -65,26 +65,45 @@ class Catalog:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     info: dict = field(default_factory=dict)
+    columns: dict[str, list[str]] = field(default_factory=dict)  # column names as they are stored
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name.lower()]
 
-    def save(self, path: str) -> None:
-        spark = next(iter(self.tables.values())).sparkSession
+    def update(self, spark: SparkSession, path: str) -> None:
+        """Add tables and header values to the catalogue at ``path``, or start one there; tables of the same name are replaced, the others stay."""
+        if not exists(spark, f"{path}/header"):
+            self.save(path, spark)
+            return
+        head = json.loads(spark.read.text(f"{path}/header").first()["value"])
         for name, table in self.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name.lower()}")
-        info = {k: header_number(v) if isinstance(v, float) else v for k, v in self.info.items()}
-        spark.createDataFrame([(json.dumps({"tables": sorted(n.lower() for n in self.tables), "info": info}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+        self._head(spark, path, sorted({*head["tables"], *(n.lower() for n in self.tables)}), head["info"] | self._values())
+
+    def _values(self) -> dict:
+        return {k: header_number(v) if isinstance(v, float) else v for k, v in self.info.items()}
+
+    @staticmethod
+    def _head(spark: SparkSession, path: str, names: list[str], info: dict) -> None:
+        spark.createDataFrame([(json.dumps({"tables": names, "info": info}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        spark = spark or next(iter(self.tables.values())).sparkSession
+        for name, table in self.tables.items():
+            stored = self.columns.get(name.lower())
+            (table.toDF(*stored) if stored and [c.lower() for c in stored] == table.columns else table).write.mode("overwrite").parquet(f"{path}/{name.lower()}")
+        self._head(spark, path, sorted(n.lower() for n in self.tables), self._values())
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Catalog:
-        """Column names in lower case."""
+        """Column names in lower case; those that are stored are kept, and :meth:`save` writes them back."""
         head = json.loads(spark.read.text(f"{path}/header").first()["value"])
-        tables = {}
+        tables, columns = {}, {}
         for name in head["tables"]:
             table = spark.read.parquet(f"{path}/{name}")
+            columns[name] = table.columns
             tables[name] = table.toDF(*(c.lower() for c in table.columns))
-        return cls(tables, head["info"])
+        return cls(tables, head["info"], columns)
 
     def add_galaxies(self, galaxies: DataFrame, order: list[str], names: dict[str, str] | None = None, flags: DataFrame | None = None, omega_m: float = 0.3, h: float = 1.0) -> None:
         """Attach galaxies with ``gal`` numbered by the declared order, Rgal and x, y, z where missing, and void flags if given."""
@@ -99,6 +118,23 @@ class Catalog:
         self.tables["galaxies"] = galaxies if flags is None else galaxies.join(flags, "gal")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written a table at ``path`` to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def kept_stage(spark: SparkSession, folder: str | None, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of a run's folder: read if an earlier run wrote it, else made and written. Without a folder it is checkpointed."""
+    if folder is None:
+        ensure_checkpoints(spark)
+        return make().checkpoint()
+    path = f"{folder}/{name}"
+    if not exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_row_numbers(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Rows numbered from 0 in the order of the columns, without bringing them to one task: counts of ranges, then places within them."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
@@ -127,8 +163,7 @@ def in_batches(work: DataFrame, id_col: str, batch: str, path: str, run: Callabl
     batches = [r[0] for r in work.select(batch).distinct().orderBy(batch).collect()]
     for b in batches:
         done = f"{path}/{batch}={b}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{done}/_SUCCESS")
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        if not exists(spark, done):
             run(work.filter(F.col(batch) == F.lit(b))).write.mode("overwrite").parquet(done)
     return spark.read.option("basePath", path).parquet(path)
 
