@@ -27,12 +27,6 @@ def comoving_distance(z: Column, omega_m: float = 0.3, h: float = 1.0, c: float
     return total * z * (c / (100.0 * h))
 
 
-def comoving_distance_sql(z: str, omega_m: float = 0.3, h: float = 1.0, c: float = C_SPHERES) -> str:
-    """The same quadrature in ANSI SQL."""
-    terms = " + ".join(f"({w!r}::double) / sqrt({omega_m!r}::double * pow({z} * {x!r}::double + 1.0::double, 3) + {1.0 - omega_m!r}::double)" for x, w in _quadrature())
-    return f"(({terms}) * {z} * {c / (100.0 * h)!r}::double)"
-
-
 def redshift_at(distance: Column, omega_m: float = 0.3, h: float = 1.0, c: float = C_WATERSHED, steps: int = 8) -> Column:
     """Inverse of :func:`comoving_distance` by Newton's method from the linear law; converges to rounding for redshifts of surveys (below about 5)."""
     unit = c / (100.0 * h)

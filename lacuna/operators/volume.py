@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +76,14 @@ def effective_radii(holes: DataFrame, samples: int = SAMPLES, seed: int = 1) ->
     return v.select("void", r.alias("r_eff"), (F.col("union_error") / (4.0 * math.pi * r * r)).alias("r_eff_uncert"))
 
 
-def volume_of_spheres(spheres: DataFrame, samples: int = SAMPLES, seed: int = 1) -> pd.DataFrame:
-    """The one row of :func:`sphere_volumes` for all spheres together."""
-    return sphere_volumes(spheres.withColumn("g", F.lit(0)), "g", samples, seed).drop("g").toPandas()
+def volume_of_spheres(spheres: DataFrame, samples: int = SAMPLES, seed: int = 1) -> DataFrame:
+    """The one row of :func:`sphere_volumes` for all spheres together: the sample is a table that is joined with the spheres, so none of them meets all points. Zeros without spheres."""
+    low, high = bounding_box(spheres)
+    row = spheres.agg(F.count("*").alias("n"), F.max("radius").alias("r")).first()
+    box = math.prod(b - a for a, b in zip(low, high, strict=True))
+    part = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
+    points = spheres.sparkSession.range(samples).select("id", *((F.lit(a) + part(k) * (b - a)).alias(c) for k, (c, a, b) in enumerate(zip(XYZ, low, high, strict=True))))
+    held = sphere_members(points, spheres.select(*XYZ, "radius"), row["r"] or 0.0).groupBy("id").agg(F.count("*").alias("c"))
+    shares = held.agg((F.count("*") / float(samples)).alias("p"), (F.count_if(F.col("c") == row["n"]) / float(samples)).alias("q"))
+    spread = lambda c: F.sqrt(F.col(c) * (1.0 - F.col(c)) / float(samples)) * box
+    return shares.select((F.col("p") * box).alias("union"), spread("p").alias("union_error"), (F.col("q") * box).alias("common"), spread("q").alias("common_error"))

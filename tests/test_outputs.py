@@ -89,3 +89,13 @@ def test_stages_and_pictures(spark, tmp_path, box, monkeypatch):
     for g in list(seen)[:40]:
         near = min((o for o in places if o != g), key=lambda o: (float(((places[o] - places[g]) ** 2).sum()), o))
         assert seen[g]["g2v"] == void.get(own[g], -1) and seen[g]["g2v2"] == void.get(own[near], -1)
+
+
+def test_volume_of_all_spheres(spark):
+    from lacuna.operators.volume import volume_of_spheres
+
+    two = spark.createDataFrame([(0.0, 0.0, 0.0, 2.0), (1.0, 0.0, 0.0, 2.0)], "x double, y double, z double, radius double")
+    ball, lens = 4 / 3 * math.pi * 8, math.pi * (4 * 2 + 1) * (2 * 2 - 1) ** 2 / 12
+    r = volume_of_spheres(two, 20_000).first()
+    assert abs(r["common"] - lens) < 4 * r["common_error"] and abs(r["union"] - (2 * ball - lens)) < 4 * r["union_error"]
+    assert volume_of_spheres(two.limit(0), 100).first()["union"] == 0.0
