@@ -82,6 +82,56 @@ def test_suffix_dedup_of_shared_passages(spark):
     same(rows(suffix_dedup.substring_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.substring_dedup(plain))
 
 
+def test_equal_hashes_of_different_spans(monkeypatch):
+    """Spans are told apart by their bytes where hashes don't."""
+    data = np.frombuffer(b"abcabdabc" + bytes(tb.PAD), np.uint8)
+    starts, lens = np.array([0, 3, 6]), np.array([3, 3, 3])
+    for f in (tb.hash_spans, lambda d, s, n: np.full(len(s), 7, np.uint64)):
+        monkeypatch.setattr(tb, "hash_spans", f)
+        keys = tb.span_keys(data, starts, lens)
+        assert keys[0] == keys[2] != keys[1]
+
+
+def test_order_of_keys():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 2**64 - 1, 1000, np.uint64), np.repeat(rng.integers(0, 50, 300, np.uint64), 3), np.arange(100, 0, -1).astype(np.uint64), np.zeros(0, np.uint64), np.full(1, 2**64 - 1, np.uint64)):
+        assert np.array_equal(tb.order_of(keys), np.argsort(keys, kind="stable"))
+
+
+def test_cleaned_bytes(spark):
+    """What is left is the digest's text."""
+    shared = "a passage of more than fifty bytes that two documents share, byte by byte. "
+    df = spark.createDataFrame([(1, shared + "one"), (2, "x " + shared + "two"), (3, None), (3, "short"), (None, shared)], "doc_id long, text string")
+    kept = {(r["doc_id"], bytes(r["kept"] or b"")) for r in suffix_dedup.cleaned(df).collect()}
+    assert kept == {(1, (shared + "one").encode()), (2, b"x two"), (3, b""), (3, b"short"), (None, shared.encode())}
+    want = {(i, brute.sha(k)) for i, k in kept}
+    assert set(rows(suffix_dedup.substring_dedup(df), "doc_id", "kept_sha256")) == want
+
+
+def test_very_long_texts(spark):
+    """Longer than a chunk, a shard and a block: each operator reads it whole."""
+    rng = np.random.default_rng(15)
+    words = np.array([f"w{k}" for k in range(3000)])
+    long = " ".join(rng.choice(words, 950_000))
+    assert len(long) > 5_000_000
+    tail = " ".join(long.split(" ")[-80:])
+    plain = [(1, long), (2, tail), (3, long + " x"), (4, "password = " + long[:200].replace(" ", "q"))]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(df).collect()} == {1: True, 2: True, 3: True, 4: True}
+    gone = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.substring_dedup(df).collect()}
+    assert gone[1] == 0 and gone[2] == len(tail) and gone[3] == len(long)
+    hit = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(df, spark.createDataFrame([(1, tail)], "item_id long, text string")).collect()}
+    n = len(brute.WORD.findall(tail))
+    assert hit[1] == hit[2] == hit[3] == n
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    from tokenizers import Tokenizer
+
+    assert {r["doc_id"]: r["n_tokens"] for r in token_store.token_store(df, WORDS).collect()}[1] == len(Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids) + 1
+    base = {r["doc_id"]: r["n_tokens"] for r in lm_score.lm_score(df).collect()}
+    assert base[1] == 950_001
+    assert "assign" in {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}[4]
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(1)
     for length in (1, 2, 5, 8):
