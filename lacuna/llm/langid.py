@@ -6,6 +6,9 @@ phrases that occur in the sample; phrases times log2 of the sample's length is t
 code length of the text given the language, and the shortest code wins. The
 automaton is completed to a table of next states and phrase ends, so texts are
 parsed in step, many at once, by array gathers.
+
+Long texts are cut into blocks that are parsed at once, as if a phrase started with each. Then, block by block, the parse
+goes on from where the block before truly ended until it meets the other, which is after some symbols; so phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
 
+BLOCK = 1024  # symbols
 SAMPLE_DOCS = 400  # labelled rows a language, about
 SAMPLE_PIECE = 600  # code points taken from each, at a random place
 SAMPLE_SYMBOLS = 24_000  # a language
@@ -118,21 +122,52 @@ class Model:
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
-        size = np.diff(bounds)
+        lens = np.diff(bounds)
+        blocks = -(-lens // BLOCK)
+        owner = np.repeat(np.arange(len(lens)), blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        start = bounds[owner] + nth * BLOCK
+        size = np.minimum(BLOCK, bounds[owner + 1] - start)
+        symbols = symbols.astype(self.table.dtype)
+        count, state = self._from_roots(symbols, start, size)
+        by_nth = np.argsort(nth, kind="stable")
+        first = np.searchsorted(nth[by_nth], np.arange(int(blocks.max()) + 1 if len(blocks) else 0))
+        for a, b in zip(first[1:].tolist(), [*first[2:].tolist(), len(by_nth)], strict=False):
+            self._go_on(symbols, start, size, by_nth[a:b], count, state)
+        out = np.zeros((len(lens), len(self.langs)), np.int64)
+        np.add.at(out, owner, count)
+        some = np.flatnonzero(blocks)
+        out[some] += state[np.cumsum(blocks)[some] - 1] != self.roots
+        return out
+
+    def _from_roots(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block if one starts with it, and the states behind it."""
         order = np.argsort(-size, kind="stable")
-        start, size = bounds[:-1][order], size[order]
-        state = np.tile(self.roots, (len(start), 1))
+        at, long = start[order], size[order]
+        state = np.tile(self.roots, (len(order), 1))
         count = np.zeros_like(state)
-        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), "right")
-        symbols = symbols.astype(state.dtype)
-        for i, k in enumerate(active.tolist()):  # one symbol of every text that is long enough
-            got = self.table[state[:k] + symbols[start[:k] + i, None]]
+        active = np.searchsorted(-long, -np.arange(1, int(long[0]) + 1 if len(long) else 1), "right")
+        for i, k in enumerate(active.tolist()):
+            got = self.table[state[:k] + symbols[at[:k] + i, None]]
             count[:k] += got & 3
             state[:k] = got >> 2
-        count += state != self.roots
-        out = np.zeros((len(order), len(self.langs)), np.int64)
-        out[order] = count
-        return out
+        counts, states = np.empty_like(count), np.empty_like(state)
+        counts[order], states[order] = count, state
+        return counts, states
+
+    def _go_on(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray, count: np.ndarray, state: np.ndarray) -> None:
+        """Put right the blocks ``own``, whose texts' blocks before are right: from the state behind that block and from the root, until both parses meet; from there on they are one."""
+        true, guess = state[own - 1], np.tile(self.roots, (len(own), 1))
+        left, i = np.arange(len(own)), 0
+        while len(left):
+            apart = (true[left] != guess[left]).any(axis=1) & (size[own[left]] > i)
+            left = left[apart]
+            read = symbols[start[own[left]] + i, None]
+            a, b = self.table[true[left] + read], self.table[guess[left] + read]
+            count[own[left]] += (a & 3) - (b & 3)
+            true[left], guess[left] = a >> 2, b >> 2
+            i += 1
+        state[own] = np.where(true == guess, state[own], true)
 
     def predict(self, chunk: tb.Chunk) -> tuple[list[str], np.ndarray]:
         symbols, kept, letters = self.symbols(chunk.data)
