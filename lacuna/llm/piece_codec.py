@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
 
+CHUNK_BYTES = 1 << 18  # at a time: the source of each byte takes eight
 META = "▁".encode()  # what a space becomes
 #: Fields of a normalizer specification that leaves texts as they are: its name, and no prefix, no removal of spaces, no marks for them.
 IDENTITY = b"\x0a\x08identity\x18\x00\x20\x00\x28\x00"
@@ -273,14 +274,14 @@ def codec(path: str) -> PieceCodec:
 
 def _digest(batches, path: str):
     own = codec(path)
-    for chunk in tb.chunks(batches):
+    for chunk in tb.chunks(batches, CHUNK_BYTES):
         columns = list(zip(*own.digests(chunk), strict=True))
         yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
 
 def _pieces(batches, path: str):
     own = codec(path)
-    for chunk in tb.chunks(batches):
+    for chunk in tb.chunks(batches, CHUNK_BYTES):
         ids, counts, flat = own.encode(chunk)
         at = tb.offsets(counts)
         lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for v in (ids.astype(np.int32), np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]))]
