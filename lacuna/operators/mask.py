@@ -17,6 +17,7 @@ from lacuna.functions import healpix, sky
 from lacuna.operators.grid import XYZ
 
 BROADCAST_CELLS = 4_000_000
+CLOSE = 1e-6  # of a cell, to its border
 
 
 @dataclass
@@ -60,7 +61,7 @@ class Inside:
         ra = math.degrees(math.atan(y / x)) if x else 90.0 * (y > 0) - 90.0 * (y < 0)
         ra += 180.0 * (x < 0 and y != 0)
         ra += 360.0 * (ra < 0)
-        i, j = int(ra * self.resolution), int(math.degrees(math.asin(z / r)) * self.resolution) + 90 * self.resolution
+        i, j = int(ra % 360.0 * self.resolution), int(math.degrees(math.asin(z / r)) * self.resolution) + 90 * self.resolution
         return 0 <= i < self.bitmap.shape[0] and 0 <= j < self.bitmap.shape[1] and bool(self.bitmap[i, j])
 
 
@@ -89,7 +90,8 @@ class Footprint:
             return points.withColumn(name, test)
         r2 = x * x + y * y + z * z
         near = (r2 > self.rmin * abs(self.rmin)) & (r2 < self.rmax * abs(self.rmax)) if self.strict else (r2 >= self.rmin * abs(self.rmin)) & (r2 <= self.rmax * abs(self.rmax))
-        keyed = points.withColumns(dict(zip(("__ra", "__dec"), mask_cell(*sky.mask_angles(x, y, z), self.resolution), strict=True)))
+        angled = points.withColumns(dict(zip(("__a", "__d"), sky.mask_angles(x, y, z), strict=True)))
+        keyed = angled.withColumns(dict(zip(("__ra", "__dec"), place_cell(x, y, z, F.col("__a"), F.col("__d"), self.resolution), strict=True)))
         cells = self.cells.select(F.col("ra_idx").alias("__ra"), F.col("dec_idx").alias("__dec"), F.lit(True).alias("__in"))
         if 360 * 180 * self.resolution**2 <= BROADCAST_CELLS:
             cells = F.broadcast(cells)
@@ -129,6 +131,22 @@ def mask_cell(ra: Column, dec: Column, resolution: int) -> tuple[Column, Column]
     return (F.pmod(ra, F.lit(360.0)) * resolution).cast("int"), (dec * resolution).cast("int") + 90 * resolution
 
 
+def place_cell(x: Column, y: Column, z: Column, ra: Column, dec: Column, resolution: int) -> tuple[Column, Column]:
+    """:func:`mask_cell` of a place with these angles; next to a border the side is taken from y / x and z / r, as the angles' last bits differ by library."""
+    n = resolution
+    around, up = (F.split(F.lit(limits), ",").cast("array<double>") for limits in sky.cell_limits(n))
+    plain_a, plain_d = mask_cell(ra, dec, n)
+    turned, raised = F.round(ra * n).cast("int"), F.round(F.abs(dec) * n).cast("int")
+    half = F.when(x < 0, 1).when(y < 0, 2).otherwise(0)
+    border = F.when((half == 2) & (turned == 0), 360 * n).otherwise(turned)
+    a = F.pmod(F.when(F.try_divide(y, x) >= F.get(around, border + half), border).otherwise(border - 1), F.lit(360 * n))
+    height = F.abs(F.try_divide(z, F.sqrt(x * x + y * y + z * z)))
+    d = F.when(height >= F.get(up, raised), raised).otherwise(raised - 1)
+    by_a = (x != 0) & (y != 0) & (F.abs(ra * n - turned) < CLOSE)
+    by_d = (raised > 0) & (F.abs(F.abs(dec) * n - raised) < CLOSE)
+    return F.when(by_a, a).otherwise(plain_a), F.when(by_d, F.when(dec < 0, -d).otherwise(d) + 90 * n).otherwise(plain_d)
+
+
 def mask_resolution(r_max: float, min_maximal_radius: float = 10.0) -> int:
     return 1 + int(math.pi / 180.0 * r_max / min_maximal_radius)
 

@@ -33,7 +33,7 @@ def sky_points(points: DataFrame, omega_m: float = 0.3, h: float = 1.0) -> DataF
     if not {"ra", "dec"} <= columns or not {"Rgal", "redshift"} & columns:
         raise ValueError("give x, y, z, or ra, dec and Rgal or redshift")
     r = F.col("Rgal") if "Rgal" in columns else cosmology.comoving_distance(F.col("redshift"), omega_m, h)
-    return points.withColumns(dict(zip(XYZ, sky.to_xyz(F.col("ra"), F.col("dec"), r), strict=True)))
+    return points.withColumn("__p", sky.place(F.col("ra"), F.col("dec"), r)).withColumns({c: F.col(f"__p.{c}") for c in XYZ}).drop("__p")
 
 
 @dataclass
