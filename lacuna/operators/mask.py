@@ -107,7 +107,7 @@ class Footprint:
         around = points.select(id_col, *XYZ).withColumn("__s", F.explode(steps))
         moved = around.select(id_col, *((F.col(c) + F.col(f"__s.__d{c}")).alias(c) for c in XYZ))
         outside = self.flag(moved, "__inside").filter("not __inside").select(F.col(id_col).alias("__out")).distinct()
-        return points.join(outside, points[id_col] == F.col("__out"), "left").withColumn(name, F.col("__out").isNotNull()).select(*points.columns, name)
+        return points.join(outside.hint("merge"), points[id_col] == F.col("__out"), "left").withColumn(name, F.col("__out").isNotNull()).select(*points.columns, name)
 
     def kernel(self) -> Inside:
         """The footprint for kernels; at most 360 n by 180 n bytes."""

@@ -21,7 +21,7 @@ def void_flags(points: DataFrame, holes: DataFrame, footprint: Footprint, edge_d
     points = points.select(id_col, *XYZ)
     flagged = footprint.near_edge(footprint.flag(points, "inside"), edge_distance, "near", id_col)
     inner = in_any_sphere(points, holes, id_col).withColumn("__v", F.lit(True))
-    joined = flagged.join(inner, id_col, "left")
+    joined = flagged.join(inner.hint("merge"), id_col, "left")
     return joined.select(id_col, F.when(F.col("__v"), 1).when(~F.col("inside"), 9).when(F.col("near"), 2).otherwise(0).alias("vflag"))
 
 
@@ -39,7 +39,7 @@ def watershed_flags(points: DataFrame, galzone: DataFrame, zonevoid: DataFrame,
     flagged = footprint.near_edge(footprint.flag(points, "inside"), edge_distance, "near", id_col)
     near = k_nearest(points, galzone, 1, id_col, "gal").select(id_col, F.col("neighbour").alias("__g"))
     own = with_void(galzone, zonevoid).select(F.col("gal").alias("__g"), "in_void")
-    joined = flagged.join(near.join(own, "__g"), id_col)
+    joined = flagged.join(near.join(own.hint("merge"), "__g").hint("merge"), id_col)
     clear = F.col("inside") & ~F.col("near")
     in_void = F.when(~clear, -1).otherwise(1) if flag_void_near_edge else F.lit(1)
     return joined.select(id_col, F.when(F.col("in_void"), in_void).when(~F.col("inside"), 9).when(F.col("near"), 2).otherwise(0).alias("vflag"))
@@ -81,13 +81,13 @@ def in_sphere_voids(points: DataFrame, holes: DataFrame, mode: str = "any", id_c
     if mode == "nearest":
         return nearest_sphere(points, holes, id_col, "hole").select(id_col, F.col("inside").alias("in_void"))
     inner = in_any_sphere(points, holes, id_col).withColumn("__v", F.lit(True))
-    return points.select(id_col).join(inner, id_col, "left").select(id_col, F.coalesce("__v", F.lit(False)).alias("in_void"))
+    return points.select(id_col).join(inner.hint("merge"), id_col, "left").select(id_col, F.coalesce("__v", F.lit(False)).alias("in_void"))
 
 
 def in_watershed_voids(points: DataFrame, galzone: DataFrame, zonevoid: DataFrame, id_col: str = "id") -> DataFrame:
     """id, in_void of the nearest galaxy."""
     near = k_nearest(points.select(id_col, *XYZ), galzone, 1, id_col, "gal").select(id_col, F.col("neighbour").alias("__g"))
-    return near.join(with_void(galzone, zonevoid).select(F.col("gal").alias("__g"), "in_void"), "__g").select(id_col, "in_void")
+    return near.join(with_void(galzone, zonevoid).select(F.col("gal").alias("__g"), "in_void").hint("merge"), "__g").select(id_col, "in_void")
 
 
 def overlap_points(spark, footprint: Footprint, low, high, step: float = 1.0, offset: float = 0.5, edge_buffer: float = EDGE_BUFFER) -> DataFrame:
@@ -100,7 +100,7 @@ def overlap_points(spark, footprint: Footprint, low, high, step: float = 1.0, of
 
 def overlap(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
     """One row of counts and fractions of points in both catalogues' voids, in one's only, in neither's (a, b: id, in_void)."""
-    both = a.select(id_col, F.col("in_void").alias("a")).join(b.select(id_col, F.col("in_void").alias("b")), id_col)
+    both = a.select(id_col, F.col("in_void").alias("a")).join(b.select(id_col, F.col("in_void").alias("b")).hint("merge"), id_col)
     counts = both.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("a") & F.col("b")).alias("both"),
@@ -123,4 +123,4 @@ def combine_overlaps(*counts: DataFrame) -> DataFrame:
 
 def common_void_galaxies(a: DataFrame, b: DataFrame, id_col: str = "gal") -> DataFrame:
     """Ids that both catalogues flag 1."""
-    return a.filter("vflag = 1").select(id_col).join(b.filter("vflag = 1").select(id_col), id_col, "left_semi")
+    return a.filter("vflag = 1").select(id_col).join(b.filter("vflag = 1").select(id_col).hint("merge"), id_col, "left_semi")

@@ -1,5 +1,8 @@
 """Neighbour queries as equi-joins on grid cells: k nearest, radius, containment and overlap.
 
+Both sides of such joins may be large, and Spark takes exploded or well compressed ones for small: they are marked to be
+merged, so none is collected on the driver for a broadcast.
+
 A join on cells finds every pair closer than one cell edge. The k nearest are exact once the k-th
 is no farther than the edge; rows for which it isn't are searched again with doubled edges, so
 each pass keeps only the rows that still need it.
@@ -42,7 +45,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """All pairs no farther apart than ``radius``, with ``d2``; the right side's columns carry ``_b``."""
     a = with_cell(left, radius)
     b = with_neighbours(_side(right, "_b"), radius, coords=tuple(f"{c}_b" for c in XYZ))
-    found = a.join(b, CELL_KEY).withColumn("d2", _distance2())
+    found = a.join(b.hint("merge"), CELL_KEY).withColumn("d2", _distance2())
     return found.filter(F.col("d2") <= radius * radius).drop(*CELL_KEY)
 
 
@@ -60,14 +63,14 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str = "ga
     span = math.sqrt(sum((b - a) ** 2 for a, b in zip(low, high, strict=True))) + 1e-9
     for _ in range(PASSES):
         last = edge >= span
-        near = with_neighbours(left, edge).join(with_cell(right, edge, tuple(f"{c}_b" for c in XYZ)), CELL_KEY).withColumn("d2", _distance2())
+        near = with_neighbours(left, edge).join(with_cell(right, edge, tuple(f"{c}_b" for c in XYZ)).hint("merge"), CELL_KEY).withColumn("d2", _distance2())
         ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q", "rank", "neighbour", "d2")
         if last:
             parts.append(ranked)
             break
         ensure_checkpoints(left.sparkSession)
         ranked = ranked.checkpoint()
-        done = ranked.groupBy("q").agg(F.max("rank").alias("r"), F.max("d2").alias("m")).filter((F.col("r") == k) & (F.col("m") <= edge * edge)).select("q")
+        done = ranked.groupBy("q").agg(F.max("rank").alias("r"), F.max("d2").alias("m")).filter((F.col("r") == k) & (F.col("m") <= edge * edge)).select("q").hint("merge")
         parts.append(ranked.join(done, "q", "left_semi"))
         left = left.join(done, "q", "left_anti")
         if left.isEmpty():
@@ -114,7 +117,7 @@ def nearest_sphere(points: DataFrame, spheres: DataFrame, id_col: str = "gal", s
     """id, sphere_id, inside: the sphere with the nearest centre, and whether it holds the point; a larger one farther off may hold it too."""
     found = k_nearest(points, spheres, 1, id_col, sphere_id)
     radii = spheres.select(F.col(sphere_id).alias("neighbour"), "radius")
-    return found.join(radii, "neighbour").select(id_col, F.col("neighbour").alias(sphere_id), (F.sqrt("d2") < F.col("radius")).alias("inside"))
+    return found.join(radii.hint("merge"), "neighbour").select(id_col, F.col("neighbour").alias(sphere_id), (F.sqrt("d2") < F.col("radius")).alias("inside"))
 
 
 def contained_spheres(spheres: DataFrame, id_col: str = "hole") -> DataFrame:

@@ -166,7 +166,7 @@ class Stacked:
 
 def common_galaxies(a: VoidCatalog, b: VoidCatalog) -> DataFrame:
     """Ids of galaxies that both catalogues have in voids."""
-    return a.void_galaxies().join(b.void_galaxies(), "gal", "left_semi")
+    return a.void_galaxies().join(b.void_galaxies().hint("merge"), "gal", "left_semi")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
