@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lacuna.operators.grid import CELL_KEY, XYZ, bounds, with_cell, with_neighbours
 from lacuna.session import ensure_checkpoints
 
 PASSES = 24
+SWEEP_ROWS = 10_000
+CLEAR = 1e-9  # of the lengths compared: far above rounding
 
 
 def _side(df: DataFrame, suffix: str) -> DataFrame:
@@ -120,13 +125,49 @@ def nearest_sphere(points: DataFrame, spheres: DataFrame, id_col: str = "gal", s
     return found.join(radii.hint("merge"), "neighbour").select(id_col, F.col("neighbour").alias(sphere_id), (F.sqrt("d2") < F.col("radius")).alias("inside"))
 
 
+def _clearly_contained(xyz: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which spheres lie in another by more than rounding can undo. By falling radius; what lies in such a sphere lies in the one that holds it."""
+    out = np.zeros(len(radius), bool)
+    for i in np.argsort(-radius, kind="stable"):
+        if not out[i]:
+            d = np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1))
+            out |= d + radius + CLEAR * (d + np.abs(radius) + abs(radius[i])) < radius[i]
+    return out
+
+
+def _sweep(batches):
+    for batch in batches:
+        for at in range(0, len(batch), SWEEP_ROWS):
+            part = batch.slice(at, SWEEP_ROWS)
+            xyz = np.stack([np.asarray(part.column(c), float) for c in XYZ], axis=1)
+            gone = _clearly_contained(xyz, np.asarray(part.column("radius"), float))
+            yield part.append_column("gone", pa.array(gone))
+
+
 def contained_spheres(spheres: DataFrame, id_col: str = "hole") -> DataFrame:
-    """Ids of the spheres that lie wholly in another (of equal ones, all but the least id)."""
-    largest = spheres.agg(F.max("radius")).first()[0] or 1.0
-    own = spheres.select(id_col, *XYZ, "radius")
-    both = overlapping_spheres(own, own, largest).filter(F.col(id_col) != F.col(f"{id_col}_b"))
-    inside = F.col("d") + F.col("radius") <= F.col("radius_b")
-    return both.filter(inside & ((F.col("radius") < F.col("radius_b")) | (F.col(id_col) > F.col(f"{id_col}_b")))).select(id_col).distinct()
+    """Ids of the spheres that lie wholly in another (of equal ones, all but the least id).
+
+    Batches are swept first: a sphere clearly in another of its batch is contained, and holds nothing that the other doesn't.
+    The rest meet each other by classes of the radius: a sphere in one of a class is no farther from it than the greatest radius there
+    less the least of its own class.
+    """
+    ensure_checkpoints(spheres.sparkSession)
+    own = spheres.select(id_col, *XYZ, F.col("radius").cast("double").alias("radius"))
+    own = own.select(id_col, *(F.col(c).cast("double").alias(c) for c in XYZ), "radius").dropna(subset=[*XYZ, "radius"])
+    swept = own.mapInArrow(_sweep, StructType([*own.schema.fields, StructField("gone", BooleanType())])).checkpoint()
+    left = swept.filter("not gone").drop("gone").withColumn("size", F.when(F.col("radius") > 0, F.floor(F.log2("radius"))).otherwise(-2000))
+    found = swept.filter("gone").select(id_col)
+    sizes = sorted(tuple(r) for r in left.groupBy("size").agg(F.min("radius"), F.max("radius")).collect())  # a row for each doubling of the radius
+    for own_size, least, _ in sizes:
+        for size, _, greatest in sizes:
+            if size >= own_size:
+                small, large = left.filter(F.col("size") == own_size).drop("size"), left.filter(F.col("size") == size).drop("size")
+                reach = max((greatest - least) * (1.0 + CLEAR), greatest * 1e-6, 1e-12)
+                both = pairs_within(small, large, reach).filter(F.col(id_col) != F.col(f"{id_col}_b"))
+                inside = F.sqrt("d2") + F.col("radius") <= F.col("radius_b")
+                tie = (F.col("radius") < F.col("radius_b")) | (F.col(id_col) > F.col(f"{id_col}_b"))
+                found = found.unionByName(both.filter(inside & tie).select(id_col))
+    return found.distinct()
 
 
 def periodic_images(points: DataFrame, sides: tuple[float, float, float], depth: float) -> DataFrame:
