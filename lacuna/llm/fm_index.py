@@ -28,18 +28,37 @@ def dense_ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return ranks, int(ranks[order[-1]]) + 1
 
 
+def _first_symbols(text: np.ndarray, depth: int | None) -> tuple[np.ndarray, int]:
+    """Keys of the first symbols of each suffix, of as many, by powers of two, as are sorted by value, and how many those are."""
+    n = len(text)
+    bits, place, span = (int(text.max()) + 1).bit_length(), max(1, (n - 1).bit_length()), 1
+    keys = text.astype(np.int64) + 1
+    while 2 * span * bits + place <= 63 and (depth is None or 2 * span <= depth) and span < n:
+        longer = keys << (span * bits)
+        longer[: n - span] |= keys[span:]
+        keys, span = longer, 2 * span
+    return keys, span
+
+
 def suffix_ranks(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Rank of each suffix by its first ``depth`` symbols (ties have equal ranks), or by all; a shorter suffix precedes those it begins."""
-    ranks, distinct = dense_ranks(text)
-    span = 1
+    if not len(text):
+        return np.zeros(0, np.int64)
+    keys, span = _first_symbols(text, depth)
+    ranks, distinct = dense_ranks(keys)
     while distinct < len(text) and (depth is None or span < depth):
-        after = np.zeros(len(text), np.int64)
-        after[: max(0, len(text) - span)] = ranks[span:] + 1
-        ranks, distinct = dense_ranks(ranks * (distinct + 1) + after)
+        ranks, distinct = further_ranks(ranks, distinct, span)
         span *= 2
     return ranks
 
 
+def further_ranks(ranks: np.ndarray, distinct: int, span: int) -> tuple[np.ndarray, int]:
+    """Ranks by the first 2 ``span`` symbols from those by the first ``span``, and how many there are."""
+    after = np.zeros(len(ranks), np.int64)
+    after[: max(0, len(ranks) - span)] = ranks[span:] + 1
+    return dense_ranks(ranks * (distinct + 1) + after)
+
+
 class WaveletMatrix:
     """Rank queries over integers of ``bits`` bits."""
 

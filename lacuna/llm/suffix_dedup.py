@@ -8,6 +8,7 @@
 3. A part sorts the suffixes of its distinct contexts and expands intervals of the
    Burrows-Wheeler transform backwards, breadth first: an interval of a string w with a symbol c before it gives that of cw,
    whose right border has a common prefix of length |w| if no shorter one was found before.
+   Borders of classes by the sort's last round but one (32 symbols for 50) have a value from the start, and the expansion begins with those classes.
    Values come in increasing order and the expansion stops at ``LENGTH``: borders without a value
    then join suffixes that share at least that much. The least document of each class goes back to the blocks.
 4. A string is removed in a document with a larger id than the least of its class.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
-from lacuna.llm.fm_index import suffix_ranks
+from lacuna.llm.fm_index import further_ranks, suffix_ranks
 from lacuna.llm.scratch import materialise, release
 
 LENGTH = 50
@@ -159,7 +160,9 @@ def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
     ``text`` starts and ends with 0; 0 also parts its pieces.
     """
     n = len(text)
-    ranks = suffix_ranks(text, 1 << (length - 1).bit_length())
+    begun = max(1, 1 << (length - 1).bit_length() >> 1)  # symbols of the sort's last round but one, so borders with a lesser value are those of its classes
+    classes = suffix_ranks(text, begun)
+    ranks, _ = further_ranks(classes, int(classes.max()) + 1, begun)
     place = max(1, (n - 1).bit_length())
     order = np.sort((ranks << place) | np.arange(n)) & ((1 << place) - 1) if 2 * place <= 63 else np.argsort(ranks, kind="stable")
     rank = np.empty(n, np.int64)
@@ -168,10 +171,14 @@ def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
     symbol = text[order]
     value = np.full(n + 1, -1, np.int16)
     value[n] = 0
-    low, high = np.array([0]), np.array([n])
-    for depth in range(length):
+    classes = classes[order]
+    low = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+    value[low] = begun - 1  # at most
+    high = np.append(low[1:], n)
+    places = np.arange(n)
+    for depth in range(begun, length):
         size = high - low
-        rows = tb.ragged(np.arange(n), low, size)
+        rows = tb.ragged(places, low, size)
         longer = back[rows]
         owner = np.repeat(np.arange(len(low)), size)
         packed = np.sort((longer << 32 | owner)[longer >= 0])
