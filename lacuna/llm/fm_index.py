@@ -12,9 +12,14 @@ from lacuna.llm.textbytes import ragged
 
 def dense_ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 0 of non-negative integer keys, equal for equal keys, and the number of ranks."""
+    return ordered_ranks(keys)[:2]
+
+
+def ordered_ranks(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """:func:`dense_ranks`, and the places of the keys in rising order, of equal ones too."""
     n = len(keys)
     if not n:
-        return np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
     place = max(1, (n - 1).bit_length())
     if int(keys.max()).bit_length() + place <= 63:  # sorting values is much faster than sorting positions
         packed = np.sort((keys.astype(np.int64) << place) | np.arange(n))
@@ -25,7 +30,7 @@ def dense_ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
         ordered = keys[order]
     ranks = np.empty(n, np.int64)
     ranks[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-    return ranks, int(ranks[order[-1]]) + 1
+    return ranks, int(ranks[order[-1]]) + 1, order
 
 
 def _first_symbols(text: np.ndarray, depth: int | None) -> tuple[np.ndarray, int]:
@@ -47,16 +52,16 @@ def suffix_ranks(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     keys, span = _first_symbols(text, depth)
     ranks, distinct = dense_ranks(keys)
     while distinct < len(text) and (depth is None or span < depth):
-        ranks, distinct = further_ranks(ranks, distinct, span)
+        ranks, distinct, _ = further_ranks(ranks, distinct, span)
         span *= 2
     return ranks
 
 
-def further_ranks(ranks: np.ndarray, distinct: int, span: int) -> tuple[np.ndarray, int]:
-    """Ranks by the first 2 ``span`` symbols from those by the first ``span``, and how many there are."""
+def further_ranks(ranks: np.ndarray, distinct: int, span: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Ranks by the first 2 ``span`` symbols from those by the first ``span``, how many there are, and the suffixes in that order."""
     after = np.zeros(len(ranks), np.int64)
     after[: max(0, len(ranks) - span)] = ranks[span:] + 1
-    return dense_ranks(ranks * (distinct + 1) + after)
+    return ordered_ranks(ranks * (distinct + 1) + after)
 
 
 class WaveletMatrix:

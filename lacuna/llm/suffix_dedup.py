@@ -162,9 +162,7 @@ def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     begun = max(1, 1 << (length - 1).bit_length() >> 1)  # symbols of the sort's last round but one, so borders with a lesser value are those of its classes
     classes = suffix_ranks(text, begun)
-    ranks, _ = further_ranks(classes, int(classes.max()) + 1, begun)
-    place = max(1, (n - 1).bit_length())
-    order = np.sort((ranks << place) | np.arange(n)) & ((1 << place) - 1) if 2 * place <= 63 else np.argsort(ranks, kind="stable")
+    order = further_ranks(classes, int(classes.max()) + 1, begun)[2]
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     back = np.where(order > 0, rank[order - 1], -1)  # the suffix one symbol longer; its first symbol is the transform's
@@ -181,7 +179,8 @@ def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
         rows = tb.ragged(places, low, size)
         longer = back[rows]
         owner = np.repeat(np.arange(len(low)), size)
-        packed = np.sort((longer << 32 | owner)[longer >= 0])
+        open_ = (longer >= 0) & ((value[longer] < 0) | (value[longer + 1] < 0))  # a suffix with both borders is a class by itself
+        packed = np.sort(longer[open_] << 32 | owner[open_])
         longer, owner = packed >> 32, packed & 0xFFFFFFFF
         if not len(longer):
             break
