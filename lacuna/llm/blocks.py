@@ -87,24 +87,70 @@ def read(batches) -> Iterator[tuple[int, tb.Chunk, list]]:
             yield block.as_py(), unpack(ids.as_py(), lens.as_py(), data.as_py()), [batch.column(j)[k] for j in range(5, batch.num_columns)]
 
 
+def one_at_a_time(read):
+    """A step on what ``read`` yields of the batches, made of a function that gives the rows of one block: nothing of a block is held while the next is read, nor when the task is over."""
+
+    def step(rows):
+        @functools.wraps(rows)
+        def run(batches, **settings):
+            for found in read(batches):
+                out = rows(*found, **settings)
+                del found
+                tb.give_back()
+                yield out
+                del out
+            tb.give_back()
+
+        return run
+
+    return step
+
+
+def lean(combine):
+    """A range's function that returns its memory to the system."""
+
+    @functools.wraps(combine)
+    def run(table: pa.Table) -> pa.Table:
+        out = combine(table)
+        tb.give_back()
+        return out
+
+    return run
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Parts are ranges of the 64-bit keys."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(values: np.ndarray) -> list[np.ndarray]:
+    """The bytes of 64-bit numbers, lowest first, each contiguous; those that are 0 in all numbers are left out at the top."""
+    values = np.ascontiguousarray(np.asarray(values).astype(values.dtype if values.dtype == np.uint64 else "<i8", copy=False)).view("<u8")
+    bits = int(np.bitwise_or.reduce(values)).bit_length() if len(values) else 0
+    return [(values >> np.uint64(8 * k)).astype(np.uint8) for k in range((bits + 7) // 8)]
+
+
+def _from_planes(planes: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out.view("<i8").reshape(-1)
+
+
 def squeeze(keys: np.ndarray, *columns: np.ndarray) -> bytes:
     """Sorted 64-bit keys, as differences, and 64-bit numbers beside them, byte planes together, compressed."""
-    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(np.asarray(c).astype("<i8") if c is not steps else c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (steps, *columns)]
-    return len(keys).to_bytes(8, "little") + zip_bytes(b"".join(planes))
+    planes = [_planes(c) for c in (np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), *columns)]
+    return len(keys).to_bytes(8, "little") + bytes(map(len, planes)) + zip_bytes(b"".join(x.data for own in planes for x in own))
 
 
 def expand(packed: bytes, columns: int) -> list[np.ndarray]:
     """What :func:`squeeze` took: keys and ``columns`` columns."""
     n = int.from_bytes(packed[:8], "little")
-    planes = np.frombuffer(unzip_bytes(packed[8:], 8 * n * (columns + 1)), np.uint8).reshape(columns + 1, 8, n)
-    found = [np.ascontiguousarray(p.T).view("<u8").reshape(-1) for p in planes]
-    return [np.cumsum(found[0]), *(f.view("<i8") for f in found[1:])]
+    used = list(packed[8 : 9 + columns])
+    planes = np.frombuffer(unzip_bytes(packed[9 + columns :], n * sum(used)), np.uint8).reshape(sum(used), n)
+    at = np.cumsum([0, *used]).tolist()
+    found = [_from_planes(planes[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [np.cumsum(found[0].view("<u8")), *found[1:]]
 
 
 def zip_bytes(data: bytes) -> bytes:
@@ -117,13 +163,14 @@ def unzip_bytes(data: bytes, size: int) -> bytes:
 
 def numbers_out(values: np.ndarray) -> bytes:
     """64-bit numbers, byte planes together, compressed."""
-    return len(values).to_bytes(8, "little") + zip_bytes(np.ascontiguousarray(np.asarray(values).astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
+    planes = _planes(values)
+    return len(values).to_bytes(8, "little") + bytes([len(planes)]) + zip_bytes(b"".join(x.data for x in planes))
 
 
 def numbers_in(packed: bytes) -> np.ndarray:
     """What :func:`numbers_out` took."""
     n = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(unzip_bytes(packed[8:], 8 * n), np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1)
+    return _from_planes(np.frombuffer(unzip_bytes(packed[9:], packed[8] * n), np.uint8).reshape(packed[8], n), n)
 
 
 def sent(block: int, parts: np.ndarray, entries: list[bytes]) -> pa.RecordBatch:
