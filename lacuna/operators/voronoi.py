@@ -5,6 +5,9 @@ distance, until the next neighbour is more than twice as far as the cell's farth
 that still touches the start box is unbounded and has volume 0, as has one with a vertex outside the
 survey, unless the box is the survey itself.
 
+Cells are cut in batches (:mod:`lacuna.operators.cell_batches`); those with four planes (nearly) through one corner, as in
+lattices, one by one as above.
+
 Up to ``BROADCAST_POINTS`` points, images included, are shipped to all executors. More are cut into blocks with the points
 around each; a cell whose search leaves what its block knows goes on with a doubled halo.
 """
@@ -12,6 +15,7 @@ around each; a cell whose search leaves what its block knows goes on with a doub
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.geometry import polygon_area
+from lacuna.operators.cell_batches import BATCH, Faces, Leaves, cells_of, offsets, ragged
 from lacuna.operators.grid import CELL_KEY, XYZ, bounds, typical, with_cell
 from lacuna.operators.growth import PointIndex, Unfinished, known_box, with_halo
 from lacuna.operators.mask import Footprint
@@ -138,37 +143,83 @@ def _rows(index, home, low, high, whole_box: bool, inside, points: np.ndarray, g
 _ARROW = pa.schema([("gal", pa.int64()), ("volume", pa.float64()), ("bounded", pa.bool_()), ("valid", pa.bool_()), ("neighbours", pa.list_(pa.struct([("gal", pa.int64()), ("area", pa.float64()), ("polygon", pa.list_(pa.list_(pa.float64())))])))])
 
 
+def _flagged(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _ARROW.append(pa.field("unfinished", pa.bool_())))
+
+
+def _all_inside(inside, corners: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n cells whether all its corners are in the footprint."""
+    if inside is None:
+        return np.ones(n, bool)
+    if getattr(inside, "mode", None) == "box":
+        good = ((corners >= np.array(inside.low)) & (corners <= np.array(inside.high))).all(axis=1)
+    else:
+        good = np.array([inside(c) for c in corners], bool)
+    return np.bincount(of, ~good, minlength=n) == 0
+
+
+def _batch(leaves: Leaves, home: np.ndarray, gals: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, whole_box: bool, inside, index) -> pa.Table:
+    """Cells of the points at these places of ``leaves.points``, whose gals are ``home``; ``index()``: the points' index, for cells that are cut one by one and for the region known."""
+    cells = cells_of(leaves, places, low, high)
+    n = len(places)
+    known = index()
+    unfinished = np.zeros(n, bool)
+    if known.low is not None:  # a corner is one as far as the ball around it is known
+        at, r = cells.xyz + cells.p[cells.own], np.linalg.norm(cells.xyz, axis=1)[:, None]
+        unfinished[cells.own[((at - r < known.low) | (at + r > known.high)).any(axis=1)]] = True
+    by_one = []
+    for k in np.flatnonzero(cells.hard).tolist():
+        try:
+            by_one += [row | {"unfinished": False} for row in _rows(known, home[leaves.rank[known.order]], low, high, whole_box, inside, cells.p[k : k + 1], gals[k : k + 1], np.flatnonzero(known.order == leaves.order[places[k]]))]
+        except Unfinished:
+            by_one.append({"gal": int(gals[k]), "volume": 0.0, "bounded": False, "valid": False, "neighbours": [], "unfinished": True})
+    faces = Faces(cells)
+    bounded = np.bincount(faces.cell, faces.label < 0, minlength=n) == 0 if not whole_box else np.ones(n, bool)
+    valid = bounded.copy()
+    look = np.flatnonzero(bounded[cells.own])
+    valid &= _all_inside(inside, cells.xyz[look] + cells.p[cells.own[look]], cells.own[look], n)
+    volume = np.where(valid, np.bincount(faces.cell, faces.area * faces.height, minlength=n) / 3.0, 0.0)
+    other = np.where(faces.label >= 0, home[np.maximum(faces.label, 0)], -1) if len(home) else faces.label
+    near = np.flatnonzero((faces.label >= 0) & (other != gals[faces.cell]) & ~unfinished[faces.cell])
+    order = near[np.lexsort((near, other[near], faces.cell[near]))]  # faces of one cell against one home are one neighbour
+    new = np.concatenate(([True], (faces.cell[order][1:] != faces.cell[order][:-1]) | (other[order][1:] != other[order][:-1]))) if len(order) else np.zeros(0, bool)
+    first = order[new]
+    area = np.bincount(np.cumsum(new) - 1, faces.area[order], minlength=len(first)) if len(order) else np.zeros(0)
+    flat = ragged(faces.corners, faces.first[first], faces.count[first])
+    polygon = pa.ListArray.from_arrays(pa.array(offsets(faces.count[first]), pa.int32()), pa.ListArray.from_arrays(pa.array(3 * np.arange(len(flat) + 1), pa.int32()), pa.array(flat.reshape(-1))))
+    easy = np.flatnonzero(~cells.hard)
+    size = np.bincount(faces.cell[first], minlength=n)[easy]
+    neighbours = pa.ListArray.from_arrays(pa.array(offsets(size), pa.int32()), pa.StructArray.from_arrays([pa.array(other[first], pa.int64()), pa.array(area), polygon], ["gal", "area", "polygon"]))
+    unfinished = unfinished[easy]
+    made = pa.table([pa.array(gals[easy], pa.int64()), pa.array(np.where(unfinished, 0.0, volume[easy])), pa.array(bounded[easy] & ~unfinished), pa.array(valid[easy] & ~unfinished), neighbours, pa.array(unfinished)], names=[*_ARROW.names, "unfinished"])
+    return pa.concat_tables([made.cast(_ARROW.append(pa.field("unfinished", pa.bool_()))), _flagged(by_one)])
+
+
+def _batches(xyz: np.ndarray, home: np.ndarray, edge: float, known: tuple, gals: np.ndarray, points: np.ndarray, low, high, whole_box: bool, inside) -> Iterator[pa.Table]:
+    leaves = Leaves(xyz)
+    index = functools.cache(lambda: PointIndex(xyz, edge, *known))
+    places = leaves.places(points)
+    order = np.argsort(places)  # neighbours beside each other
+    for k in range(0, len(order), BATCH):
+        own = order[k : k + BATCH]
+        yield _batch(leaves, home[leaves.order], gals[own], places[own], np.array(low), np.array(high), whole_box, inside, index)
+
+
 def _cells(batches, shared, low, high, whole_box: bool, inside):
-    index = None
-    for batch in batches:
-        if index is None:
-            xyz, home, edge = shared.value
-            index = PointIndex(xyz, edge)
-            cell = np.floor((xyz - index.origin) / edge).astype(np.int64)
-            order = np.argsort((cell[:, 0] * index.shape[1] + cell[:, 1]) * index.shape[2] + cell[:, 2], kind="stable")
-            home = home[order]
-        gals = np.asarray(batch.column(0))
-        points = np.stack([np.asarray(batch.column(k)) for k in (1, 2, 3)], axis=1) if len(gals) else np.zeros((0, 3))
-        places = np.array([next((int(i) for i in index.ball(p, 0.0) if (index.xyz[i] == p).all()), -1) for p in points], np.int64)
-        rows = list(_rows(index, home, np.array(low), np.array(high), whole_box, inside.value if inside else None, points, gals, places))
-        yield from pa.Table.from_pylist(rows, _ARROW).to_batches()
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    xyz, home, edge = shared.value
+    gals, *points = (np.concatenate([np.asarray(b.column(k)) for b in own]) for k in range(4))
+    for made in _batches(xyz, home, edge, (), gals, np.stack(points, axis=1), low, high, whole_box, inside.value if inside else None):
+        yield from made.drop_columns("unfinished").combine_chunks().to_batches()
 
 
 def _block_cells(own: pa.Table, near: pa.Table, edge: float, known, low, high, whole_box: bool, inside) -> pa.Table:
     if not len(own):
-        return pa.Table.from_pylist([], _ARROW.append(pa.field("unfinished", pa.bool_())))
-    xyz = np.stack([np.asarray(near.column(c), float) for c in XYZ], axis=1)
-    index = PointIndex(xyz, edge, *known)
-    home = np.asarray(near.column("gal"))[index.order]
-    rows = []
-    for gal, p in zip(np.asarray(own.column("gal")).tolist(), np.stack([np.asarray(own.column(c), float) for c in XYZ], axis=1), strict=True):
-        try:
-            place = next((int(i) for i in index.ball(p, 0.0) if (index.xyz[i] == p).all()), -1)
-            made = next(_rows(index, home, np.array(low), np.array(high), whole_box, inside, p[None], np.array([gal]), np.array([place])))
-            rows.append(made | {"unfinished": False})
-        except Unfinished:
-            rows.append({"gal": gal, "volume": 0.0, "bounded": False, "valid": False, "neighbours": [], "unfinished": True})
-    return pa.Table.from_pylist(rows, _ARROW.append(pa.field("unfinished", pa.bool_())))
+        return _flagged([])
+    xyz, points = (np.stack([np.asarray(t.column(c), float) for c in XYZ], axis=1) for t in (near, own))
+    return pa.concat_tables(_batches(xyz, np.asarray(near.column("gal")), edge, known, np.asarray(own.column("gal")), points, low, high, whole_box, inside))
 
 
 def _by_blocks(points: DataFrame, everything: DataFrame, n: int, low: tuple, high: tuple, whole_box: bool, footprint: Footprint | None, block: float | None) -> DataFrame:
@@ -215,7 +266,7 @@ def voronoi(points: DataFrame, low, high, footprint: Footprint | None = None, wh
     shared = spark.sparkContext.broadcast((xyz, np.asarray(table.column("gal")).astype(np.int64), edge))  # 32 bytes a point, at most max_points
     inside = spark.sparkContext.broadcast(footprint.kernel()) if footprint else None
     cut = functools.partial(_cells, shared=shared, low=tuple(low), high=tuple(high), whole_box=whole_box, inside=inside)
-    return points.repartition(4 * spark.sparkContext.defaultParallelism, "gal").mapInArrow(cut, SCHEMA)
+    return points.repartitionByRange(4 * spark.sparkContext.defaultParallelism, *XYZ).mapInArrow(cut, SCHEMA)
 
 
 def adjacency(cells: DataFrame) -> DataFrame:
