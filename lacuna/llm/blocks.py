@@ -63,6 +63,7 @@ def _pack(batches, limit: int):
             size = 0
     if held:
         yield flush()
+    tb.give_back()
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> DataFrame:

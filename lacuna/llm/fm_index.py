@@ -20,17 +20,33 @@ def ordered_ranks(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     n = len(keys)
     if not n:
         return np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
-    place = max(1, (n - 1).bit_length())
-    if int(keys.max()).bit_length() + place <= 63:  # sorting values is much faster than sorting positions
-        packed = np.sort((keys.astype(np.int64) << place) | np.arange(n))
-        order = packed & ((1 << place) - 1)
-        ordered = packed >> place
-    else:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+    order, ordered = _sorted(keys)
+    ordinal = np.zeros(n, np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=ordinal[1:])
     ranks = np.empty(n, np.int64)
-    ranks[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
-    return ranks, int(ranks[order[-1]]) + 1, order
+    ranks[order] = ordinal
+    return ranks, int(ordinal[-1]) + 1, order
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts non-negative keys, equal ones as they stand, and the keys in it.
+
+    Values are sorted, which is much faster than sorting positions: some bits of the keys with places in the others, the lowest bits first.
+    """
+    keys = keys.astype(np.int64, copy=False)
+    place = max(1, (len(keys) - 1).bit_length())
+    left, bits, at = int(keys.max()).bit_length(), 63 - place, np.arange(len(keys))
+    order = None
+    for low in range(0, max(1, left), bits):
+        part = (keys >> low if low else keys) if left - low <= bits else (keys >> low) & ((1 << bits) - 1)
+        packed = (part if order is None else part[order]) << place
+        packed |= at
+        packed.sort()
+        if left <= bits:
+            return packed & ((1 << place) - 1), packed >> place
+        packed &= (1 << place) - 1
+        order = packed if order is None else order[packed]
+    return order, keys[order]
 
 
 def _first_symbols(text: np.ndarray, depth: int | None) -> tuple[np.ndarray, int]:

@@ -30,7 +30,7 @@ from lacuna.llm.scratch import materialise, release
 
 LENGTH = 50
 GRAM = 21
-PIECE = 1 << 19
+PIECE = 1 << 16  # bytes that are hashed at once: arrays that stay in the cache
 MIXER = np.uint64(0x9FB21C651E98DF25)
 FACTOR = 0xC2B2AE3D27D4EB4F
 BYTES = tb.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -95,19 +95,20 @@ def _runs(chunk: tb.Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes[places[first]], first, count, np.searchsorted(chunk.starts, first, "right") - 1
 
 
-def _send_minimizers(batches, length: int, parts: int):
-    for block, chunk, _ in bl.read(batches):
-        keys, _, _, doc = _runs(chunk, length)
-        order, first, _ = bl.totals(keys)
-        if not len(first):
-            continue
-        ids = chunk.ids[doc][order]
-        least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        distinct = keys[order][first]
-        full, at = bl.cut(distinct, parts)
-        yield bl.sent(block, full, [bl.squeeze(distinct[a:b], least[a:b], most[a:b] - least[a:b]) for a, b in ((at[p], at[p + 1]) for p in full.tolist())])
+@bl.one_at_a_time(bl.read)
+def _send_minimizers(block: int, chunk: tb.Chunk, _: list, length: int, parts: int) -> pa.RecordBatch:
+    keys, _, _, doc = _runs(chunk, length)
+    order, first, _ = bl.totals(keys)
+    if not len(first):
+        return bl.sent(block, first, [])
+    ids = chunk.ids[doc][order]
+    least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+    distinct = keys[order][first]
+    full, at = bl.cut(distinct, parts)
+    return bl.sent(block, full, [bl.squeeze(distinct[a:b], least[a:b], most[a:b] - least[a:b]) for a, b in ((at[p], at[p + 1]) for p in full.tolist())])
 
 
+@bl.lean
 def _answer_minimizers(table: pa.Table) -> pa.Table:
     """For each block which of its minimizers two documents have."""
     found = [bl.expand(p.as_py(), 2) for p in table.column("entries")]
@@ -142,16 +143,16 @@ class _Contexts:
         self.at = self.first[pick]
 
 
-def _send_contexts(batches, length: int, parts: int):
-    for block, chunk, (answers,) in bl.read(batches):
-        own = _Contexts(chunk, answers, length)
-        full, at = bl.cut(own.keys, parts)
-        rows = []
-        for a, b in ((at[p], at[p + 1]) for p in full.tolist()):
-            head = bl.squeeze(own.keys[a:b], own.sizes[a:b], own.least[a:b])
-            text = tb.ragged(chunk.data, own.at[a:b], own.sizes[a:b]).tobytes()
-            rows.append(len(head).to_bytes(8, "little") + head + bl.zip_bytes(text))
-        yield bl.sent(block, full, rows)
+@bl.one_at_a_time(bl.read)
+def _send_contexts(block: int, chunk: tb.Chunk, further: list, length: int, parts: int) -> pa.RecordBatch:
+    own = _Contexts(chunk, further[0], length)
+    full, at = bl.cut(own.keys, parts)
+    rows = []
+    for a, b in ((at[p], at[p + 1]) for p in full.tolist()):
+        head = bl.squeeze(own.keys[a:b], own.sizes[a:b], own.least[a:b])
+        text = tb.ragged(chunk.data, own.at[a:b], own.sizes[a:b]).tobytes()
+        rows.append(len(head).to_bytes(8, "little") + head + bl.zip_bytes(text))
+    return bl.sent(block, full, rows)
 
 
 def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
@@ -250,22 +251,24 @@ def removed(chunk: tb.Chunk, contexts: _Contexts, least: np.ndarray, length: int
     return np.cumsum(cover)[:-1] > 0
 
 
-def _report(batches, length: int):
-    for _, chunk, (answers, least) in bl.read(batches):
-        gone = removed(chunk, _Contexts(chunk, answers, length), _least(least), length)
-        kept = ~gone
-        edge = gone & ~np.concatenate(([False], gone[:-1]))
-        starts, ends = chunk.starts.tolist(), chunk.ends.tolist()
-        digest = [hashlib.sha256(chunk.data[a:b][kept[a:b]].tobytes()).hexdigest() for a, b in zip(starts, ends, strict=True)]
-        count = [[int(x[a:b].sum()) for a, b in zip(starts, ends, strict=True)] for x in (gone, edge)]
-        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(chunk.ends - chunk.starts, pa.int64()), pa.array(count[0], pa.int64()), pa.array(count[1], pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+@bl.one_at_a_time(bl.read)
+def _report(_: int, chunk: tb.Chunk, further: list, length: int) -> pa.RecordBatch:
+    answers, least = further
+    gone = removed(chunk, _Contexts(chunk, answers, length), _least(least), length)
+    kept = ~gone
+    edge = gone & ~np.concatenate(([False], gone[:-1]))
+    starts, ends = chunk.starts.tolist(), chunk.ends.tolist()
+    digest = [hashlib.sha256(chunk.data[a:b][kept[a:b]].tobytes()).hexdigest() for a, b in zip(starts, ends, strict=True)]
+    count = [[int(x[a:b].sum()) for a, b in zip(starts, ends, strict=True)] for x in (gone, edge)]
+    return pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(chunk.ends - chunk.starts, pa.int64()), pa.array(count[0], pa.int64()), pa.array(count[1], pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _clean(batches, length: int):
-    for _, chunk, (answers, least) in bl.read(batches):
-        kept = ~removed(chunk, _Contexts(chunk, answers, length), _least(least), length)
-        texts = [None if null else chunk.data[a:b][kept[a:b]].tobytes() for a, b, null in zip(chunk.starts.tolist(), chunk.ends.tolist(), chunk.null.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(texts, pa.binary())], names=["doc_id", "kept"])
+@bl.one_at_a_time(bl.read)
+def _clean(_: int, chunk: tb.Chunk, further: list, length: int) -> pa.RecordBatch:
+    answers, least = further
+    kept = ~removed(chunk, _Contexts(chunk, answers, length), _least(least), length)
+    texts = [None if null else chunk.data[a:b][kept[a:b]].tobytes() for a, b, null in zip(chunk.starts.tolist(), chunk.ends.tolist(), chunk.null.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([chunk.id_array(), pa.array(texts, pa.binary())], names=["doc_id", "kept"])
 
 
 def _answered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -275,7 +278,7 @@ def _answered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
     repeated = materialise(bl.beside(blocks, sent.groupBy("part").applyInArrow(_answer_minimizers, bl.ANSWER_SCHEMA)), "repeated")
     release(blocks)
     sent = repeated.mapInArrow(functools.partial(_send_contexts, length=length, parts=parts), bl.SENT_SCHEMA)
-    classes = sent.groupBy("part").applyInArrow(lambda table: _answer_contexts(table, length), bl.ANSWER_SCHEMA)
+    classes = sent.groupBy("part").applyInArrow(bl.lean(lambda table: _answer_contexts(table, length)), bl.ANSWER_SCHEMA)
     return bl.beside(repeated.withColumnRenamed("answers", "repeats"), classes)
 
 

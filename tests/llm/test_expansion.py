@@ -28,3 +28,16 @@ def test_ranks_of_packed_symbols():
             keys = [tuple(text[k : k + depth if depth else None].tolist()) for k in range(300)]
             place = {s: k for k, s in enumerate(sorted(set(keys)))}
             assert fm_index.suffix_ranks(text, depth).tolist() == [place[s] for s in keys]
+
+
+def test_wide_keys_are_sorted_as_values(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n, bits in ((1, 63), (5, 62), (3000, 40), (3000, 63), (70000, 50)):
+        keys = rng.integers(0, 1 << bits, n, endpoint=False, dtype=np.int64)
+        keys[rng.integers(0, n, n // 2)] = keys[0]
+        order = np.argsort(keys, kind="stable")
+        distinct, want = np.unique(keys, return_inverse=True)
+        with monkeypatch.context() as patch:
+            patch.setattr(fm_index.np, "argsort", None)
+            got = fm_index.ordered_ranks(keys)
+        assert got[0].tolist() == want.tolist() and got[1] == len(distinct) and got[2].tolist() == order.tolist()
