@@ -80,6 +80,40 @@ def further_ranks(ranks: np.ndarray, distinct: int, span: int) -> tuple[np.ndarr
     return ordered_ranks(ranks * (distinct + 1) + after)
 
 
+def suffix_classes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix where the class of its first ``depth`` symbols (a power of two) begins in the order of suffixes, and the suffixes in order by 2 ``depth`` symbols, of equal ones too.
+
+    A suffix that is a class by itself isn't sorted again.
+    """
+    n = len(text)
+    keys, span = _first_symbols(text, depth)
+    ranks, distinct, order = ordered_ranks(keys)
+    size = np.bincount(ranks, minlength=distinct)
+    begin = np.cumsum(size) - size
+    left = np.flatnonzero(np.repeat(size > 1, size))
+    ranks = begin[ranks].astype(np.int32 if n < 1 << 31 else np.int64)  # places: half the memory to gather from
+    while True:
+        classes = ranks.copy() if span == depth else None
+        if len(left):
+            suffix = order[left]
+            own, after = ranks[suffix], np.zeros(len(left), np.int64)
+            inside = np.flatnonzero(suffix < n - span)
+            after[inside] = ranks[suffix[inside] + span]
+            after[inside] += 1
+            group = np.zeros(len(left), np.int64)
+            np.cumsum(own[1:] != own[:-1], out=group[1:])
+            by, ordered = _sorted(group * (n + 1) + after)
+            suffix = suffix[by]
+            order[left] = suffix
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            first = np.flatnonzero(new)
+            ranks[suffix] = np.repeat(left[first].astype(ranks.dtype), np.diff(np.append(first, len(left))))
+            left = left[~(new & np.append(new[1:], True))]
+        if classes is not None:
+            return classes, order
+        span *= 2
+
+
 class WaveletMatrix:
     """Rank queries over integers of ``bits`` bits."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
-from lacuna.llm.fm_index import further_ranks, suffix_ranks
+from lacuna.llm.fm_index import suffix_classes
 from lacuna.llm.scratch import materialise, release
 
 LENGTH = 50
@@ -82,11 +82,10 @@ def minimizers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
 def _runs(chunk: tb.Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of neighbouring strings of one document with one minimizer: hash, first string, strings, document (place in the chunk)."""
     places, hashes = minimizers(chunk.data, length)
-    valid = np.zeros(len(places) + 1, np.int32)
+    inside = np.zeros(len(places), bool)
     some = (chunk.ends - chunk.starts >= length) & ~chunk.id_null
-    np.add.at(valid, chunk.starts[some], 1)
-    np.add.at(valid, chunk.ends[some] - length + 1, -1)
-    inside = np.cumsum(valid)[:-1] > 0
+    for a, b in zip(chunk.starts[some].tolist(), chunk.ends[some].tolist(), strict=True):
+        inside[a : b - length + 1] = True
     change = np.concatenate(([True], (places[1:] != places[:-1]) | (inside[1:] != inside[:-1]))) if len(places) else np.zeros(0, bool)
     first = np.flatnonzero(change)
     count = np.diff(np.append(first, len(places)))
@@ -162,8 +161,7 @@ def expand_intervals(text: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(text)
     begun = max(1, 1 << (length - 1).bit_length() >> 1)  # symbols of the sort's last round but one, so borders with a lesser value are those of its classes
-    classes = suffix_ranks(text, begun)
-    order = further_ranks(classes, int(classes.max()) + 1, begun)[2]
+    classes, order = suffix_classes(text, begun)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     back = np.where(order > 0, rank[order - 1], -1)  # the suffix one symbol longer; its first symbol is the transform's

@@ -41,3 +41,19 @@ def test_wide_keys_are_sorted_as_values(monkeypatch):
             patch.setattr(fm_index.np, "argsort", None)
             got = fm_index.ordered_ranks(keys)
         assert got[0].tolist() == want.tolist() and got[1] == len(distinct) and got[2].tolist() == order.tolist()
+
+
+def test_settled_suffixes_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 200, 4000)
+    text[3000:3300] = text[100:400]
+    sizes, real = [], fm_index._sorted
+    monkeypatch.setattr(fm_index, "_sorted", lambda keys: (sizes.append(len(keys)), real(keys))[1])
+    classes, order = fm_index.suffix_classes(text, 32)
+    assert sizes[0] == 4000 and max(sizes[1:]) < 1000
+    by = sorted(range(4000), key=lambda k: (tuple(text[k : k + 64].tolist()), k))
+    assert order.tolist() == by
+    first = {}
+    for place, k in enumerate(by):
+        first.setdefault(tuple(text[k : k + 32].tolist()), place)
+    assert classes.tolist() == [first[tuple(text[k : k + 32].tolist())] for k in range(4000)]
