@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
+from lacuna.llm.scratch import small_batches
 
 BLOCK = 1024  # symbols
 SAMPLE_DOCS = 400  # labelled rows a language, about
@@ -226,6 +227,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Only the text decides a prediction.
     """
     model = model or fit(docs, id_col, text_col, lang_col)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_SYMBOLS for each language
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     out = texts.mapInArrow(functools.partial(_predict, model=shared), "doc_id long, lang_pred string, score double")

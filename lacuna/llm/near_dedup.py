@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import textbytes as tb
 from lacuna.llm.components import components
 from lacuna.llm.probe import without
-from lacuna.llm.scratch import materialise, release
+from lacuna.llm.scratch import materialise, release, small_batches
 
 SHINGLE = 5
 THRESHOLD = 80  # per cent
@@ -292,6 +292,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame:
     """The rows of :func:`near_dedup` with a hash of the text."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_key"))
     sketches = materialise(texts.mapInArrow(functools.partial(_sketch, size=size), SKETCH), "sketches")
     filled = sketches.filter("set_key is not null and doc_id is not null")

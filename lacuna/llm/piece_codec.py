@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
+from lacuna.llm.scratch import small_batches
 
 CHUNK_BYTES = 1 << 18  # at a time: the source of each byte takes eight
 META = "▁".encode()  # what a space becomes
@@ -293,6 +294,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     One row for each row of ``docs``; a null text has no pieces, an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInArrow(functools.partial(_pieces, path=model_path), "doc_id long, ids array<int>, span_starts array<long>, span_ends array<long>")
 
@@ -303,5 +305,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     A null text counts as empty and has no pieces; null ids and repeated rows are answered row
     by row; an empty table gives an empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInArrow(functools.partial(_digest, path=model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def root(spark: SparkSession) -> str:
     """The shared folder that the session names; a local one only where none is set and the master is local."""
@@ -25,6 +28,13 @@ def root(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to and from Python in batches of ``BATCH_BYTES`` or what less the session names: a batch is held whole on both sides, and Spark's are of 64 MB."""
+    own = spark.conf.get(BATCH_SETTING, None)
+    if own is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/lacuna-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 

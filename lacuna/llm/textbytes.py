@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from lacuna.llm.scratch import small_batches
+
 CHUNK_BYTES = 1 << 20
 PAD = 16
 
@@ -114,6 +116,7 @@ def _filter(batches, at: int, decide):
 
 def filter_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
     """The rows of ``docs`` for whose texts ``decide(chunk)`` is true, with all columns; nothing is joined or shuffled."""
+    small_batches(docs.sparkSession)
     fields = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)]  # Arrow functions can't take every name
     plain = docs.toDF(*(f.name for f in fields))
     return plain.mapInArrow(functools.partial(_filter, at=docs.columns.index(text_col), decide=decide), StructType(fields)).toDF(*docs.columns)
