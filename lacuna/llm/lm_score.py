@@ -20,6 +20,7 @@ The tree is nowhere in one place. Each round (a length) is two exchanges between
 keys. A block sends its distinct n-grams that occurred twice when they were one round shorter, and learns their counts. One
 block for each n-gram then adds its term to the context's sums, and all learn from the context's range whether it is retained
 and whether to go on. Texts without anything to go on for are done and leave the rounds.
+What a block knows stays in a file of the shared folder; only its path goes through the exchanges.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import blocks as bl
 from lacuna.llm import textbytes as tb
-from lacuna.llm.scratch import materialise, parts_of, release
+from lacuna.llm.scratch import fetch, made_folder, materialise, parts_of, put, release, remove, small_batches
 
 DIVERGENCE = 6.0  # nats
 STRENGTH = 2.0  # weight of the suffix's distribution, in counts
@@ -193,8 +194,8 @@ class State:
         Of the texts that go on, only stretches are held that contexts of the tokens that go on can reach: back to the rare word or into the n-gram that stops them.
         """
         tokens, places = self.tokens, np.flatnonzero(self.open)
-        here = np.arange(len(tokens.keys))
-        known, rare = (np.concatenate(([-1], np.maximum.accumulate(np.where(flags, here, -1))[:-1])) for flags in (~self.repeated, tokens.keys == RARE))
+        here, none = np.arange(len(tokens.keys), dtype=np.int32), np.array([-1], np.int32)
+        known, rare = (np.concatenate((none, np.maximum.accumulate(np.where(flags, here, none))[:-1])) for flags in (~self.repeated, tokens.keys == RARE))
         twice = (known < here - size + last) & (rare < here - size)
         self.repeated = self.repeated & (twice | ~tokens.scored)
         still = still & twice & tokens.room(size)
@@ -231,11 +232,21 @@ def smoothed(c: np.ndarray, n: np.ndarray, once: np.ndarray, q: np.ndarray) -> n
     return (np.where(c > 1, c, 0) + (once + STRENGTH) * q) / (n + STRENGTH)
 
 
+def _kept(rows: pa.RecordBatch, folder: str) -> pa.RecordBatch:
+    """States go to files of the folder, and the rows hold their paths: a state stays where it is while answers come to its block."""
+    own = rows.to_pylist()
+    for row in own:
+        if row["kind"] == "live":
+            put(folder, name := str(row["block"]), row["data"])
+            row["data"] = f"{folder}/{name}".encode()
+    return _rows(own)
+
+
 def _read(batches) -> Iterator[tuple]:
-    """Block, state, and the further columns."""
+    """Block, state, and the further columns; the state's path is in column 1."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column(0)[k].as_py(), State.load(batch.column(1)[k].as_py()), *(batch.column(j)[k] for j in range(2, batch.num_columns))
+            yield batch.column(0)[k].as_py(), State.load(fetch(batch.column(1)[k].as_py().decode())), *(batch.column(j)[k] for j in range(2, batch.num_columns))
 
 
 @bl.one_at_a_time(bl.read)
@@ -265,7 +276,7 @@ def _numbers(answers: pa.Scalar) -> np.ndarray:
 
 
 @bl.one_at_a_time(bl.read)
-def _begin(block: int, chunk: tb.Chunk, further: list, tokens_in_all: int, distinct: int, size: int) -> pa.RecordBatch:
+def _begin(block: int, chunk: tb.Chunk, further: list, tokens_in_all: int, distinct: int, size: int, folder: str) -> pa.RecordBatch:
     """Base figures of a block, and its state before contexts of ``size`` tokens."""
     tokens = Tokens.read(chunk)
     counts = _numbers(further[0])
@@ -276,7 +287,7 @@ def _begin(block: int, chunk: tb.Chunk, further: list, tokens_in_all: int, disti
     base = tb.sums(logs[own], bounds) - np.diff(bounds) * share
     tokens.merge(counts < 2)
     state = State(tokens, np.zeros(len(chunk), np.int64), tb.sums((counts > 0)[own], bounds), base, repeated, tokens.scored, tokens.base[tokens.of[tokens.scored]])
-    return state.rows(block, tokens.scored, size, 0)
+    return _kept(state.rows(block, tokens.scored, size, 0), folder)
 
 
 @bl.one_at_a_time(_read)
@@ -349,7 +360,7 @@ def _combine_contexts(table: pa.Table) -> pa.Table:
 
 
 @bl.one_at_a_time(_read)
-def _go_on(block: int, state: State, grams: pa.Scalar, answers: pa.Scalar, size: int, longer: int) -> pa.RecordBatch:
+def _go_on(block: int, state: State, grams: pa.Scalar, answers: pa.Scalar, size: int, longer: int, folder: str) -> pa.RecordBatch:
     """The block after a round, before contexts of ``longer`` tokens."""
     places, contexts, c, _, _ = _counted(state, grams, size)
     _, _, _, of = _count(contexts, c)
@@ -361,7 +372,7 @@ def _go_on(block: int, state: State, grams: pa.Scalar, answers: pa.Scalar, size:
     state.repeated[places] = c > 1
     still = np.zeros(len(state.open), bool)
     still[places] = reply & 1
-    return state.rows(block, still, longer, size)
+    return _kept(state.rows(block, still, longer, size), folder)
 
 
 def _results(batches):
@@ -371,20 +382,25 @@ def _results(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(tokens), pa.array(known), pa.array(base.view(np.float64)), pa.array(-total / STEPS)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _round(table: DataFrame, size: int, longer: int, parts: int) -> DataFrame:
-    """The blocks (and the texts that are done) after contexts of ``size`` tokens were tested; deletes what it took."""
-    live = table.select("block", "data")
+def _round(table: DataFrame, folder: str, size: int, longer: int, parts: int) -> tuple[DataFrame, str]:
+    """The blocks (and the texts that are done) after contexts of ``size`` tokens were tested, and the folder of their states; deletes what it took."""
+    live = table.select("block", "data").repartition(parts, "block")  # small rows, but tasks that are long: as many as there are ranges
+    after = made_folder(table.sparkSession, "states")
 
     def answered(blocks: DataFrame, send, combine, name: str) -> DataFrame:
         sent = blocks.mapInArrow(functools.partial(send, size=size, parts=parts), bl.SENT_SCHEMA)
         return materialise(sent.groupBy("part").applyInArrow(combine, bl.ANSWER_SCHEMA), name)
 
+    def dealt(answers: DataFrame) -> DataFrame:
+        return answers.repartition(parts, "block")
+
     grams = answered(live, _send_grams, _combine_grams, "grams")
-    contexts = answered(bl.beside(live, grams), _send_contexts, _combine_contexts, "contexts")
-    told = bl.beside(bl.beside(live, grams).withColumnRenamed("answers", "grams"), contexts)
-    out = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer), ROWS), "round", by="kind")
+    contexts = answered(bl.beside(live, dealt(grams)), _send_contexts, _combine_contexts, "contexts")
+    told = bl.beside(bl.beside(live, dealt(grams)).withColumnRenamed("answers", "grams"), dealt(contexts))
+    out = materialise(told.mapInArrow(functools.partial(_go_on, size=size, longer=longer, folder=after), ROWS), "round", by="kind")
     release(table, grams, contexts)
-    return out
+    remove(table.sparkSession, folder)
+    return out, after
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,6 +411,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     train too. A null text counts as empty and is the end alone. Repeated rows count each time. An
     empty table gives an empty result. Other columns are ignored. Words and contexts are told apart by 64-bit hashes.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     blocks = bl.pack_blocks(docs, id_col, text_col)
     parts = bl.parts_for(blocks)
     sent = blocks.mapInArrow(functools.partial(_send_words, parts=parts), bl.SENT_SCHEMA)
@@ -403,7 +421,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
     steps = lengths()
     size = next(steps)
-    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size), ROWS)
+    folder = made_folder(spark, "states")
+    begin = bl.beside(blocks, got.filter("block >= 0")).mapInArrow(functools.partial(_begin, tokens_in_all=tokens, distinct=distinct, size=size, folder=folder), ROWS)
     table = materialise(begin, "round", by="kind")
     release(blocks, got)
     done = []
@@ -412,7 +431,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if parts_of(table, "live").select("block").isEmpty():
             break
         longer = next(steps)
-        table = _round(parts_of(table, "live"), size, longer, parts)
+        table, folder = _round(parts_of(table, "live"), folder, size, longer, parts)
         size = longer
     out = functools.reduce(DataFrame.unionByName, done).mapInArrow(_results, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,7 +9,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/lacuna-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that executors write themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_folder(spark, name))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return fs.makeQualified(path).toString()  # a path without scheme is one of the cluster's default file system, here and on the executors
+
+
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    parts = urlparse(folder)
+    if parts.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), unquote(parts.path)
+    return pafs.FileSystem.from_uri(folder)
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Writes a file of a :func:`made_folder`, in a task; one that is run again writes the same file."""
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(part := f"{path}/.{name}.{uuid.uuid4().hex}") as out:
+        out.write(data)
+    fs.move(part, f"{path}/{name}")
+
+
+def fetch(file: str) -> bytes:
+    fs, path = filesystem(file)
+    with fs.open_input_file(path) as held:
+        return held.read()
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result carries its folder as ``scratch_path``.
 
@@ -70,7 +102,10 @@ def _forget(spark: SparkSession) -> None:
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialise` that no later plan reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _forget(spark)
+        remove(table.sparkSession, table.scratch_path)
+        _forget(table.sparkSession)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

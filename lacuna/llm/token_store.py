@@ -17,16 +17,14 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import textbytes as tb
-from lacuna.llm.scratch import materialise, new_folder
+from lacuna.llm.scratch import filesystem, made_folder, materialise
 
 MAGIC = b"LACTOK01"
 SAMPLE = 256
@@ -193,15 +191,8 @@ def _tokenize(batches, path: str, bounds, end_id: int, width: int):
 # --- files --------------------------------------------------------------------------------------------------------------
 
 
-def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    parts = urlparse(folder)
-    if parts.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(parts.path)
-    return pafs.FileSystem.from_uri(folder)
-
-
 def _write(batches, folder: str, width: int):
-    fs, path = _filesystem(folder)
+    fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     held: list = []
     state = {"bucket": None, "seq": 0, "ids": 0}
@@ -298,10 +289,6 @@ def token_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_c
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    folder = new_folder(spark, "tokens")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    folder = fs.makeQualified(path).toString()  # a path without scheme is one of the cluster's default file system, here and on the executors
+    folder = made_folder(spark, "tokens")
     files = write_token_files(docs, folder, tokenizer_path, end_id, id_col, text_col)
     return read_token_files(files, folder)
