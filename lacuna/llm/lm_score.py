@@ -429,6 +429,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     while True:
         done.append(parts_of(table, "done").select("data"))
         if parts_of(table, "live").select("block").isEmpty():
+            remove(spark, folder)
             break
         longer = next(steps)
         table, folder = _round(parts_of(table, "live"), folder, size, longer, parts)
