@@ -88,16 +88,22 @@ def read(batches) -> Iterator[tuple[int, tb.Chunk, list]]:
             yield block.as_py(), unpack(ids.as_py(), lens.as_py(), data.as_py()), [batch.column(j)[k] for j in range(5, batch.num_columns)]
 
 
-def one_at_a_time(read):
-    """A step on what ``read`` yields of the batches, made of a function that gives the rows of one block: nothing of a block is held while the next is read, nor when the task is over."""
+def one_at_a_time(read, keep: bool = False):
+    """A step on what ``read`` yields of the batches, made of a function that gives the rows of one block: nothing of a block is held while the next is read, nor when the task is over.
+
+    ``keep``: the memory of a block is used for the next, and returned to the system when the task is over.
+    """
 
     def step(rows):
         @functools.wraps(rows)
         def run(batches, **settings):
+            if keep:
+                tb.keep_freed()
             for found in read(batches):
                 out = rows(*found, **settings)
                 del found
-                tb.give_back()
+                if not keep:
+                    tb.give_back()
                 yield out
                 del out
             tb.give_back()
@@ -154,6 +160,29 @@ def expand(packed: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(found[0].view("<u8")), *found[1:]]
 
 
+def squeeze_hashes(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """As :func:`squeeze`, for keys that are hashes: the first stands alone, and of the differences the planes below the mean difference are noise, which isn't compressed."""
+    keys = keys.astype(np.uint64, copy=False)
+    first, last = (int(keys[0]), int(keys[-1])) if len(keys) else (0, 0)
+    own = _planes(np.diff(keys, prepend=keys[:1]))
+    noise = min(len(own), ((last - first) // max(1, len(keys))).bit_length() // 8)
+    planes = [_planes(c) for c in columns]
+    rest = zip_bytes(b"".join(x.data for some in (own[noise:], *planes) for x in some))
+    return b"".join((len(keys).to_bytes(8, "little"), first.to_bytes(8, "little"), bytes((noise, len(own), *map(len, planes))), *(x.data for x in own[:noise]), rest))
+
+
+def expand_hashes(packed: bytes, columns: int) -> list[np.ndarray]:
+    """What :func:`squeeze_hashes` took: keys and ``columns`` columns."""
+    n, first = (int.from_bytes(packed[k : k + 8], "little") for k in (0, 8))
+    noise, *used = packed[16 : 18 + columns]
+    head = 18 + columns
+    rest = np.frombuffer(unzip_bytes(packed[head + n * noise :], n * (sum(used) - noise)), np.uint8)
+    planes = [*np.frombuffer(packed, np.uint8, n * noise, head).reshape(noise, n), *rest.reshape(sum(used) - noise, n)]
+    at = np.cumsum([0, *used]).tolist()
+    found = [_from_planes(planes[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [np.cumsum(found[0].view("<u8"), dtype=np.uint64) + np.uint64(first), *found[1:]]
+
+
 def zip_bytes(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -200,10 +229,14 @@ def totals(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), place
 
 
+def gathered(answers: DataFrame) -> DataFrame:
+    """A row for each block: its answers, in the order of the parts."""
+    return answers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "answers"))), lambda x: x["answers"]).alias("answers"))
+
+
 def beside(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """The blocks with their answers, joined in the order of the parts, as a last column."""
-    own = answers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "answers"))), lambda x: x["answers"]).alias("answers"))
-    return blocks.join(own, "block", "left").select(*blocks.columns, "answers")
+    return blocks.join(gathered(answers), "block", "left").select(*blocks.columns, "answers")
 
 
 def parts_for(blocks: DataFrame) -> int:
